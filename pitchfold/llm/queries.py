@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, secret_scan
+from . import exact_dedup, html_extract, language_id, license_scan, mixing, secret_scan
 from .common import table
 
 
@@ -16,6 +16,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.license_scan(table(spark, sf_dir, "documents")))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -24,5 +32,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op7_language_id, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op7_language_id, op9_exact_dedup)}
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
