@@ -33,6 +33,8 @@ GROUP_SHARDS = 32
 BUCKET_ROWS = 20_000
 MOST_REPEATS = 3
 _U = np.uint64
+#: Added to the key in the six rounds of the permutation.
+_STEPS = np.arange(6, dtype=_U) * _U(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -79,8 +81,8 @@ def permuted(index: np.ndarray, domain: np.ndarray, key: np.ndarray) -> np.ndarr
     while len(todo):
         x, h, m, k = out[todo], half[todo], mask[todo], key[todo]
         left, right = x >> h, x & m
-        for step in range(6):
-            left, right = right, left ^ (mix64(right + k + _U(step) * _U(0x9E3779B97F4A7C15)) & m)
+        for step in _STEPS:
+            left, right = right, left ^ (mix64(right + k + step) & m)
         x = left << h | right
         out[todo] = x
         todo = todo[x >= domain[todo].astype(_U)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, language_id, license_scan, mixing, secret_scan
+from . import exact_dedup, html_extract, language_id, license_scan, mixing, secret_scan, token_codes
 from .common import table
 
 
@@ -24,6 +25,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_token_codes(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
+    return token_codes.encode_documents(table(spark, sf_dir, "documents"), path)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -32,5 +38,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op7_language_id, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op7_language_id, op9_exact_dedup)}
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
