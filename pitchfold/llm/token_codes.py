@@ -140,7 +140,7 @@ class Encoder:
     A text where another white space touches a blank goes to the library whole.
     """
 
-    MEMORY = 400_000
+    MEMORY = 1_000_000
     TOGETHER = 256
 
     def __init__(self, path: str):
