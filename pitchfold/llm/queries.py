@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, language_id, license_scan, mixing, secret_scan, token_codes
+from . import exact_dedup, html_extract, imatch, language_id, license_scan, mixing, secret_scan, token_codes
 from .common import table
 
 
@@ -38,5 +38,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op7_language_id, op9_exact_dedup)}
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op7_language_id, op9_exact_dedup, op10_imatch)}
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
