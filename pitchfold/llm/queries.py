@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, imatch, language_id, license_scan, mixing, secret_scan, token_codes
+from . import exact_dedup, html_extract, imatch, jaccard_join, language_id, license_scan, mixing, secret_scan, token_codes
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_token_codes(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return token_codes.encode_documents(table(spark, sf_dir, "documents"), path)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op7_language_id, op9_exact_dedup, op10_imatch)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op6_jaccard_join, op7_language_id, op9_exact_dedup, op10_imatch)}
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
