@@ -54,7 +54,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` for a function from a RecordBatch to a dict of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

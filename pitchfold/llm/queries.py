@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, imatch, jaccard_join, language_id, license_scan, mixing, secret_scan, token_codes
+from . import exact_dedup, html_extract, imatch, jaccard_join, language_id, license_scan, mixing, secret_scan, token_codes, viterbi_pieces
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_viterbi_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    path = model_path or public_tokenizers.path("piece_bpe_32k.model")
+    return viterbi_pieces.digest_documents(table(spark, sf_dir, "documents"), path)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,5 +51,5 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op6_jaccard_join, op7_language_id, op9_exact_dedup, op10_imatch)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op6_jaccard_join, op7_language_id, op8_viterbi_pieces, op9_exact_dedup, op10_imatch)}
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
