@@ -30,7 +30,7 @@ from .common import map_arrow, materialise, mix64, texts
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 GROUP_SHARDS = 32
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 500
 MOST_REPEATS = 3
 _U = np.uint64
 #: Added to the key in the six rounds of the permutation.
@@ -159,9 +159,12 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size bigint")
 
 
-def segments(rows: DataFrame, buckets: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Pack words into blocks: (s, block, uid, first, words) from rows (uid, doc_id, s, size)."""
-    rows = rows.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+def segments(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Pack words into blocks: (s, block, uid, first, words) from rows (uid, doc_id, s, buckets, size).
+
+    A source has a bucket for every BUCKET_ROWS of its rows, so all buckets are about as large.
+    """
+    rows = rows.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), "buckets"))
     inside = Window.partitionBy("s", "bucket").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("s", "bucket").agg(F.sum("size").alias("n")).select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -186,12 +189,12 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """(uid, taken): words the mix takes of each row, repeats counted."""
-        uses = self.slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses"))
+        uses = self.slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")  # Spark can't tell how many slots there are
         return self.segments.join(uses, ["s", "block"]).groupBy("uid").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
 
     def copies(self) -> DataFrame:
         """(uid, copies): for each epoch that takes of a row, its word ranges in order."""
-        used = self.segments.join(self.slots.select("s", "block", "epoch"), ["s", "block"])
+        used = self.segments.join(self.slots.select("s", "block", "epoch").hint("merge"), ["s", "block"])
         ranges = used.groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("ranges"))
         return ranges.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("epoch", "ranges"))).alias("copies"))
 
@@ -201,10 +204,10 @@ def plan_mix(rows: DataFrame, weights: dict[str | None, float] | None = None, se
     spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     sources = plan_sources({r["source"]: r["size"] for r in found}, weights, block_words)
-    places = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(sources)], "s int, name string, source_size bigint, target double")
+    rows_of = {r["source"]: r["n"] for r in found}
+    places = spark.createDataFrame([(i, s.name, s.size, s.target, -(-rows_of[s.name] // BUCKET_ROWS)) for i, s in enumerate(sources)], "s int, name string, source_size bigint, target double, buckets bigint")
     named = rows.join(F.broadcast(places), rows["source"].eqNullSafe(places["name"])).drop("name")  # a row for each source
-    buckets = max(1, -(-sum(r["n"] for r in found) // BUCKET_ROWS))
-    return Mix(sources, named, segments(named.select("uid", "doc_id", "s", "size"), buckets, block_words), slots(spark, sources, seed))
+    return Mix(sources, named, segments(named.select("uid", "doc_id", "s", "buckets", "size"), block_words), slots(spark, sources, seed))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, seed: int = 0) -> DataFrame:
@@ -216,7 +219,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = materialise(sized(docs, id_col, text_col, source_col).withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
     mix = plan_mix(rows, weights, seed)
-    return mix.rows.join(mix.taken(), "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source")
+    return mix.rows.join(mix.taken().hint("merge"), "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source")
 
 
 def cut_copies(text: str, copies: list[list[tuple[int, int]]]) -> list[str]:
@@ -262,4 +265,4 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
                 out = out.set_column(k, "n_chars", pa.array([len(x) for x in flat]).cast(out.schema.field(k).type))
             yield out
 
-    return rows.join(copies, "_uid").mapInArrow(cut, fields)
+    return rows.join(copies.hint("merge"), "_uid").mapInArrow(cut, fields)
