@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..config import BALL, PLAYER, Tracking
 from ..functions.geometry import CORNERS, box, center, truncated, valid_player_box
-from ..sources.tables import frame_spine, tracker_ids
+from ..sources.tables import finite, frame_spine, tracker_ids
 
 
 def source_filter(detections: DataFrame, config: Tracking = Tracking()) -> DataFrame:
-    """What a detector that is asked for people and balls above its floor returns."""
-    return detections.withColumn("cls", F.col("cls").cast("int")).where(F.col("cls").isin(PLAYER, BALL) & (F.col("conf") >= config.min_confidence))
+    """What a detector that is asked for people and balls above its floor returns; boxes that aren't finite go."""
+    return finite(detections).withColumn("cls", F.col("cls").cast("int")).where(F.col("cls").isin(PLAYER, BALL) & (F.col("conf") >= config.min_confidence))
 
 
 def from_start(detections: DataFrame, first_frame: int) -> DataFrame:

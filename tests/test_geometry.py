@@ -1,0 +1,77 @@
+"""Hand-computed values at the boundaries of the box expressions, as Columns and as SQL functions."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from pitchfold.config import Tracking
+from pitchfold.functions.geometry import box, center, iou, register, truncated, valid_player_box
+from pitchfold.sources.tables import finite, start_frame, video_meta_derived
+
+BOXES = [
+    ((100, 50, 150, 100), True),
+    ((100, 49, 150, 120), False),
+    ((0, 100, 19, 140), False),
+    ((0, 100, 20, 140), True),
+    ((1260, 100, 1275, 140), True),
+    ((1261, 100, 1275, 140), False),
+    ((100, 700, 110, 715), True),
+    ((100, 701, 110, 716), False),
+    ((100, 100, 150, 140), True),
+    ((100, 100, 150, 139), False),
+    ((100, 100, 110, 170), True),
+    ((100, 100, 110, 171), False),
+    ((100, 100, 100, 100), True),
+]
+PAIRS = [
+    ((0, 0, 10, 10), (0, 0, 10, 10), 1.0),
+    ((0, 0, 10, 10), (5, 0, 15, 10), 1 / 3),
+    ((0, 0, 10, 10), (10, 0, 20, 10), 0.0),
+    ((0, 0, 10, 10), (0, 0, 10, 4), 0.4),
+    ((0, 0, 10, 10), (0, 0, 10, 5), 0.5),
+    ((5, 5, 5, 5), (5, 5, 5, 5), 0.0),
+]
+
+
+@pytest.mark.parametrize("kind", ["float", "bigint"])
+def test_player_boxes(spark, kind):
+    rows = spark.createDataFrame([(i, *b) for i, (b, _) in enumerate(BOXES)], "i int, x1 int, y1 int, x2 int, y2 int")
+    rows = rows.select("i", *[F.col(c).cast(kind) for c in ("x1", "y1", "x2", "y2")])
+    got = {r["i"]: r["ok"] for r in rows.select("i", valid_player_box().alias("ok")).collect()}
+    assert got == {i: ok for i, (_, ok) in enumerate(BOXES)}
+
+
+def test_overlap(spark):
+    rows = spark.createDataFrame([(i, *a, *b) for i, (a, b, _) in enumerate(PAIRS)], "i int, " + ", ".join(f"{p}{c} bigint" for p in "ab" for c in ("x1", "y1", "x2", "y2")))
+    left, right = ([F.col(p + c) for c in ("x1", "y1", "x2", "y2")] for p in "ab")
+    register(spark)
+    got = rows.select("i", iou(left, right).alias("c"), F.expr("box_iou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2)").alias("s")).collect()
+    for r in got:
+        assert r["c"] == pytest.approx(PAIRS[r["i"]][2]) == r["s"]
+    assert not PAIRS[3][2] > Tracking().max_overlap
+
+
+def test_sql_functions(spark):
+    register(spark)
+    assert spark.sql("SELECT box_center(-3, 0), box_center(3, 4), px_distance(0, 0, 3, 4), valid_player_box(100, 50, 150, 100), valid_player_box(100, 49, 150, 120)").first()[:] == (-2, 3, 5.0, True, False)
+
+
+def test_centers_round_down(spark):
+    rows = spark.createDataFrame([(-3.0, 0.0), (3.0, 4.0), (0.0, 1.0), (-1.7, -1.7)], "x1 float, x2 float")
+    got = [r[0] for r in rows.select(center(truncated("x1"), truncated("x2"))).collect()]
+    assert got == [-2, 3, 0, -1]
+
+
+def test_video_meta(spark):
+    rows = spark.createDataFrame([(0, 24.5, 100), (1, 25.5, 100), (2, 29.97, 100)], "match_id bigint, fps double, total_frames bigint")
+    assert [r["fps_rounded"] for r in video_meta_derived(rows).orderBy("match_id").collect()] == [24, 26, 30]
+    fps = spark.createDataFrame([(29.97,), (23.976,), (25.0,)], "fps double")
+    assert [r[0] for r in fps.select(start_frame(F.col("fps"))).collect()] == [35964, 28771, 30000]
+
+
+def test_only_finite_boxes_come_in(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(1.0, 1.0, 2.0, 2.0), (nan, 1.0, 2.0, 2.0), (1.0, inf, 2.0, 2.0), (1.0, 1.0, None, 2.0)], "x1 float, y1 float, x2 float, y2 float")
+    assert finite(rows).count() == 1
+    assert len(box("l")) == 4
