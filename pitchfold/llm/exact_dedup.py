@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,14 +62,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each distinct text, with all their columns."""
-    keys = (
-        exact_dedup(docs, id_col, text_col)
-        .where("kept")
-        .select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"))
-    )
-    named = docs.withColumn("_keep_sha", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    same = named[id_col].eqNullSafe(keys["_keep_id"]) & (named["_keep_sha"] == keys["_keep_sha"])
-    return named.join(keys, same, "left_semi").dropDuplicates([id_col, "_keep_sha"]).select(*docs.columns)
+    keep_id, keep_sha, sha = fresh(docs, "keep_id", "keep_sha", "sha")
+    keys = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(keep_id), F.unhex("text_sha256").alias(keep_sha))
+    named = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    same = F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.col(sha) == F.col(keep_sha))
+    return named.join(keys, same, "left_semi").dropDuplicates([id_col, sha]).select(*docs.columns)
 
 
 ORACLE = f"""

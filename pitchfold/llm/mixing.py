@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, mix64, texts
+from .common import fresh, map_arrow, materialise, mix64, texts
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
@@ -243,19 +243,20 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
     ``text`` holds the words taken and ``n_chars``, if there is one, their length.
     """
     columns, fields = docs.columns, docs.schema
-    rows = materialise(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-rows")
-    keyed = rows.select(F.col("_uid").alias("uid"), F.col("doc_id").alias("id"), F.col("text").alias("t"), F.col("source").alias("o"))
+    row_id, wanted_copies = fresh(docs, "row_id", "wanted_copies")
+    rows = materialise(docs.withColumn(row_id, F.monotonically_increasing_id()), "mix-rows")
+    keyed = rows.select(F.col(row_id).alias("uid"), F.col("doc_id").alias("id"), F.col("text").alias("t"), F.col("source").alias("o"))
 
     def size(batch: pa.RecordBatch) -> dict:
         return {"uid": batch.column("uid"), "doc_id": batch.column("id"), "source": batch.column("o"), "size": word_counts(batch.column("t"))}
 
     id_type = fields["doc_id"].dataType.simpleString()
     sizes = materialise(map_arrow(keyed, size, f"uid bigint, doc_id {id_type}, source string, size bigint"), "mix-sizes")
-    copies = plan_mix(sizes, weights, seed, block_words).copies().withColumnsRenamed({"uid": "_uid", "copies": "_copies"})
+    copies = plan_mix(sizes, weights, seed, block_words).copies().withColumnsRenamed({"uid": row_id, "copies": wanted_copies})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = [[[(r["first"], r["words"]) for r in c["ranges"]] for c in x] for x in batch.column("_copies").to_pylist()]
+            wanted = [[[(r["first"], r["words"]) for r in c["ranges"]] for c in x] for x in batch.column(wanted_copies).to_pylist()]
             made = [cut_copies(t, c) for t, c in zip(texts(batch.column("text")), wanted, strict=True)]
             out = batch.select(columns).take(pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in made])))
             flat = [x for y in made for x in y]
@@ -265,4 +266,4 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
                 out = out.set_column(k, "n_chars", pa.array([len(x) for x in flat]).cast(out.schema.field(k).type))
             yield out
 
-    return rows.join(copies.hint("merge"), "_uid").mapInArrow(cut, fields)
+    return rows.join(copies.hint("merge"), row_id).mapInArrow(cut, fields)

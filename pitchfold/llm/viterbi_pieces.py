@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import map_arrow, texts
+from .common import fresh, map_arrow, texts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10
@@ -171,12 +171,13 @@ def pieces(path: str) -> Pieces:
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: the columns of ``keep``, then ids. Null and empty texts have no ids."""
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("ids", ArrayType(IntegerType()))
+    (whole,) = fresh(docs, "whole_text")
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(whole))
+    schema = rows.drop(whole).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batch: pa.RecordBatch) -> dict:
         model = pieces(model_path)
-        ids = pa.array([model.encode(t).astype(np.int32) for t in texts(batch.column("_text"))], pa.list_(pa.int32()))
+        ids = pa.array([model.encode(t).astype(np.int32) for t in texts(batch.column(whole))], pa.list_(pa.int32()))
         return {**{c: batch.column(c) for c in keep}, "ids": ids}
 
     return map_arrow(rows, run, schema)
