@@ -37,6 +37,9 @@ RAW = frozenset("script style textarea title iframe xmp noembed noframes".split(
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NO_MAIN_TEXT = frozenset("head nav footer aside form header script style noscript template button select textarea iframe svg menu dialog".split())
 CONTAINERS = frozenset("html body main article".split())
+WHOLE = frozenset("html body main".split())
+#: Beginnings of class names that tell of a page's layout, not of what the element is.
+LAYOUT = ("with-", "with_", "has-", "has_", "no-", "no_")
 #: Words in class, id or role that name page furniture.
 FURNITURE = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo recommended related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: Start tags that end an open element of the same group inside its nearest holder.
@@ -57,10 +60,12 @@ def _element(tag: str, attributes: str, parent: Element) -> Element:
     style, words = tag, ()
     if "class" in attributes or "id" in attributes or "role" in attributes or "CLASS" in attributes:
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)}
-        words = re.split(r"[\s_-]+", " ".join(named.values()).lower())
+        words = [w for w in " ".join(named.values()).lower().split() if not w.startswith(LAYOUT)]
+        if tag != "article":  # an article's name is telling as a whole only
+            words = [w for part in words for w in re.split("[_-]+", part)]
         if named.get("class"):
             style = f"{tag}.{'.'.join(sorted(named['class'].lower().split()))}"
-    dropped = parent.dropped or tag in NO_MAIN_TEXT or tag not in CONTAINERS and not FURNITURE.isdisjoint(words)
+    dropped = parent.dropped or tag in NO_MAIN_TEXT or tag not in WHOLE and not FURNITURE.isdisjoint(words)
     parent.children.append(style)
     return Element(tag, f"{parent.path}/{style}", dropped)
 
