@@ -1,0 +1,59 @@
+"""Tables that hold every awkward case at once, for all operators."""
+
+from __future__ import annotations
+
+import random
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+SF = "/root/testdata/sf0.001"
+#: Names that the operators use inside.
+CLASHES = ("uid", "owner", "repo", "key", "norm", "h", "sha", "kept", "found", "bucket", "buckets", "extra", "size", "ids", "block", "class", "id", "s", "row_id", "_row_id", "wanted_copies", "whole_text", "keep_id", "keep_sha", "first_id", "held_out", "lang_pred", "path", "host")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+EXTRA = ", ".join(f"`{c}` string" for c in CLASHES)
+
+
+def words(seed: int, n: int) -> str:
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def awkward_rows() -> list[tuple]:
+    long = words(1, 30_000)
+    rows = [
+        (1, None, "en", "a"),
+        (2, "", "en", None),
+        (3, " \t\n ", None, "b"),
+        (4, "one", "en", "b"),
+        (5, long, "en", "a"),
+        (6, long.upper(), None, "c"),
+        (7, long[:-40] + " and then something else", "fr", "a"),
+        (8, "x" * 200_000, "en", "a"),
+        (9, "Straße ÉCOLE   naïve 中文 𝄞 token: abcdef123456 end", "de", "c"),
+        (9, "Straße ÉCOLE   naïve 中文 𝄞 token: abcdef123456 end", "de", "c"),
+        (None, words(2, 50), "en", "a"),
+        (None, None, None, None),
+        (12, words(3, 400), "fr", "b"),
+        (13, words(3, 400), "fr", "b"),
+        (14, words(4, 9), "fr", ""),
+        (-5, "12345 ... !!!   \x00 zero", "en", "d"),
+    ]
+    return [(*r, None if r[1] is None else len(r[1])) for r in rows]
+
+
+def awkward(spark: SparkSession) -> DataFrame:
+    rows = [(*r, *[f"{c}!" for c in CLASHES]) for r in awkward_rows()]
+    return spark.createDataFrame(rows, f"{DOCS}, {EXTRA}").repartition(3)
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], f"{DOCS}, {EXTRA}")
+
+
+def documents(sf: str = SF) -> pd.DataFrame:
+    return pd.read_parquet(f"{sf}/documents.parquet")
+
+
+def rows_of(df: DataFrame) -> list[tuple]:
+    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -1,0 +1,44 @@
+"""The pipeline's stages, each against a plain version over its own input."""
+
+from __future__ import annotations
+
+import public_tokenizers
+
+import corpus_pipeline
+from pitchfold.llm import language_id, mixing, viterbi_pieces
+from pitchfold.llm.common import materialise
+
+from .helpers import SF
+from .test_dedup import LOWER, _classes
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, seen = docs.columns, [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        seen.append(materialise(stage(spark, seen[-1], SF), f"test{k}"))
+    for made in seen[1:-1]:
+        assert made.columns == columns
+    texts = [{r["doc_id"]: r["text"] for r in x.select("doc_id", "text").collect()} for x in seen[:4]]
+    predicted = language_id.identify(docs, language_id.fit(docs.where(~language_id.held_out(docs["doc_id"]))))
+    assert set(texts[1]) == {r["doc_id"] for r in predicted.where("lang_pred <> 'und' AND score >= 0.02").collect()}
+    last = {}
+    for d, t in texts[1].items():
+        key = (t or "").translate(LOWER)
+        last[key] = max(d, last.get(key, d))
+    assert set(texts[2]) == set(last.values())
+    assert set(texts[3]) == {c for c, _, _ in _classes(texts[2]).values()}
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_documents(seen[3]).collect()}
+    mixed = seen[4].collect()
+    counted: dict[int, int] = {}
+    for r in mixed:
+        counted[r["doc_id"]] = counted.get(r["doc_id"], 0) + len(mixing._WORD.findall(r["text"]))
+    assert counted == {d: n for d, n in taken.items() if n}
+    model = viterbi_pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    expected = sorted((r["doc_id"], r["lang"], r["source"], model.encode(r["text"]).tolist()) for r in mixed)
+    assert sorted((r["doc_id"], r["lang"], r["source"], r["ids"]) for r in seen[5].collect()) == expected
+
+
+def test_run_gives_the_last_stage(spark):
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "lang", "source", "ids"] and got.count() > 50

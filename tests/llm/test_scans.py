@@ -1,0 +1,80 @@
+"""Secret and licence scans against plain loops over whole texts."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+from pitchfold.llm import license_scan, queries, secret_scan
+
+from .helpers import SF, documents
+
+LARGER = SF.replace("0.001", "0.01")
+
+
+def _base(text: str) -> list[tuple[int, int, str, int]]:
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m.group(2)) >= 6:
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(out)
+
+
+def test_base_spans_of_every_document(spark):
+    got = {r["doc_id"]: r for r in queries.op1_secret_scan(spark, LARGER).collect()}
+    found = 0
+    for doc_id, text in documents(LARGER)[["doc_id", "text"]].itertuples(index=False):
+        base = _base(text or "")
+        spans = [f"{kind}:{a}:{b}" for a, _, kind, b in base]
+        r = got.pop(doc_id)
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[2] == k for x in base) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("generic")] == spans
+        found += len(spans)
+    assert not got and found > 0
+
+
+def test_ownership(spark):
+    own, wide = "Zq8Rt2Lm5Xc9Vb3Nk7Pw1Ys4Hd6", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8Ii9"
+    rows = [(1, f"see {own} here", "a"), (2, f"x {own}", "a")] + [(10 + k, f"{wide} as an example, 😀 api_key = {wide}", f"s{k}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.secret_scan(docs)).collect()}
+    assert got[1]["spans"] == f"generic:4:{4 + len(own)}" and got[1]["n_live"] == 1
+    start = rows[2][1].index("api_key")
+    assert got[10]["spans"] == f"assign:{start}:{len(rows[2][1])}" and (got[10]["n_live"], got[10]["n_example"]) == (0, 1)
+    counts = secret_scan.secret_scan(docs).where("doc_id = 2").first()["found"][0]
+    assert (counts["n_owners"], counts["n_repos"], counts["live"]) == (1, 2, True)
+
+
+def test_licences_of_every_document(spark):
+    def words(text: str) -> list[str]:
+        return re.findall(r"[^\W_]+(?:\.\d+)*", text.lower())
+
+    def grams(text: str) -> set:
+        w = words(text)
+        return set(zip(w, w[1:]))
+
+    templates = {k: grams(v) for k, v in license_scan.TEMPLATES.items()}
+    expected = {}
+    for doc_id, text in documents()[["doc_id", "text"]].itertuples(index=False):
+        best: dict[str, float] = {}
+        for unit in {*(text or "").split("\n"), *re.split(r"\n\s*\n", text or ""), text or ""}:
+            own = grams(unit)
+            for name, other in templates.items():
+                dice = 2 * len(own & other) / (len(own) + len(other))
+                if dice >= 0.8:
+                    best[name] = max(dice, best.get(name, 0))
+        expected[doc_id] = best
+    scanned = license_scan.license_scan(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert {r["doc_id"]: {m["template"]: m["dice"] for m in r["matches"]} for r in scanned.collect()} == expected
+    assert sum(map(bool, expected.values())) > 1
+
+
+def test_whole_licence_with_other_line_breaks(spark):
+    mit = license_scan.TEMPLATES["MIT"].replace(" to ", "\nto ").replace("THE SOFTWARE", "\n\nTHE SOFTWARE")
+    docs = spark.createDataFrame([(1, "Copyright (c) 1999 A. Person\n" + mit), (2, "no licence here at all"), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in license_scan.digest(license_scan.license_scan(docs)).collect()}
+    assert got[1]["license"] == "MIT" and got[1]["dice"] > 0.9
+    assert (got[2]["n_matches"], got[3]["license"], got[3]["dice"]) == (0, None, 0.0)
