@@ -10,9 +10,10 @@ probability. Buckets then yield candidate pairs:
 2. after the verified stars are merged to classes, pairs across classes only.
 
 A pair becomes a candidate if its signatures do not rule the threshold out;
-candidates are verified on the whole texts. Link counts are exact: the members
-of a class meet in blocks, whose pairs are counted inside a task by matrix
-products and never become rows.
+candidates are verified on the whole texts. In buckets of over PAIRED members,
+the pairs of step 2 never become rows: members meet in blocks, all pairs are
+compared inside a task by matrix products, and only links that join classes
+come out. Link counts are exact: the members of a class meet in such blocks too.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ import math
 import re
 from collections.abc import Iterator
 from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, mix64, texts
+from .common import fresh, map_arrow, materialise, mix64, texts
 from .components import components
 
 WORDS = 5
@@ -37,8 +37,10 @@ TREES, DEPTH = 16, 8
 RECALL = 0.9995
 #: Standard deviations that an estimated similarity may lie below the threshold.
 SLACK = 4.0
-#: Members of a class that meet in one task; a task gets two such blocks.
+#: Members of a class or bucket that meet in one task; a task gets two such blocks.
 BLOCK = 256
+#: Members of the largest bucket whose pairs across classes become rows.
+PAIRED = 48
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _P = _U(0x100000001B3)
@@ -176,33 +178,62 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return found.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): exact number of links of each member (id, class, size, text) of a class."""
+def _in_blocks(members: DataFrame, group: list[str]) -> DataFrame:
+    """Deal each group's members (group, id, class, size, text) into blocks, and every two blocks into one task as (group, i, j)."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own).select("id", "class", "own", "text", F.explode(pairs).alias("p")).select("class", "p.i", "p.j", "own", "id", "text")
-    dealt = dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own).select(*group, "class", "own", "id", "text", F.explode(pairs).alias("p_")).select(F.struct(*group, "p_.i", "p_.j").alias("at"), "class", "own", "id", "text")
+    return dealt.repartition("at").sortWithinPartitions("at")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("class", "i", "j", "own", "id", "text")), strict=True)
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list, list[str]]]:
+    """Of each two blocks that meet: classes, which pairs are this task's, ids, texts."""
+    rows = ((*key.values(), *rest) for batch in batches for key, *rest in zip(*(batch.column(c).to_pylist() for c in ("at", "class", "own", "id", "text")), strict=True))
+    for (*_, i, j), group in groupby(rows, key=lambda r: r[:-4]):
+        members = [r[-4:] for r in group]
+        own = np.array([m[1] for m in members])
+        here = own[:, None] != own[None, :] if i != j else np.ones((len(own), len(own)), bool)
+        yield np.array([m[0] for m in members]), here, [m[2] for m in members], [m[3] or "" for m in members]
+
+
+def _links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """(id, links): exact number of links of each member (id, class, size, text) of a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), group in groupby(rows(batches), key=itemgetter(0, 1, 2)):
-            own, ids, sets = [], [], []
-            for *_, block, key, text in group:
-                own.append(block)
-                ids.append(key)
-                sets.append(shingles(text or ""))
-            links = link_matrix(sets, threshold)
-            if i != j:
-                own = np.array(own)
-                links &= own[:, None] != own[None, :]
+        for _, here, ids, own in _meetings(batches):
+            links = link_matrix([shingles(t) for t in own], threshold) & here
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "links": links.sum(1).astype(np.int64)})
 
     kind = members.schema["id"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"id {kind}, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+    return _in_blocks(members, ["class"]).mapInArrow(run, f"id {kind}, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def _links_across(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the classes of members (t, p, id, class, size, text) of a bucket, enough to connect all that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for classes, here, ids, own in _meetings(batches):
+            here &= classes[:, None] < classes[None, :]
+            if not here.any():
+                continue
+            x, y = np.nonzero(link_matrix([shingles(t) for t in own], threshold) & here)
+            root = {c: c for c in classes.tolist()}
+            kept: list[tuple] = []
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                ends = []
+                for c in (classes[i].item(), classes[j].item()):
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    ends.append(c)
+                if ends[0] != ends[1]:
+                    root[max(ends)] = min(ends)
+                    kept.append((ids[i], ids[j]))
+            if kept:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in kept]), "b": pa.array([b for _, b in kept])})
+
+    kind = members.schema["id"].dataType.simpleString()
+    return _in_blocks(members, ["t", "p"]).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def link_matrix(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -264,12 +295,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star_links = materialise(_verified(stars, node_texts, threshold), "star-links")
     classes = components(star_links)
     placed = materialise(members.join(classes, "id", "left").select("t", "p", "id", "sig", F.coalesce("label", "id").alias("class")), "placed")
-    mixed = placed.groupBy("t", "p").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("t", "p")
-    open_members = placed.join(mixed, ["t", "p"])
+    mixed = placed.groupBy("t", "p").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("t", "p", "size")
+    large = placed.join(mixed.where(F.col("size") > PAIRED), ["t", "p"]).select("t", "p", "id", "class", "size").join(node_texts, "id")
+    open_members = placed.join(mixed.where(F.col("size") <= PAIRED), ["t", "p"])
     x, y = open_members.alias("x"), open_members.alias("y")
     across = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.class") < F.col("y.class")) & (_estimate(F.col("x.sig"), F.col("y.sig")) >= low))
     across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = materialise(star_links.unionByName(_verified(across, node_texts, threshold)), "links")
+    links = materialise(star_links.unionByName(_verified(across, node_texts, threshold)).unionByName(_links_across(large, threshold)), "links")
     classes = components(links).select("id", F.col("label").alias("class"))
     out = nodes.select("key", "id").join(classes, "id", "left")
     if count_links:
@@ -286,6 +318,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is their class's smallest; one row an id. Null ids stay."""
-    found = jaccard_classes(docs, count_links=False).where("doc_id = class_id").select(F.col("doc_id").alias("_class_id")).distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("_class_id"), "left_semi").dropDuplicates(["doc_id"])
+    (first,) = fresh(docs, "first_id")
+    found = jaccard_classes(docs, count_links=False).where("doc_id = class_id").select(F.col("doc_id").alias(first)).distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col(first), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
