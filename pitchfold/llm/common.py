@@ -53,13 +53,19 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that only few texts at a time become Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` for a function from a RecordBatch to a dict of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(function(batch))
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict(function(batch))
 
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import map_arrow, slices, texts
 
 PROFILE = 300
 #: Labelled rows that the profiles of one language are fitted on, in expectation; all if it has fewer.
@@ -161,7 +161,7 @@ def recognised(docs: DataFrame, min_score: float = 0.02) -> DataFrame:
     fields = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [profiles.predict(t) for t in texts(batch.column("text"))]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_()))
 

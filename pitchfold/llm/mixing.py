@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, materialise, mix64, texts
+from .common import fresh, map_arrow, materialise, mix64, slices, texts
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
@@ -45,12 +45,10 @@ def word_counts(column: pa.Array) -> np.ndarray:
     """
     raw = [x.encode("utf-8", "surrogatepass") for x in texts(column)]
     data = np.frombuffer(b" ".join([b"", *raw]), np.uint8)
-    if not len(data):
-        return np.zeros(len(raw), np.int64)
     word = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    starts = np.append(0, np.cumsum(word[1:] & ~word[:-1]))
-    ends = np.cumsum([len(x) + 1 for x in raw])
-    return np.diff(np.append(0, starts[ends - 1])).astype(np.int64) if len(raw) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(word[1:] & ~word[:-1])
+    ends = np.cumsum([len(x) + 1 for x in raw], dtype=np.int64)
+    return np.diff(np.searchsorted(starts, ends - 1), prepend=0).astype(np.int64)
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS) -> list[float]:
@@ -255,7 +253,7 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
     copies = plan_mix(sizes, weights, seed, block_words).copies().withColumnsRenamed({"uid": row_id, "copies": wanted_copies})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             wanted = [[[(r["first"], r["words"]) for r in c["ranges"]] for c in x] for x in batch.column(wanted_copies).to_pylist()]
             made = [cut_copies(t, c) for t, c in zip(texts(batch.column("text")), wanted, strict=True)]
             out = batch.select(columns).take(pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in made])))

@@ -34,7 +34,7 @@ class Pieces:
     """Pieces, scores and byte pieces of a SentencePiece model file."""
 
     #: Words that a task remembers.
-    MEMORY = 700_000
+    MEMORY = 200_000
     #: Longer words are streamed, and not remembered.
     LONG = 64
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from pitchfold.llm import mixing, queries
 
@@ -99,3 +100,10 @@ def test_mixed_texts_are_runs_of_their_document(spark):
         counted[r["doc_id"]] += len(r["text"].split())
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix_documents(docs).collect()}
     assert {k: v for k, v in taken.items() if v} == dict(counted)
+
+
+def test_word_counts():
+    rng = np.random.default_rng(1)
+    these = ["".join(rng.choice(list("ab \t\n\x0b\x0c\r\x1f é𝄞\x85"), rng.integers(30))) for _ in range(500)] + ["", None]
+    assert mixing.word_counts(pa.array(these)).tolist() == [len(WORD.findall(t or "")) for t in these]
+    assert mixing.word_counts(pa.array([], pa.string())).tolist() == []
