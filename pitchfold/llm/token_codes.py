@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, texts
+from .common import shared_dir, slices, texts
 
 SEGMENT_IDS = 1 << 17
 RANK_BITS = 512
@@ -137,10 +137,11 @@ class Encoder:
     The pre-tokenizer always cuts before a blank between two characters that
     are no white space, so such pieces have the same ids in any text. Pieces
     that were met before are looked up; new ones go to the library together.
+    When the memory is full, pieces that the texts at hand met again stay.
     A text where another white space touches a blank goes to the library whole.
     """
 
-    MEMORY = 1_000_000
+    MEMORY = 600_000
     TOGETHER = 256
 
     def __init__(self, path: str):
@@ -168,8 +169,7 @@ class Encoder:
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) == len(group) and cuts[0] == 0:
                 raw, bounds = ids.tobytes(), (np.append(cuts, len(ids)) * ids.itemsize).tolist()
-                for piece, a, b in zip(group, bounds, bounds[1:], strict=False):
-                    self.known[piece] = raw[a:b]
+                self.known.update(zip(group, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
             else:
                 for piece, own in zip(group, self._whole([" " + p for p in group]), strict=True):
                     self.known[piece] = own.tobytes()
@@ -177,23 +177,26 @@ class Encoder:
     def encode(self, these: list[str]) -> list[np.ndarray]:
         known = self.known
         split = [t.split(" ") for t in these]
+        heads = [words[0] for words in split]
         whole = {k for k, words in enumerate(split) if len(words) > 1 and (not words[0] or _white(words[0][-1]))}
-        new = {w for words in split for w in words[1:] if w not in known}
-        if unsafe := {w for w in new if not w or _white(w[0]) or _white(w[-1])}:
-            whole |= {k for k, words in enumerate(split) if not unsafe.isdisjoint(words[1:])}
+        for words in split:
+            del words[0]
+        met = set().union(*split)
+        new = met - known.keys()
+        if unsafe := {w for w in new if not w or w != w.strip() or "\u180e" in w}:
+            whole |= {k for k, words in enumerate(split) if not unsafe.isdisjoint(words)}
             new -= unsafe
         if len(known) + len(new) > self.MEMORY:
-            known.clear()
-            new = {w for k, words in enumerate(split) if k not in whole for w in words[1:]}
+            known = self.known = {w: known[w] for w in met & known.keys()}
         self._learn(list(new))
-        heads = self._whole([words[0] for words in split])
         order = sorted(whole)
         plain = dict(zip(order, self._whole([these[k] for k in order]), strict=True))
-        return [plain[k] if k in plain else np.concatenate([head, np.frombuffer(b"".join([known[w] for w in words[1:]]), self.dtype)]) for k, (head, words) in enumerate(zip(heads, split, strict=True))]
+        get = known.__getitem__
+        return [plain[k] if k in plain else np.concatenate([head, np.frombuffer(b"".join(map(get, words)), self.dtype)]) for k, (head, words) in enumerate(zip(self._whole(heads), split, strict=True))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 def _steps(rows: Iterator[tuple[int | None, str]]) -> Iterator[list[tuple[int | None, str]]]:
@@ -231,7 +234,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "d
             return pa.RecordBatch.from_pydict({"part": [part], "seq": pa.array([seq], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([pack(keys, ids)], pa.binary())}, schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
-        for batch in batches:
+        for batch in slices(batches):
             for group in _steps(zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True)):
                 for (key, _), own in zip(group, encoder.encode([t for _, t in group]), strict=True):
                     keys.append(key)
