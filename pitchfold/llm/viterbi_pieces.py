@@ -1,6 +1,8 @@
-"""SentencePiece encoding and decoding by a streaming Viterbi search.
+"""SentencePiece encoding and decoding: BPE merges, and a streaming Viterbi search.
 
-A text's best segmentation is the one with the largest sum of its pieces'
+``pieces`` takes the method that the model was trained for. The scores of a BPE
+model are the order of its merges, so ``Merges`` applies them. The scores of a
+unigram model are log-probabilities, for which ``Pieces`` is the search: a text's best segmentation is the one with the largest sum of its pieces'
 scores, as in a unigram model. The search holds only the positions from which a
 piece may still grow, and commits ids once the backpointer paths of all of them
 meet in one boundary. In vocabularies where no piece runs from another
@@ -14,6 +16,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +142,7 @@ class Pieces:
         known = self.known
         words = text.replace(MARK, " ").split(" ")
         if "" in words:
-            return np.frombuffer(b"".join([self._chunk(c) for c in _CHUNK.findall(MARK + MARK.join(words))]), self.dtype)
+            words = [c if c[1:2] in ("", MARK) else c[1:] for c in _CHUNK.findall(MARK + MARK.join(words))]
         get = known.get
         out = [get(w) for w in words]
         if None in out:
@@ -148,7 +151,7 @@ class Pieces:
             for k, x in enumerate(out):
                 if x is None:
                     w = words[k]
-                    out[k] = x = get(w) or self._chunk(MARK + w)
+                    out[k] = x = get(w) or self._chunk(w if w[:1] == MARK else MARK + w)
                     if len(w) < self.LONG:
                         known[w] = x
         return np.frombuffer(b"".join(out), self.dtype)
@@ -159,16 +162,80 @@ class Pieces:
         return out[1:] if out[:1] == " " else out
 
 
+class Merges(Pieces):
+    """The ids of a BPE model: of all adjacent pairs that make a piece, the one with the largest score is merged first, ties from the left."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        if not self.by_word:
+            raise ValueError(f"{path}: a piece runs into the next word, so words can't be merged one by one")
+        #: Score of each piece, negated, as the smallest is merged first.
+        self.order = {p: -s for p, (s, _) in self.table.items() if s > NOWHERE}
+
+    def _merged(self, word: str) -> list[str]:
+        """The parts of a short word after all merges."""
+        get, never = self.order.get, float("inf")
+        parts = list(word)
+        cost = [get(a + b, never) for a, b in zip(parts, parts[1:])]
+        while cost and (least := min(cost)) < never:
+            k = cost.index(least)
+            parts[k] += parts.pop(k + 1)
+            del cost[k]
+            if k < len(cost):
+                cost[k] = get(parts[k] + parts[k + 1], never)
+            if k:
+                cost[k - 1] = get(parts[k - 1] + parts[k], never)
+        return parts
+
+    def _merged_long(self, word: str) -> list[str]:
+        """The same in n log n steps: parts are linked, and stale pairs are left in the heap."""
+        get, n = self.order.get, len(word)
+        parts: list[str] = list(word)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(c, k, word[k : k + 2]) for k in range(n - 1) if (c := get(word[k : k + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, k, pair = heappop(heap)
+            other = after[k]
+            if not parts[k] or other >= n or parts[k] + parts[other] != pair:
+                continue
+            parts[k], parts[other], after[k] = pair, "", after[other]
+            if after[k] < n:
+                before[after[k]] = k
+                if (c := get(pair + parts[after[k]])) is not None:
+                    heappush(heap, (c, k, pair + parts[after[k]]))
+            if (p := before[k]) >= 0 and (c := get(parts[p] + pair)) is not None:
+                heappush(heap, (c, p, parts[p] + pair))
+        return [p for p in parts if p]
+
+    def _chunk(self, text: str) -> bytes:
+        path: list[int] = []
+        for part in self._merged(text) if len(text) <= self.LONG else self._merged_long(text):
+            if part in self.order:
+                path.append(self.table[part][1])
+            else:
+                path += [self.byte_ids[b] for b in part.encode("utf-8", "replace")]
+        return array(self.code, path).tobytes()
+
+
+UNIGRAM_MODEL, BPE_MODEL = 1, 2  # TrainerSpec.model_type
 _MODELS: dict[str, Pieces] = {}
 
 
 def pieces(path: str) -> Pieces:
-    """The model of a file, loaded once a Python worker."""
+    """The model of a file with the method of its type, loaded once a Python worker."""
     if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
+        _MODELS[path] = {UNIGRAM_MODEL: Pieces, BPE_MODEL: Merges}[model_type(path)](path)
     return _MODELS[path]
 
 
+def model_type(path: str) -> int:
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path, "rb") as f:
+        return sentencepiece_model_pb2.ModelProto.FromString(f.read()).trainer_spec.model_type
+
+
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: the columns of ``keep``, then ids. Null and empty texts have no ids."""
     (whole,) = fresh(docs, "whole_text")
