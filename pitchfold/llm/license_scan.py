@@ -1,14 +1,18 @@
 """License scan: Dice coefficient over word bigrams against licence templates.
 
-Units are the lines of a text, its paragraphs (runs of non-blank lines) and the
-whole text. A unit of a bigrams can only reach Dice d with a template of b
-bigrams if d/(2-d) * b <= a <= (2-d)/d * b, so the sizes prune most templates
-before any set is built.
+Units are the lines of a text, its paragraphs (runs of non-blank lines), runs
+of consecutive paragraphs, the whole text, and all windows of as many words as
+the template has. A unit of a bigrams, c of them in a template of b bigrams, can
+only reach Dice d if d/(2-d) * b <= a <= (2-d)/d * b, and then c >= d/(2-d) * b.
+So a text that has fewer of a template's bigrams in all needs no units of it.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter, deque
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,69 +37,162 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC-BY-NC-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-notice": "Licensed under CC BY 4.0.",
+    "MIT-notice-3": "Licensed under the MIT License.",
+    "MIT-notice-4": "This project is licensed under the MIT License.",
+    "MIT-notice-5": "Distributed under the MIT License.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "LGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL-notice": "This work is licensed under the GNU Lesser General Public License.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "AGPL-notice": "This work is licensed under the GNU Affero General Public License.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "CC-BY-NC-SA-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-SA-notice": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
+TEMPLATES |= {f"{x}-SPDX": f"SPDX-License-Identifier: {x}" for x in ("MIT", "ISC", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0")}
+#: Full texts, a file each.
+TEMPLATES |= {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
-def bigrams(text: str, most: float = float("inf")) -> set[tuple[str, str]]:
-    """Distinct word bigrams; stops once there are over ``most``, as a set only grows."""
-    words = (m[0] for m in _WORD.finditer(text.lower()))
-    last, out = next(words, None), set()
-    for word in words:
-        out.add((last, word))
-        if len(out) > most:
-            break
-        last = word
-    return out
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def bigrams(text: str) -> set[tuple[str, str]]:
+    own = words(text)
+    return set(zip(own, own[1:]))
 
 
 def bounds(size: int, threshold: float) -> tuple[float, float]:
     return threshold / (2 - threshold) * size, (2 - threshold) / threshold * size
 
 
-def units(text: str) -> list[str]:
-    """Lines, paragraphs of several lines and, if it is neither, the whole text."""
-    paragraphs = [p for p in re.split(r"\n\s*\n", text) if p.strip()]
-    lines = [x for x in text.split("\n") if x.strip()]
-    out = lines + [p for p in paragraphs if "\n" in p.strip()]
-    return out + [text] if len(paragraphs) > 1 else out
+def paragraphs(text: str) -> list[str]:
+    return [p for p in re.split(r"\n\s*\n", text) if p.strip()]
+
+
+def runs(parts: list[list[str]], holders: dict[tuple[str, str], list[str]], most: float):
+    """Number of bigrams, and of those shared with each template, of each run of two or more consecutive parts, up to ``most``.
+
+    ``holders`` has the templates of a bigram. Runs that begin or end with a part
+    without any of these are no better than shorter ones.
+    """
+    for i, first in enumerate(parts):
+        own: set = set()
+        common: Counter = Counter()
+        last: list[str] = []
+        for k, part in enumerate(parts[i:]):
+            joined = last + part
+            new = set(zip(joined, joined[1:])) - own
+            own |= new
+            if len(own) > most:
+                break
+            shared = [x for gram in new for x in holders.get(gram, ())]
+            if not k and not shared and (i + 1 == len(parts) or (first[-1], parts[i + 1][0]) not in holders):
+                break
+            common.update(shared)
+            last = joined[-1:]
+            if k and shared:
+                yield len(own), common
+
+
+def best_window(own: list[tuple[str, str]], template: set[tuple[str, str]], size: int) -> float:
+    """The largest Dice of ``size`` consecutive bigrams; counts are updated as the window moves."""
+    held: Counter = Counter()
+    window: deque = deque()
+    common, best = 0, 0.0
+    for gram in own:
+        window.append(gram)
+        held[gram] += 1
+        if held[gram] == 1 and gram in template:
+            common += 1
+        if len(window) > size:
+            old = window.popleft()
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+                common -= old in template
+        if len(window) == size:
+            best = max(best, 2 * common / (len(held) + len(template)))
+    return best
 
 
 def scanner(templates: dict[str, str], threshold: float):
     """A function from a text to its matches: (template, dice), best first; ties by name."""
     sets = {k: bigrams(v) for k, v in templates.items()}
+    lengths = {k: len(words(v)) - 1 for k, v in templates.items()}
     sizes = {k: bounds(len(v), threshold) for k, v in sets.items()}
-    low, high = min(x for x, _ in sizes.values()), max(x for _, x in sizes.values())
+    known = frozenset().union(*sets.values())
+    least = min(x for x, _ in sizes.values()) - 1e-9
 
     def scan(text: str) -> list[tuple[str, float]]:
+        own = words(text)
+        own = list(zip(own, own[1:]))
+        hits = known.intersection(own)
+        if len(hits) < least:
+            return []
+        asked = {k: v for k, v in sets.items() if len(hits & v) >= sizes[k][0] - 1e-9}
+        if not asked:
+            return []
         best: dict[str, float] = {}
-        for unit in units(text):
-            if len(unit) < 2 * low:  # each bigram takes two characters at least
-                continue
-            own = bigrams(unit, high)
-            for name, (a, b) in sizes.items():
-                if a <= len(own) <= b:
-                    dice = 2 * len(own & sets[name]) / (len(own) + len(sets[name]))
+
+        def compare(unit: set) -> None:
+            for name, template in asked.items():
+                if sizes[name][0] - 1e-9 <= len(unit) <= sizes[name][1] + 1e-9:
+                    dice = 2 * len(unit & template) / (len(unit) + len(template))
                     if dice >= threshold and dice > best.get(name, 0):
                         best[name] = dice
+
+        for line in text.split("\n"):
+            compare(bigrams(line))
+        compare(set(own))
+        parts = [own_words for p in paragraphs(text) if (own_words := words(p))]
+        for part in parts:
+            compare(set(zip(part, part[1:])))
+        holders: dict[tuple[str, str], list[str]] = {}
+        for name, template in asked.items():
+            for gram in hits & template:
+                holders.setdefault(gram, []).append(name)
+        for size, common in runs(parts, holders, max(sizes[k][1] for k in asked)):
+            for name, c in common.items():
+                dice = 2 * c / (size + len(sets[name]))
+                if dice >= threshold and dice > best.get(name, 0):
+                    best[name] = dice
+        for name, template in asked.items():
+            dice = best_window(own, template, lengths[name])
+            if dice >= threshold and dice > best.get(name, 0):
+                best[name] = dice
         return sorted(best.items(), key=lambda x: (-x[1], x[0]))
 
     return scan
 
 
+@functools.lru_cache(maxsize=4)
+def _scanner(templates: tuple[tuple[str, str], ...] | None, threshold: float):
+    """Built once a Python worker; None stands for TEMPLATES."""
+    return scanner(TEMPLATES if templates is None else dict(templates), threshold)
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, matches = array of (template, dice), best first.
 
     Null and empty texts match nothing. Ties go by the template's name.
     ``templates`` ride along with the tasks: they are a fixed list of texts, not data.
     """
-    scan = scanner(templates or TEMPLATES, threshold)
+    asked = tuple(templates.items()) if templates else None
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = pa.list_(pa.struct([("template", pa.string()), ("dice", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> dict:
+        scan = _scanner(asked, threshold)
         found = [[{"template": t, "dice": d} for t, d in scan(x)] for x in texts(batch.column("text"))]
         return {"doc_id": batch.column("doc_id"), "matches": pa.array(found, kind)}
 
