@@ -23,6 +23,10 @@ PROFILE = 300
 #: Labelled rows that the profiles of one language are fitted on, in expectation; all if it has fewer.
 FIT_ROWS = 4000
 UNDETERMINED = "und"
+#: A language is recognised from this share of the score that all but QUANTILE of its fitting rows of like length reach.
+QUANTILE, MARGIN = 0.001, 0.85
+#: Lengths with fewer fitting rows of a language go by the language's rows of any length.
+LEAST_ROWS = 100
 _BLANK = 32
 
 
@@ -106,12 +110,23 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     A language with more than ``fit_rows`` rows is fitted on about that many of
     them, chosen by a hash of the id. Only PROFILE rows a language reach the driver.
     """
+    return _fit(fitting_rows(labelled, text_col, lang_col, id_col, fit_rows))
+
+
+def fitting_rows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame | None:
+    """(lang, text) of the rows to fit on; None if no row has a label and a text."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Profiles.of({})
+        return None
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, fit_rows / n))]), F.col("lang"))
+    return rows.where(draw < share).select("lang", "text")
+
+
+def _fit(rows: DataFrame | None) -> Profiles:
+    if rows is None:
+        return Profiles.of({})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +137,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
                 codes, n = ngrams(" ".join(own))
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "code": codes.astype(np.int64), "n": n.astype(np.int64)})
 
-    counted = rows.where(draw < share).select("lang", "text").mapInArrow(count, "lang string, code bigint, n bigint")
+    counted = rows.mapInArrow(count, "lang string, code bigint, n bigint")
     totals = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
@@ -153,16 +168,45 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return identify(docs, profiles, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def recognised(docs: DataFrame, min_score: float = 0.02) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is recognised: not ``und``, score at least ``min_score``."""
+def length_class(text: str) -> int:
+    """Powers of two of the characters; scores rise with length."""
+    return len(text).bit_length()
+
+
+def score_bounds(rows: DataFrame | None, profiles: Profiles) -> dict[tuple[str, int | None], float]:
+    """Least score by (language, length class), and by (language, None) for any length, from the fitting rows that get their own label."""
+    if rows is None:
+        return {}
+
+    def run(batch: pa.RecordBatch) -> dict:
+        own = texts(batch.column("text"))
+        found = [profiles.predict(t) for t in own]
+        return {"lang": batch.column("lang"), "pred": pa.array([x for x, _ in found], pa.string()), "length": pa.array([length_class(t) for t in own], pa.int32()), "score": pa.array([x for _, x in found], pa.float64())}
+
+    scored = map_arrow(rows, run, "lang string, pred string, length int, score double").where("lang = pred")
+    low = scored.rollup("lang", "length").agg(F.percentile_approx("score", QUANTILE, 10_000).alias("low"), F.count(F.lit(1)).alias("n")).where("lang IS NOT NULL")
+    return {(r["lang"], r["length"]): MARGIN * r["low"] for r in low.collect() if r["length"] is None or r["n"] >= LEAST_ROWS}
+
+
+def recognised(docs: DataFrame, min_score: float | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is recognised: not ``und``, score at least ``min_score``.
+
+    Without ``min_score`` the bound comes from the fitting rows, by language and length of text.
+    """
     if "lang" not in docs.columns:
         raise ValueError("docs needs a column lang to learn from")
-    profiles = fit(docs.where(~held_out(F.col("doc_id"))))
+    rows = fitting_rows(docs.where(~held_out(F.col("doc_id"))))
+    profiles = _fit(rows)
+    bounds = score_bounds(rows, profiles) if min_score is None else {}
     fields = docs.schema
 
+    def known(text: str) -> bool:
+        lang, score = profiles.predict(text)
+        least = min_score if min_score is not None else bounds.get((lang, length_class(text)), bounds.get((lang, None), 0.0))
+        return lang != UNDETERMINED and score >= least
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [profiles.predict(t) for t in texts(batch.column("text"))]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([known(t) for t in texts(batch.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, fields)
