@@ -3,8 +3,8 @@
 One Python pass finds candidates in whole texts and keeps only their offsets
 and a 128-bit hash of the value. Spark then counts, for each hash, the distinct
 owners and repositories that hold it, and classes it as *live* (specific to a
-few owners) or *example* (widely copied). Base kinds always stay; the method
-adds spans of the ``generic`` kind, long mixed tokens, if they are live.
+few owners, however many copies there are) or *example* (widely copied). All
+spans stay with their class; the ``generic`` kind are long mixed tokens.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 MIN_ASSIGN = 6
 MIN_ENTROPY = 3.5
+#: Tokens of two character classes need more, and to change between classes once in so many characters.
+MIN_ENTROPY_TWO, CHANGE_EVERY = 3.9, 6
+_CHANGE = re.compile("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
 def entropy(value: str) -> float:
@@ -37,6 +40,8 @@ def entropy(value: str) -> float:
 
 def looks_generic(value: str) -> bool:
     kinds = bool(re.search("[a-z]", value)) + bool(re.search("[A-Z]", value)) + bool(re.search("[0-9]", value))
+    if kinds == 2:
+        return len(_CHANGE.findall(value)) * CHANGE_EVERY >= len(value) and entropy(value) >= MIN_ENTROPY_TWO
     return kinds == 3 and entropy(value) >= MIN_ENTROPY
 
 
@@ -64,24 +69,24 @@ def _scan(batch: pa.RecordBatch) -> dict:
     return {"doc_id": batch.column("doc_id"), "owner": batch.column("owner"), "repo": batch.column("repo"), "cands": found}
 
 
-def ownership(spans: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+def ownership(spans: DataFrame, max_owners: int) -> DataFrame:
     """h, n_owners, n_repos, live from rows (h, owner, repo); exact distinct counts, pre-aggregated by owner and by repository."""
     owners = spans.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"))
     repos = spans.groupBy("h", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("n_repos"))
-    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
-    return owners.join(repos, "h").withColumn("live", live)
+    return owners.join(repos, "h").withColumn("live", F.col("n_owners") <= max_owners)
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 2, max_repos: int = 3) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, found = array of (start, kind, end, n_owners, n_repos, live), sorted.
 
-    Null text counts as empty; null owners and repositories count as one each.
+    Without ``repo_col`` each distinct text counts as a repository, so copies of
+    a document are one. Null text counts as empty; null owners and repositories count as one each.
     Repeated rows are scanned each for itself. An empty table gives an empty result.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(owner_col).cast("string").alias("owner"),
-        F.col(repo_col).cast("string").alias("repo"),
+        (F.col(repo_col).cast("string") if repo_col else F.md5(F.col(text_col).cast("string").cast("binary"))).alias("repo"),
         F.col(text_col).cast("string").alias("text"),
     )
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -89,8 +94,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialise(found.withColumn("uid", F.monotonically_increasing_id()), "secrets")
     spans = found.select("uid", "owner", "repo", F.explode("cands").alias("c")).select("uid", "owner", "repo", "c.*")
     classed = (
-        spans.join(ownership(spans, max_owners, max_repos), "h")
-        .where((F.col("kind") < 3) | F.col("live"))
+        spans.join(ownership(spans, max_owners), "h")
         .groupBy("uid")
         .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repos", "live"))).alias("found"))
     )
@@ -103,16 +107,18 @@ def _joined(spans):
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """The columns of the query from those of ``secret_scan``."""
+    """The columns of the query from those of ``secret_scan``; generic spans that are examples have a column of their own."""
     base = F.filter("found", lambda x: x["kind"] < 3)
-    count = lambda test: F.size(F.filter("found", test)).cast("bigint")
+    named = F.filter("found", lambda x: (x["kind"] < 3) | x["live"])
+    count = lambda test: F.size(F.filter(named, test)).cast("bigint")
     return scanned.select(
         "doc_id",
         count(lambda x: x["kind"] == 0).alias("n_assign"),
         count(lambda x: x["kind"] == 1).alias("n_access"),
         count(lambda x: x["kind"] == 2).alias("n_hex"),
         F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined("found").alias("spans"),
+        _joined(named).alias("spans"),
         count(lambda x: x["live"]).alias("n_live"),
         count(lambda x: ~x["live"]).alias("n_example"),
+        _joined(F.filter("found", lambda x: (x["kind"] == 3) & ~x["live"])).alias("generic_examples"),
     )
