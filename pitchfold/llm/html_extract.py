@@ -1,7 +1,8 @@
 """Main text of web pages by a site style tree.
 
 Pages of one host are merged by style path (the tags and classes from the root
-down). Each branch gets an importance from entropies over the host's m pages:
+down). Each branch gets an importance from entropies over the host's m distinct
+pages:
 
 * content: 1 - mean over its distinct texts of log(pages with the text) / log m,
   so texts that many pages share make a branch noise;
@@ -143,15 +144,15 @@ def host_of(url: Column) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct features of each page: (host, path, presentation?, feature)."""
+    """Distinct features of each page: (host, path, presentation?, feature, share of the page's copies)."""
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for host, page in zip(batch.column("host").to_pylist(), texts(batch.column("html")), strict=True):
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for host, page, copies in zip(batch.column("host").to_pylist(), texts(batch.column("html")), batch.column("copies").to_pylist(), strict=True):
             blocks, inner = parse(page)
             for path, shape, feature in {*((p, False, t) for p, t, _ in blocks), *((p, True, s) for p, s in inner)}:
-                for column, value in zip(out, (host, path, shape, feature), strict=True):
+                for column, value in zip(out, (host, path, shape, feature, 1 / copies), strict=True):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.string())], ["host", "path", "shape", "feature"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.string()), pa.array(out[4], pa.float64())], ["host", "path", "shape", "feature", "share"])
 
 
 def _tree(counts: DataFrame, pages: DataFrame | int, by: list[str]) -> DataFrame:
@@ -174,17 +175,26 @@ def _tree(counts: DataFrame, pages: DataFrame | int, by: list[str]) -> DataFrame
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, path, importance) of every branch that holds text, from pages (host, html)."""
+    """(host, path, importance) of every branch that holds text, from pages (host, html).
+
+    Equal pages of a host count as one: each of c copies adds 1/c, so that no
+    page has to be shuffled.
+    """
+    pages = pages.select("host", "html", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("same"))
+    distinct = pages.groupBy("host", "same").agg(F.count(F.lit(1)).alias("copies"))
+    repeated = distinct.where("copies > 1")
     counts = (
-        pages.mapInArrow(_features, "host string, path string, shape boolean, feature string")
+        pages.join(repeated, ["host", "same"], "left")
+        .select("host", "html", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
+        .mapInArrow(_features, "host string, path string, shape boolean, feature string, share double")
         .groupBy("host", "path", "shape", F.xxhash64("feature").alias("feature"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.round(F.sum("share")).cast("bigint").alias("n"))
     )
     counts = materialise(counts, "style-tree")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("m"))
+    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("m"))
     composite = lambda t: F.when(F.col(f"{t}.shape").isNull(), F.col(f"{t}.content")).otherwise(GAMMA * F.col(f"{t}.content") + (1 - GAMMA) * F.col(f"{t}.shape"))
     own = _tree(counts, sizes, ["host"]).join(sizes, "host").alias("own")
-    all_hosts = _tree(counts, pages.count(), []).alias("all")
+    all_hosts = _tree(counts, distinct.count(), []).alias("all")
     both = own.join(all_hosts, F.col("own.path") == F.col("all.path"))
     weight = F.col("own.m") / (F.col("own.m") + PRIOR_PAGES)
     return both.select("own.host", "own.path", (weight * composite("own") + (1 - weight) * composite("all")).alias("importance"))
@@ -200,7 +210,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per row of ``pages``: page_id, url, text (blocks joined by one line feed), n_chars, n_removed.
 
     Null html counts as empty; null urls and those without a host form one site.
-    Repeated rows are pages of their own. Branches are removed with all below
+    Repeated rows are rows of their own in the result, but equal pages of a host
+    are one page of its style tree. Branches are removed with all below
     them; html and body are never removed whole.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
