@@ -12,11 +12,12 @@ and repeated tasks; the payload of a row is the format described here.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, texts
+from .common import delete_at_end, shared_dir, slices
+from .unit_memory import END, UnitMemory, assembled, steps
 
 SEGMENT_IDS = 1 << 17
 RANK_BITS = 512
@@ -126,101 +128,157 @@ class Segment:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def _white(character: str) -> bool:
-    """White space to Python or to the pre-tokenizer's pattern."""
-    return character.isspace() or character == "\u180e"
+#: Classes of bytes for the cuts; OTHER is what the pattern's punctuation run takes, UNSURE all that isn't ASCII or is a control character.
+LETTER, DIGIT, OTHER, APOSTROPHE, BLANK, WHITE, UNSURE, OVER = range(8)
 
 
-class Encoder:
-    """A byte-level BPE of the tokenizers library, with a bounded memory of words.
+def _byte_classes() -> np.ndarray:
+    out = np.full(256, UNSURE, np.uint8)
+    for c in range(0x21, 0x7F):
+        out[c] = LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else OTHER
+    out[ord("'")], out[ord(" ")], out[END] = APOSTROPHE, BLANK, OVER
+    out[9:14] = WHITE
+    return out
+
+
+def _cut_table() -> np.ndarray:
+    """[8 * class before + class after]: whether the byte-level pattern always cuts there; runs of white space need more."""
+    cuts = np.zeros((8, 8), bool)
+    cuts[LETTER, [DIGIT, OTHER, APOSTROPHE]] = cuts[DIGIT, [LETTER, OTHER, APOSTROPHE]] = True
+    cuts[OTHER, [LETTER, DIGIT]] = cuts[APOSTROPHE, DIGIT] = True
+    cuts[:BLANK, [BLANK, WHITE]] = cuts[UNSURE, [BLANK, WHITE]] = True
+    cuts[WHITE, :BLANK] = cuts[WHITE, UNSURE] = True
+    cuts[OVER, :] = cuts[:, OVER] = True
+    return cuts.reshape(-1)
+
+
+_CLASS, _CUTS = _byte_classes(), _cut_table()
+#: Bytes that may begin or be white space beyond the six ASCII blanks, and the bytes after them that make it so.
+_ODD_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_LEADS = np.zeros(256, bool)
+_LEADS[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+
+
+def _byte_signs() -> list[str]:
+    """The character that byte-level BPE writes for each byte: printable Latin-1 as it is, the others in order from U+0100 on."""
+    own = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xFF and c != 0xAD]
+    rest = iter(range(256, 512))
+    return [chr(c if c in own else next(rest)) for c in range(256)]
+
+
+_SIGNS = dict(enumerate(_byte_signs()))
+#: Code points below are letters or not in every version of Unicode alike.
+SETTLED = "\u0250"
+
 
-    The pre-tokenizer always cuts before a blank between two characters that
-    are no white space, so such pieces have the same ids in any text. Pieces
-    that were met before are looked up; new ones go to the library together.
-    When the memory is full, pieces that the texts at hand met again stay.
-    A text where another white space touches a blank goes to the library whole.
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places where the byte-level pattern cuts whatever stands around, in texts that END closes; the last is the end of all.
+
+    A run of white space before another character is cut before its last
+    one, which a blank takes along to the word behind it.
     """
+    kind = np.append(_CLASS[data], OVER)
+    at = np.append(True, _CUTS[kind[:-2] * np.uint8(8) + kind[1:-1]])
+    white = (kind == BLANK) | (kind == WHITE)
+    at[1:] |= white[:-2] & white[1:-1] & ~white[2:] & (kind[2:] != OVER)
+    return np.append(np.flatnonzero(at), len(data))
+
 
-    MEMORY = 600_000
-    TOGETHER = 256
+class Encoder:
+    """A tokenizer of the tokenizers library, with a bounded memory of units.
+
+    If the file is a byte-level BPE with the usual pattern, texts are cut where
+    that pattern always cuts; units that were met lately are looked up, others
+    go to the library. Texts with rare white space or an added token
+    go to the library whole, and so does every text if the file is of another kind.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        before, model = config.get("pre_tokenizer") or {}, config["model"]
+        self.added = [t["content"].encode() for t in config.get("added_tokens", [])]
+        self.usual = (
+            (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+            and not config.get("normalizer")
+            and (model.get("type"), model.get("dropout"), model.get("ignore_merges", False)) == ("BPE", None, False)
+        )
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
-        self.opens = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")  # the byte-level sign of a blank
-        self.known: dict[str, bytes] = {}
+        self.memory = UnitMemory(self._learn, self.dtype)
 
     def _whole(self, these: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(these, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one text, and cut the ids where a blank opens one."""
-        todo = iter(pieces)
-        groups = []
-        while group := list(islice(todo, self.TOGETHER)):
-            groups.append(group)
-        for group, ids in zip(groups, self._whole([" " + " ".join(g) for g in groups]), strict=True):
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(group) and cuts[0] == 0:
-                raw, bounds = ids.tobytes(), (np.append(cuts, len(ids)) * ids.itemsize).tolist()
-                self.known.update(zip(group, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+    def _learn(self, units: list[bytes]) -> list[np.ndarray]:
+        """Ids of new units. A run of letters, with or without a blank, is one word of the pattern and goes to the library's model at once."""
+        out: list = [None] * len(units)
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for k, unit in enumerate(units):
+            own = unit.decode("utf-8")
+            if own.removeprefix(" ").isalpha() and max(own) < SETTLED:
+                out[k] = np.array([t.id for t in tokenize(unit.decode("latin-1").translate(_SIGNS))], self.dtype)
             else:
-                for piece, own in zip(group, self._whole([" " + p for p in group]), strict=True):
-                    self.known[piece] = own.tobytes()
-
-    def encode(self, these: list[str]) -> list[np.ndarray]:
-        known = self.known
-        split = [t.split(" ") for t in these]
-        heads = [words[0] for words in split]
-        whole = {k for k, words in enumerate(split) if len(words) > 1 and (not words[0] or _white(words[0][-1]))}
-        for words in split:
-            del words[0]
-        met = set().union(*split)
-        new = met - known.keys()
-        if unsafe := {w for w in new if not w or w != w.strip() or "\u180e" in w}:
-            whole |= {k for k, words in enumerate(split) if not unsafe.isdisjoint(words)}
-            new -= unsafe
-        if len(known) + len(new) > self.MEMORY:
-            known = self.known = {w: known[w] for w in met & known.keys()}
-        self._learn(list(new))
-        order = sorted(whole)
-        plain = dict(zip(order, self._whole([these[k] for k in order]), strict=True))
-        get = known.__getitem__
-        return [plain[k] if k in plain else np.concatenate([head, np.frombuffer(b"".join(map(get, words)), self.dtype)]) for k, (head, words) in enumerate(zip(self._whole(heads), split, strict=True))]
-
+                rest.append((k, own))
+        for (k, _), ids in zip(rest, self._whole([u for _, u in rest]), strict=True):
+            out[k] = ids
+        return out
 
-_ENCODERS: dict[str, Encoder] = {}
-STEP_CHARS = 1_000_000
+    def _odd(self, data: np.ndarray, starts: np.ndarray) -> set[int]:
+        """The texts that can't be cut safely."""
+        places = np.flatnonzero(_LEADS[data])
+        places = [p for p in places.tolist() if _ODD_WHITE.match(data[p : p + 3].tobytes().decode("utf-8", "ignore"))]
+        raw = data.tobytes()
+        for token in self.added:
+            p = raw.find(token)
+            while p >= 0:
+                places.append(p)
+                p = raw.find(token, p + 1)
+        return set((np.searchsorted(starts, places, side="right") - 1).tolist())
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column; null counts as empty."""
+        out: list[np.ndarray] = []
+        for part in steps(column):
+            if not self.usual:
+                out += self._whole(part.to_pylist())
+                continue
+            data, starts = assembled(part)
+            places = cuts(data)
+            units, lengths = places[:-1], np.diff(places)
+            odd = self._odd(data, starts)
+            keep = data[units] != END
+            for k in odd:
+                a, b = np.searchsorted(units, starts[k : k + 2])
+                keep[a:b] = False
+            units, lengths = units[keep], lengths[keep]
+            flat, counts = self.memory.lookup(data, units, lengths)
+            bounds = np.append(0, np.cumsum(counts))[np.searchsorted(units, starts)]
+            order = sorted(odd)
+            whole = dict(zip(order, self._whole([part[k].as_py() for k in order]), strict=True))
+            out += [whole[k] if k in whole else flat[a:b] for k, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()))]
+        return out
 
 
-def _steps(rows: Iterator[tuple[int | None, str]]) -> Iterator[list[tuple[int | None, str]]]:
-    """Rows in lists of a bounded number of characters, or of one long text."""
-    group, size = [], 0
-    for row in rows:
-        if group and size + len(row[1]) > STEP_CHARS:
-            yield group
-            group, size = [], 0
-        group.append(row)
-        size += len(row[1])
-    if group:
-        yield group
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def write_codes(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode whole texts in ascending id order and write segments to the table ``out``.
 
-    Null text counts as empty, so it is the end id alone. Null ids come first;
-    rows that repeat an id stay next to each other. A document is never cut, so
-    a segment holds at least one and closes once it has ``segment_ids`` ids.
+    Null text counts as empty, so it is the end id alone. Ids are whole numbers;
+    null ids come first, and so do ids that are none. Rows that repeat an id
+    stand next to each other, in order of a hash of their text, so that an id of
+    many rows is no single task. A document is never cut, so a segment holds at
+    least one and closes once it has ``segment_ids`` ids. An empty table gives
+    an empty one; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).try_cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,15 +292,14 @@ def write_codes(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "d
             return pa.RecordBatch.from_pydict({"part": [part], "seq": pa.array([seq], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([pack(keys, ids)], pa.binary())}, schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
-        for batch in slices(batches):
-            for group in _steps(zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True)):
-                for (key, _), own in zip(group, encoder.encode([t for _, t in group]), strict=True):
-                    keys.append(key)
-                    ids.append(np.concatenate([own.astype(np.uint32), end]))
-                    size += len(ids[-1])
-                    if size >= segment_ids:
-                        yield segment()
-                        keys, ids, size, seq = [], [], 0, seq + 1
+        for batch in slices(batches, 64):
+            for key, own in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                keys.append(key)
+                ids.append(np.concatenate([own.astype(np.uint32), end]))
+                size += len(ids[-1])
+                if size >= segment_ids:
+                    yield segment()
+                    keys, ids, size, seq = [], [], 0, seq + 1
         if keys:
             yield segment()
 
@@ -285,5 +342,6 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Write the codes of ``docs`` to a new table in the shared folder and return its document index."""
     path = f"{shared_dir(docs.sparkSession)}/codes-{uuid.uuid4().hex}"
+    delete_at_end(docs.sparkSession, path)
     write_codes(docs, tokenizer_path, path, end_id=end_id)
     return document_index(docs.sparkSession, path)

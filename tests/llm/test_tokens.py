@@ -6,12 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pitchfold.llm import queries, token_codes, viterbi_pieces
 from pitchfold.llm.token_codes import Encoder, Segment, pack
+from pitchfold.llm.unit_memory import UnitMemory
 
 from .helpers import SF, documents, words
 
@@ -20,9 +22,7 @@ ODD = st.text(alphabet=st.sampled_from(list("ab' \t\n  ᠎\x1f\u0085.1é中
 
 
 def _plain() -> Tokenizer:
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 def test_codes_of_every_document(spark):
@@ -75,7 +75,41 @@ ENCODER, PLAIN = Encoder(BPE), _plain()
 @settings(max_examples=300, deadline=None)
 @given(st.lists(ODD, min_size=1, max_size=6))
 def test_encoder_equals_the_library(these):
-    assert [x.tolist() for x in ENCODER.encode(these)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in these]
+    assert [x.tolist() for x in ENCODER.encode(pa.array(these))] == [PLAIN.encode(t, add_special_tokens=False).ids for t in these]
+
+
+PARTS = st.sampled_from([" ", "  ", "\n", "\r\n", "\t", "the", " and", "'s", "'ll", "'", ".", "...", "12", "Å", "é", "ß", "中文", "\xa0", "\u2003", "\u2014", "\x00", "\x1d", "word" * 9, "<|endoftext|>", "<|", "e\u0301", "\u0e01"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.none() | st.lists(PARTS, max_size=12).map("".join), min_size=1, max_size=6))
+def test_cuts_are_those_of_the_pattern(these):
+    assert [x.tolist() for x in ENCODER.encode(pa.array(these, pa.string()))] == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in these]
+
+
+def test_added_tokens_are_the_library_s(spark):
+    text = "hello <|endoftext|> there"
+    assert ENCODER.encode(pa.array([text]))[0].tolist() == [31373, 220, 50256, 612]
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "b")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_codes.encode_documents(docs, BPE).collect()}
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4"))
+    assert got == {1: (0, 5, crc([31373, 220, 50256, 612, 0])), 2: (5, 1, crc([0])), 3: (6, 2, crc([65, 0]))}
+
+
+def test_small_memory_of_units():
+    """Units that push each other out of the table are learned anew."""
+    small = Encoder(BPE)
+    small.memory = UnitMemory(small._learn, small.dtype, slots=8)
+    these = [words(k, 300) for k in range(5)] + ["x" * 100_000, "a b " * 1000]
+    for _ in range(2):
+        assert [x.tolist() for x in small.encode(pa.array(these))] == [PLAIN.encode(t, add_special_tokens=False).ids for t in these]
+
+
+def test_another_kind_of_tokenizer_gets_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain = Encoder(path), Tokenizer.from_file(path)
+    these = ["A  b\nC don't 12", "", words(1, 40)]
+    assert not own.usual and [x.tolist() for x in own.encode(pa.array(these))] == [plain.encode(t, add_special_tokens=False).ids for t in these]
 
 
 MODEL = viterbi_pieces.Pieces(PIECES)
