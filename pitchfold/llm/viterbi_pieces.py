@@ -1,45 +1,52 @@
-"""SentencePiece encoding and decoding: BPE merges, and a streaming Viterbi search.
-
-``pieces`` takes the method that the model was trained for. The scores of a BPE
-model are the order of its merges, so ``Merges`` applies them. The scores of a
-unigram model are log-probabilities, for which ``Pieces`` is the search: a text's best segmentation is the one with the largest sum of its pieces'
-scores, as in a unigram model. The search holds only the positions from which a
-piece may still grow, and commits ids once the backpointer paths of all of them
-meet in one boundary. In vocabularies where no piece runs from another
-character into a word-start mark, that happens before every word, so words are
-searched one by one and remembered.
+"""SentencePiece encoding and decoding by a streaming Viterbi search.
+
+The search keeps, for each position of a window, the piece that the best path
+to it ends with. A piece has a bounded length, so only the last positions can
+still be grown from; once the backpointer paths of all of these meet in one
+boundary, the ids before it are committed and the window moves on.
+
+What makes a path the best depends on how the model was trained:
+
+* *unigram* (``Pieces``): scores are log-probabilities; the largest sum wins.
+* *BPE* (``MergePieces``): scores are the order of merges, and sums of them mean
+  nothing. The text's encoding is the one path of which no two neighbours would
+  be cut otherwise: a step from one piece to the next is open if merging the two
+  pieces' characters gives these two pieces again. Each position has exactly one
+  open path to it, so the search needs no scores, and its ids are those of the
+  merges.
+
+Where no piece of the vocabulary reaches across a boundary, all paths meet.
+Texts are cut there, and what the search gave for a short unit before is looked
+up again; everything else streams.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import fresh, map_arrow, texts
+from .common import fresh, map_arrow, slices, texts
+from .unit_memory import END, UnitMemory, assembled, steps
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10
 NOWHERE = float("-inf")
 NO_PIECE = -1
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Characters behind a piece: the merges cut them otherwise; no piece begins so; a character without a piece, with none or some that begin with it.
+CLOSED, NOTHING, ALONE, LONE_BEGINNING = -2, -3, -4, -5
+#: Classes of bytes for the cuts: ASCII each its own, all others one, and END.
+WIDE, OVER = 128, 129
 
 
 class Pieces:
-    """Pieces, scores and byte pieces of a SentencePiece model file."""
-
-    #: Words that a task remembers.
-    MEMORY = 200_000
-    #: Longer words are streamed, and not remembered.
-    LONG = 64
+    """Pieces, scores and byte pieces of a SentencePiece model file; the search of unigram models."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -64,10 +71,20 @@ class Pieces:
         self.table: dict[str, tuple[float, int]] = {p[:k]: (NOWHERE, 0) for p in scores for k in range(1, len(p))}
         self.table.update(scores)
         self.single = frozenset(p for p in scores if len(p) == 1)
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in scores)
         self.dtype = np.dtype(np.uint16 if n <= 1 << 16 else np.uint32)
-        self.code = "H" if self.dtype == np.uint16 else "I"
-        self.known: dict[str, bytes] = {}
+        self.cuts = self._cut_table(scores)
+        self.memory = UnitMemory(self._learn, self.dtype)
+
+    @staticmethod
+    def _cut_table(pieces: Iterable[str]) -> np.ndarray:
+        """[class before, class after]: whether no piece reaches across."""
+        table = np.ones((OVER + 1, OVER + 1), bool)
+        for piece in pieces:
+            kinds = [0x20 if c == MARK else min(ord(c), WIDE) for c in piece]
+            table[kinds[:-1], kinds[1:]] = False
+        table[WIDE, WIDE] = False  # may be inside a character
+        table[OVER, :] = table[:, OVER] = True
+        return table
 
     def _grow(self, text: str, start: int, stop: int, best: list, back: list, ids: list) -> None:
         """Extend the best paths to start..stop-1 by each piece of ``text`` that begins there; ties keep the earlier path."""
@@ -99,13 +116,13 @@ class Pieces:
         return out
 
     def stream(self, characters: Iterable[str]) -> Iterator[list[int]]:
-        """Ids in runs, each committed once all surviving paths agree on its end."""
-        held, best, back, ids, at = "", [0.0], [0], [0], 0
+        """Ids in runs, each committed once all surviving paths agree on its end. ``characters`` comes in parts of any length."""
+        held, best, back, ids, at = "", [0.0], [0], [NO_PIECE], 0
         for more in characters:
             held += more
             best += [NOWHERE] * len(more)
             back += [0] * len(more)
-            ids += [0] * len(more)
+            ids += [NO_PIECE] * len(more)
             while at + 2 * self.longest <= len(held):
                 self._grow(held, at, at + self.longest, best, back, ids)
                 at += self.longest
@@ -122,39 +139,32 @@ class Pieces:
         if held:
             yield self._path(held, back, ids, len(held))
 
-    def _chunk(self, text: str) -> bytes:
-        n = len(text)
-        if n > self.LONG:
-            path = [i for run in self.stream(text[k : k + self.LONG] for k in range(0, n, self.LONG)) for i in run]
-        else:
-            best, back, ids = [0.0] + [NOWHERE] * n, [0] * (n + 1), [0] * (n + 1)
-            self._grow(text, 0, n, best, back, ids)
-            path = self._path(text, back, ids, n)
-        return array(self.code, path).tobytes()
+    def search(self, marked: str) -> list[int]:
+        """Ids of a text in which marks stand for blanks, streamed a window at a time."""
+        width = 2 * self.longest
+        return [i for run in self.stream(marked[k : k + width] for k in range(0, len(marked), width)) for i in run]
+
+    def _learn(self, units: list[bytes]) -> list[np.ndarray]:
+        return [np.array(self.search(u.decode("utf-8").replace(" ", MARK)), self.dtype) for u in units]
+
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For parts of a column: the ids of its texts one after the other, where each text's begin and the last's end, and the texts' bytes.
+
+        A text has a mark before it and one for each blank; the empty and the null text have no ids.
+        """
+        for part in steps(column):
+            data, starts = assembled(pc.replace_substring(part, MARK, " "), b" ")
+            kind = np.minimum(data, WIDE).astype(np.int64)
+            kind[data == END] = OVER
+            units = np.append(0, np.flatnonzero(self.cuts.reshape(-1)[kind[:-1] * (OVER + 1) + kind[1:]]) + 1)
+            lengths = np.diff(np.append(units, len(data)))
+            keep = data[units] != END
+            units, lengths = units[keep], lengths[keep]
+            flat, counts = self.memory.lookup(data, units, lengths)
+            yield flat, np.append(0, np.cumsum(counts))[np.searchsorted(units, starts)], data
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, with a mark before it and one for each blank; none for the empty text."""
-        if not text:
-            return np.empty(0, self.dtype)
-        if not self.by_word:
-            marked = MARK + text.replace(" ", MARK)
-            return np.array([i for run in self.stream(marked[k : k + 256] for k in range(0, len(marked), 256)) for i in run], self.dtype)
-        known = self.known
-        words = text.replace(MARK, " ").split(" ")
-        if "" in words:
-            words = [c if c[1:2] in ("", MARK) else c[1:] for c in _CHUNK.findall(MARK + MARK.join(words))]
-        get = known.get
-        out = [get(w) for w in words]
-        if None in out:
-            if len(known) > self.MEMORY:
-                known.clear()
-            for k, x in enumerate(out):
-                if x is None:
-                    w = words[k]
-                    out[k] = x = get(w) or self._chunk(w if w[:1] == MARK else MARK + w)
-                    if len(w) < self.LONG:
-                        known[w] = x
-        return np.frombuffer(b"".join(out), self.dtype)
+        return np.concatenate([flat for flat, _, _ in self.encode_column(pa.array([text]))])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; control and unknown ids give nothing, and the first blank is the mark before the text."""
@@ -162,20 +172,24 @@ class Pieces:
         return out[1:] if out[:1] == " " else out
 
 
-class Merges(Pieces):
-    """The ids of a BPE model: of all adjacent pairs that make a piece, the one with the largest score is merged first, ties from the left."""
+class MergePieces(Pieces):
+    """The search of BPE models; of all adjacent pairs that make a piece, the one with the largest score is merged first, ties from the left."""
+
+    #: Steps from piece to piece that are remembered.
+    STEPS = 1 << 20
 
     def __init__(self, path: str):
         super().__init__(path)
-        if not self.by_word:
-            raise ValueError(f"{path}: a piece runs into the next word, so words can't be merged one by one")
         #: Score of each piece, negated, as the smallest is merged first.
         self.order = {p: -s for p, (s, _) in self.table.items() if s > NOWHERE}
+        #: By the id of the piece before: what characters that follow are, an id or one of the codes below.
+        self.after: dict[int, dict[str, int]] = {}
+        self.held = 0
 
-    def _merged(self, word: str) -> list[str]:
-        """The parts of a short word after all merges."""
+    def merged(self, text: str) -> list[str]:
+        """The parts of a short text after all merges."""
         get, never = self.order.get, float("inf")
-        parts = list(word)
+        parts = list(text)
         cost = [get(a + b, never) for a, b in zip(parts, parts[1:])]
         while cost and (least := min(cost)) < never:
             k = cost.index(least)
@@ -187,35 +201,45 @@ class Merges(Pieces):
                 cost[k - 1] = get(parts[k - 1] + parts[k], never)
         return parts
 
-    def _merged_long(self, word: str) -> list[str]:
-        """The same in n log n steps: parts are linked, and stale pairs are left in the heap."""
-        get, n = self.order.get, len(word)
-        parts: list[str] = list(word)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(c, k, word[k : k + 2]) for k in range(n - 1) if (c := get(word[k : k + 2])) is not None]
-        heapify(heap)
-        while heap:
-            _, k, pair = heappop(heap)
-            other = after[k]
-            if not parts[k] or other >= n or parts[k] + parts[other] != pair:
-                continue
-            parts[k], parts[other], after[k] = pair, "", after[other]
-            if after[k] < n:
-                before[after[k]] = k
-                if (c := get(pair + parts[after[k]])) is not None:
-                    heappush(heap, (c, k, pair + parts[after[k]]))
-            if (p := before[k]) >= 0 and (c := get(parts[p] + pair)) is not None:
-                heappush(heap, (c, p, parts[p] + pair))
-        return [p for p in parts if p]
-
-    def _chunk(self, text: str) -> bytes:
-        path: list[int] = []
-        for part in self._merged(text) if len(text) <= self.LONG else self._merged_long(text):
-            if part in self.order:
-                path.append(self.table[part][1])
-            else:
-                path += [self.byte_ids[b] for b in part.encode("utf-8", "replace")]
-        return array(self.code, path).tobytes()
+    def _step(self, known: dict[str, int], before: str, part: str) -> int:
+        """The id of ``part`` if it may follow the piece ``before`` (or none): the merges of both then give both again."""
+        found = self.table.get(part)
+        if len(part) == 1 and part not in self.single:
+            code = ALONE if found is None else LONE_BEGINNING
+        elif found is None:
+            code = NOTHING
+        elif found[0] > NOWHERE and self.merged(before + part) == ([before, part] if before else [part]):
+            code = found[1]
+        else:
+            code = CLOSED
+        if self.held >= self.STEPS:  # ``known`` itself stays with the caller
+            self.after.clear()
+            self.held = 0
+        self.held += 1
+        known[part] = code
+        return code
+
+    def _grow(self, text: str, start: int, stop: int, best: list, back: list, ids: list) -> None:
+        """Extend the paths to start..stop-1 by each piece that may follow; no other path leads to its end."""
+        after, n = self.after, len(text)
+        for p in range(start, stop):
+            last = ids[p]
+            known = after.get(last)
+            if known is None:
+                known = after[last] = {}
+            for end in range(p + 1, n + 1):
+                part = text[p:end]
+                code = known.get(part)
+                if code is None:
+                    code = self._step(known, "" if last == NO_PIECE else text[back[p] : p], part)
+                if code >= 0:
+                    best[end], back[end], ids[end] = 0.0, p, code
+                elif code == NOTHING:
+                    break
+                elif code != CLOSED:
+                    best[end], back[end], ids[end] = 0.0, p, NO_PIECE
+                    if code == ALONE:
+                        break
 
 
 UNIGRAM_MODEL, BPE_MODEL = 1, 2  # TrainerSpec.model_type
@@ -225,7 +249,7 @@ _MODELS: dict[str, Pieces] = {}
 def pieces(path: str) -> Pieces:
     """The model of a file with the method of its type, loaded once a Python worker."""
     if path not in _MODELS:
-        _MODELS[path] = {UNIGRAM_MODEL: Pieces, BPE_MODEL: Merges}[model_type(path)](path)
+        _MODELS[path] = {UNIGRAM_MODEL: Pieces, BPE_MODEL: MergePieces}[model_type(path)](path)
     return _MODELS[path]
 
 
@@ -237,17 +261,26 @@ def model_type(path: str) -> int:
 
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of ``docs``: the columns of ``keep``, then ids. Null and empty texts have no ids."""
+    """One row per row of ``docs``: the columns of ``keep``, then ids. Null and empty texts have no ids.
+
+    Repeated rows are each encoded; equal texts have equal ids, as no two paths tie:
+    a unigram model takes the earlier one, a BPE model has one path only.
+    """
     (whole,) = fresh(docs, "whole_text")
     rows = docs.select(*keep, F.col(text_col).cast("string").alias(whole))
     schema = rows.drop(whole).schema.add("ids", ArrayType(IntegerType()))
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        ids = pa.array([model.encode(t).astype(np.int32) for t in texts(batch.column(whole))], pa.list_(pa.int32()))
-        return {**{c: batch.column(c) for c in keep}, "ids": ids}
+        for batch in slices(batches):
+            at = 0
+            for flat, bounds, _ in model.encode_column(batch.column(whole)):
+                part = batch.slice(at, len(bounds) - 1)
+                at += part.num_rows
+                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in keep}, "ids": ids})
 
-    return map_arrow(rows, run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -271,12 +304,18 @@ def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         model = pieces(model_path)
         n, fallback, crc, same = [], [], [], []
-        for text in texts(batch.column("text")):
-            ids = model.encode(text)
-            n.append(len(ids))
-            fallback.append(int(model.fallback[ids].sum()))
-            crc.append(zlib.crc32(ids.astype("<u4")))
-            same.append(model.decode(ids) == text)
-        return {"doc_id": batch.column("doc_id"), "n_ids": pa.array(n, pa.int64()), "n_bytes": pa.array(fallback, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_())}
+        own, at = texts(batch.column("text")), 0
+        for flat, bounds, data in model.encode_column(batch.column("text")):
+            n.append(np.diff(bounds))
+            fallback.append(np.diff(np.append(0, np.cumsum(model.fallback[flat]))[bounds]))
+            wide = flat.astype("<u4")
+            spans = list(zip(bounds.tolist(), bounds[1:].tolist()))
+            crc += [zlib.crc32(wide[a:b]) for a, b in spans]
+            part = own[at : at + len(spans)]
+            at += len(spans)
+            whole = b"".join(map(model.bytes.__getitem__, flat.tolist())) == data[data != END].tobytes()
+            same += [MARK not in t if whole else model.decode(flat[a:b]) == t for t, (a, b) in zip(part, spans, strict=True)]
+        flat_of = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
+        return {"doc_id": batch.column("doc_id"), "n_ids": flat_of(n), "n_bytes": flat_of(fallback), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_())}
 
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_ids bigint, n_bytes bigint, ids_crc32 bigint, round_trip boolean")
