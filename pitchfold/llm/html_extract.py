@@ -1,19 +1,24 @@
 """Main text of web pages by a site style tree.
 
 Pages of one host are merged by style path (the tags and classes from the root
-down). Each branch gets an importance from entropies over the host's m distinct
-pages:
+down). A branch that holds text gets an importance from entropies over the
+host's m pages:
 
-* content: 1 - mean over its distinct texts of log(pages with the text) / log m,
-  so texts that many pages share make a branch noise;
-* presentation: the entropy of its child sequences, with base m;
-* composite: GAMMA * mean content importance of all below + (1 - GAMMA) *
-  presentation.
+* content: 1 - mean over the branch's distinct texts of log(pages with the
+  text) / log m. A text that pages of other hosts share is no less noise, so the
+  same ratio over all pages of all hosts counts if it is larger. Short blocks
+  count sentence by sentence, as menus and footers mix fixed and varying parts.
+* presentation: the entropy, with base m, of the child sequences of the element
+  around it.
+* importance: GAMMA * content + (1 - GAMMA) * presentation.
 
 A host with few pages says little, so its importances are drawn towards those
-of the tree of all hosts with the weight of PRIOR_PAGES pages. Elements that
-HTML itself names as no main text (menus, footers, forms, scripts ...) have
-importance 0. A page loses every branch whose importance is under MIN_IMPORTANCE.
+of the same branches in the tree of all hosts with the weight of PRIOR_PAGES
+pages. The cut between noise and main text is fitted to each host's own branches
+(the two classes of least variance). Names come in as a prior only: an element
+that HTML or its own class, id or role calls page furniture keeps a share of its
+importance. Pages of a host with the same longest block are copies of one
+article and count as one page, so that articles don't become noise by being copied.
 """
 
 from __future__ import annotations
@@ -22,26 +27,34 @@ import html as html_lib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, texts
+from .common import materialise, slices, texts
 
 GAMMA = 0.9
 PRIOR_PAGES = 20
-MIN_IMPORTANCE = 0.5
+#: The cut lies between these; it is the lower one if the branches don't fall in two classes this far apart.
+LOWEST_CUT, HIGHEST_CUT, APART = 0.5, 0.85, 0.1
+#: Share of its importance that a named element keeps.
+NAMED = 0.5
+#: Characters of a block that counts sentence by sentence.
+SHORT = 300
 
 #: Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NO_MAIN_TEXT = frozenset("head nav footer aside form header script style noscript template button select textarea iframe svg menu dialog".split())
+NO_TEXT = frozenset("head script style noscript template button select textarea iframe svg".split())
+NOT_MAIN = frozenset("nav footer aside header form menu dialog".split())
 CONTAINERS = frozenset("html body main article".split())
 WHOLE = frozenset("html body main".split())
 #: Beginnings of class names that tell of a page's layout, not of what the element is.
 LAYOUT = ("with-", "with_", "has-", "has_", "no-", "no_")
-#: Words in class, id or role that name page furniture.
+#: Words in class or role that name page furniture; an id, and any name inside an article, must be such a word as a whole.
 FURNITURE = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo recommended related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: Start tags that end an open element of the same group inside its nearest holder.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
@@ -50,25 +63,42 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+_SENTENCE = re.compile(r"(?<=[.!?…;:|·•])\s+")
+
+
 class Element:
-    __slots__ = ("tag", "path", "dropped", "children")
+    __slots__ = ("tag", "path", "around", "hidden", "named", "inside", "children")
+
+    def __init__(self, tag: str, path: int, around: int, hidden: bool, named: bool, inside: bool):
+        self.tag, self.path, self.around, self.hidden, self.named, self.inside, self.children = tag, path, around, hidden, named, inside, []
+
 
-    def __init__(self, tag: str, path: str, dropped: bool):
-        self.tag, self.path, self.dropped, self.children = tag, path, dropped, []
+def hashed(text: str, seed: int = 0) -> int:
+    """A signed 64-bit hash; what can't be UTF-8 counts as its replacement."""
+    x = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed & 0xFFFFFFFFFFFFFFFF)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _names_furniture(tag: str, inside: bool, named: dict[str, str]) -> bool:
+    if tag in WHOLE:
+        return False
+    words = [w for k in ("class", "role") for w in named.get(k, "").lower().split() if not w.startswith(LAYOUT)]
+    if not inside and tag != "article":
+        words = [w for part in words for w in re.split("[_-]+", part)]
+    return not FURNITURE.isdisjoint([*words, named.get("id", "").strip().lower()])
 
 
 def _element(tag: str, attributes: str, parent: Element) -> Element:
-    style, words = tag, ()
-    if "class" in attributes or "id" in attributes or "role" in attributes or "CLASS" in attributes:
+    style, named = tag, {}
+    lower = attributes.lower()
+    if "class" in lower or "id" in lower or "role" in lower:
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)}
-        words = [w for w in " ".join(named.values()).lower().split() if not w.startswith(LAYOUT)]
-        if tag != "article":  # an article's name is telling as a whole only
-            words = [w for part in words for w in re.split("[_-]+", part)]
         if named.get("class"):
             style = f"{tag}.{'.'.join(sorted(named['class'].lower().split()))}"
-    dropped = parent.dropped or tag in NO_MAIN_TEXT or tag not in WHOLE and not FURNITURE.isdisjoint(words)
     parent.children.append(style)
-    return Element(tag, f"{parent.path}/{style}", dropped)
+    inside = parent.inside or tag in ("article", "main")
+    furniture = tag in NOT_MAIN and not (tag == "header" and parent.inside) or _names_furniture(tag, parent.inside, named)
+    return Element(tag, hashed(style, parent.path), parent.path, parent.hidden or tag in NO_TEXT, parent.named or furniture, inside)
 
 
 def _close(stack: list[Element], tags: set[str], holders: set[str] | frozenset[str]) -> None:
@@ -80,11 +110,11 @@ def _close(stack: list[Element], tags: set[str], holders: set[str] | frozenset[s
             return
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]]:
-    """Blocks in page order as (path, text, dropped), and inner elements as (path, child sequence)."""
-    stack = [Element("", "", False)]
+def parse(page: str) -> tuple[list[tuple[int, int, str, bool]], list[tuple[int, str]]]:
+    """Blocks in page order as (path, path of the element around, text, named as furniture), and inner elements as (path, child sequence)."""
+    stack = [Element("", 0, 0, False, False, False)]
     elements: list[Element] = []
-    blocks: list[tuple[str, str, bool]] = []
+    blocks: list[tuple[int, int, str, bool]] = []
     run: list[str] = []
     where: Element | None = None
 
@@ -92,8 +122,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]
         nonlocal where
         if run:
             text = " ".join(html_lib.unescape("".join(run)).split())
-            if text and where is not None:
-                blocks.append((where.path, text, where.dropped))
+            if text and where is not None and not where.hidden:
+                blocks.append((where.path, where.around, text, where.named))
             run.clear()
         where = None
 
@@ -143,88 +173,106 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def features(page: str) -> tuple[int, set[tuple[int, int, bool, int]]]:
+    """What tells copies of an article apart, and the page's features as (path, path around, presentation?, hash)."""
+    blocks, inner = parse(page)
+    same = hashed(max((t for _, _, t, _ in blocks), key=len, default=page))
+    found = {(0, 0, False, 0), *((p, 0, True, hashed(s)) for p, s in inner)}  # the first counts the page
+    for path, around, text, _ in blocks:
+        for part in _SENTENCE.split(text) if len(text) < SHORT else (text,):
+            found.add((path, around, False, hashed(part)))
+    return same, found
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct features of each page: (host, path, presentation?, feature, share of the page's copies)."""
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for host, page, copies in zip(batch.column("host").to_pylist(), texts(batch.column("html")), batch.column("copies").to_pylist(), strict=True):
-            blocks, inner = parse(page)
-            for path, shape, feature in {*((p, False, t) for p, t, _ in blocks), *((p, True, s) for p, s in inner)}:
-                for column, value in zip(out, (host, path, shape, feature, 1 / copies), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.string()), pa.array(out[4], pa.float64())], ["host", "path", "shape", "feature", "share"])
-
-
-def _tree(counts: DataFrame, pages: DataFrame | int, by: list[str]) -> DataFrame:
-    """pages: their number m, by host or in all. (by, path, content, content_n, shape): content importance of the texts below each path, and presentation importance."""
-    counts = counts.groupBy(*by, "path", "shape", "feature").agg(F.sum("n").alias("n"))
-    counts = counts.join(pages, by) if by else counts.withColumn("m", F.lit(pages))
-    spread = F.when(F.col("m") > 1, F.log("n") / F.log("m")).otherwise(0.0)
-    leaf = counts.groupBy(*by, "path", "shape", "m").agg(
-        F.sum(spread).alias("spread"),
-        F.count(F.lit(1)).alias("features"),
-        F.sum("n").alias("total"),
-        F.sum(F.col("n") * F.log("n")).alias("nlogn"),
-    )
-    steps = F.split(F.col("path"), "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
-    content = leaf.where(~F.col("shape")).withColumn("path", F.explode(above)).groupBy(*by, "path").agg((1 - F.sum("spread") / F.sum("features")).alias("content"))
-    entropy = F.log("total") - F.col("nlogn") / F.col("total")
-    shape = leaf.where("shape").select(*by, "path", F.when(F.col("m") > 1, F.least(F.lit(1.0), entropy / F.log("m"))).otherwise(1.0).alias("shape"))
-    return content.join(shape, [*by, "path"], "left")
+    """Distinct features of a few pages at a time: (host, same, path, around, shape, feature)."""
+    for batch in slices(batches):
+        rows = set()
+        for host, page in zip(batch.column("host").to_pylist(), texts(batch.column("html")), strict=True):
+            same, found = features(page)
+            rows.update((host, same, *f) for f in found)
+        columns = list(zip(*rows))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["host", "same", "path", "around", "shape", "feature"])
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, path, importance) of every branch that holds text, from pages (host, html).
+    """(host, path, importance) of every branch that holds text, from pages (host, html); host and path are hashes.
 
-    Equal pages of a host count as one: each of c copies adds 1/c, so that no
-    page has to be shuffled.
+    Counts are made in steps that combine before each shuffle, so a text that
+    most pages share, or a host of most pages, is no single task.
     """
-    pages = pages.select("host", "html", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("same"))
-    distinct = pages.groupBy("host", "same").agg(F.count(F.lit(1)).alias("copies"))
-    repeated = distinct.where("copies > 1")
-    counts = (
-        pages.join(repeated, ["host", "same"], "left")
-        .select("host", "html", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
-        .mapInArrow(_features, "host string, path string, shape boolean, feature string, share double")
-        .groupBy("host", "path", "shape", F.xxhash64("feature").alias("feature"))
-        .agg(F.round(F.sum("share")).cast("bigint").alias("n"))
-    )
-    counts = materialise(counts, "style-tree")
-    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("m"))
-    composite = lambda t: F.when(F.col(f"{t}.shape").isNull(), F.col(f"{t}.content")).otherwise(GAMMA * F.col(f"{t}.content") + (1 - GAMMA) * F.col(f"{t}.shape"))
-    own = _tree(counts, sizes, ["host"]).join(sizes, "host").alias("own")
-    all_hosts = _tree(counts, distinct.count(), []).alias("all")
-    both = own.join(all_hosts, F.col("own.path") == F.col("all.path"))
-    weight = F.col("own.m") / (F.col("own.m") + PRIOR_PAGES)
-    return both.select("own.host", "own.path", (weight * composite("own") + (1 - weight) * composite("all")).alias("importance"))
-
-
-def _blocks(batch: pa.RecordBatch) -> dict:
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
-    found = [[{"path": p, "text": t} for p, t, dropped in parse(x)[0] if not dropped] for x in texts(batch.column("html"))]
-    return {"page_id": batch.column("page_id"), "url": batch.column("url"), "host": batch.column("host"), "blocks": pa.array(found, kind)}
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text (blocks joined by one line feed), n_chars, n_removed.
-
-    Null html counts as empty; null urls and those without a host form one site.
-    Repeated rows are rows of their own in the result, but equal pages of a host
-    are one page of its style tree. Branches are removed with all below
-    them; html and body are never removed whole.
+    rows = pages.mapInArrow(_features, "host bigint, same bigint, path bigint, around bigint, shape boolean, feature bigint").distinct()
+    counts = materialise(rows.groupBy("host", "path", "around", "shape", "feature").agg(F.count(F.lit(1)).alias("n")), "style-tree")
+    sizes = counts.where("path = 0").select("host", F.col("n").alias("m"))
+    everyone = F.lit(sizes.agg(F.sum("m")).first()[0] or 0)
+    n_all = F.sum("n").over(Window.partitionBy("feature", "path"))  # a row for each host that has the text
+    held = counts.where("path <> 0 AND NOT shape").withColumn("n_all", n_all).join(sizes, "host")
+    spread = lambda n, m: F.when(m > 1, F.least(F.lit(1.0), F.log(n) / F.log(m))).otherwise(0.0)
+    own, all_hosts = spread(F.col("n"), F.col("m")), spread(F.col("n_all"), everyone)
+    content = held.groupBy("host", "path", "around", "m").agg((1 - F.avg(F.greatest(own, all_hosts))).alias("content"), F.sum(1 - all_hosts).alias("all_sum"), F.count(F.lit(1)).alias("texts"))
+    shape = counts.where("shape").groupBy("host", F.col("path").alias("around")).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    entropy = F.log("total") - F.col("nlogn") / F.col("total")
+    presentation = F.when(F.col("m") > 1, F.coalesce(F.least(F.lit(1.0), entropy / F.log("m")), F.lit(1.0))).otherwise(1.0)
+    branches = content.join(shape, ["host", "around"], "left").withColumn("shape", presentation)
+    branches = materialise(branches.select("host", "path", "m", "content", "all_sum", "texts", "shape"), "branches")
+    everywhere = branches.groupBy("path").agg((GAMMA * F.sum("all_sum") / F.sum("texts") + (1 - GAMMA) * F.sum(F.col("shape") * F.col("m")) / F.sum("m")).alias("prior"))
+    mine = GAMMA * F.col("content") + (1 - GAMMA) * F.col("shape")
+    weight = F.col("m") / (F.col("m") + PRIOR_PAGES)
+    return branches.join(everywhere, "path").select("host", "path", (weight * mine + (1 - weight) * F.col("prior")).alias("importance"))
+
+
+def fitted_cut(importance: np.ndarray) -> float:
+    """The cut between the two classes of least variance inside, if they are far enough apart."""
+    x = np.sort(np.asarray(importance, float))
+    if len(x) < 2:
+        return LOWEST_CUT
+    k = np.arange(1, len(x))
+    left, total = np.cumsum(x)[:-1], x.sum()
+    low, high = left / k, (total - left) / (len(x) - k)
+    between = k * (len(x) - k) * (high - low) ** 2
+    best = int(between.argmax())
+    if x[best + 1] - x[best] < APART:
+        return LOWEST_CUT
+    return float(np.clip((x[best] + x[best + 1]) / 2, LOWEST_CUT, HIGHEST_CUT))
+
+
+def judged(page: str, importance: dict[int, float], cut: float) -> list[tuple[str, bool, bool]]:
+    """(text, removed by the tree, removed by its name) of each block of a page; a branch that is not in the tree is main text."""
+    out = []
+    for path, _, text, named in parse(page)[0]:
+        own = importance.get(path, 1.0)
+        out.append((text, own < cut, own >= cut and named and NAMED * own < cut))
+    return out
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per row of ``pages``: page_id, url, text (blocks joined by one line feed), n_chars, n_removed, n_named.
+
+    n_removed counts the blocks that the tree removes, n_named those that only a
+    name does. Null html counts as empty; null urls and those without a host form
+    one site. Repeated rows are rows of their own in the result, but one page of
+    the tree. A very long page is one row as it is; work is in proportion to its
+    length. Two branches of one importance fare alike. Without any page that
+    differs from others nothing is shared and only names remove blocks; an empty
+    table gives an empty result. Other columns are ignored.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    noise = (
-        importances(rows.select("host", "html"))
-        .where((F.col("importance") < min_importance) & ~F.col("path").rlike(r"^(/html[^/]*)?(/body[^/]*)?$"))
-        .groupBy("host")
-        .agg(F.collect_set("path").alias("noise"))
-    )
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", F.xxhash64(host_of(F.col("url"))))
+    trees = importances(rows.select("host", "html")).groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("tree"))
     id_type = rows.schema["page_id"].dataType.simpleString()
-    parsed = map_arrow(rows, _blocks, f"page_id {id_type}, url string, host string, blocks array<struct<path:string,text:string>>")
-    noisy = F.coalesce("noise", F.array().cast("array<string>"))
-    kept = F.filter("blocks", lambda b: ~F.exists(noisy, lambda p: (b["path"] == p) | b["path"].startswith(F.concat(p, F.lit("/")))))
-    out = parsed.join(noise, "host", "left").select("page_id", "url", F.size("blocks").alias("n"), kept.alias("kept"))
-    text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
-    return out.select("page_id", "url", text.alias("text"), F.char_length(text).cast("bigint").alias("n_chars"), (F.col("n") - F.size("kept")).cast("bigint").alias("n_removed"))
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, dict, float] = (None, {}, LOWEST_CUT)
+        for batch in slices(batches):
+            out: list[list] = [[], [], [], []]
+            trees_of = batch.column("tree")
+            for k, (host, page) in enumerate(zip(batch.column("host").to_pylist(), texts(batch.column("html")), strict=True)):
+                if host != last[0]:
+                    tree = {x["path"]: x["importance"] for x in trees_of[k].as_py() or []}
+                    last = host, tree, fitted_cut(list(tree.values()))
+                found = judged(page, last[1], last[2])
+                text = "\n".join(t for t, tree, name in found if not tree and not name)
+                for column, value in zip(out, (text, len(text), sum(x[1] for x in found), sum(x[2] for x in found)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["page_id", "url", "text", "n_chars", "n_removed", "n_named"])
+
+    return rows.join(trees, "host", "left").mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars bigint, n_removed bigint, n_named bigint")

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from pitchfold.llm import html_extract, queries
 
 from .helpers import SF, words
@@ -39,3 +46,92 @@ def test_every_page_has_a_row(spark):
     assert sorted(r["page_id"] for r in got) == sorted(r["page_id"] for r in pages.select("page_id").collect())
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert sum(r["n_chars"] > 0 for r in got) > 0.9 * len(got)
+
+
+def _tree(rows: list[tuple[int, str]]) -> dict[tuple[int, int], float]:
+    """Importances by their definition, from (host, html), without Spark."""
+    pages = {(host, *html_extract.features(page)[:1]): None for host, page in rows}
+    held: dict = defaultdict(set)
+    for host, page in rows:
+        same, found = html_extract.features(page)
+        for path, around, shape, feature in found:
+            held[host, path, around, shape, feature].add(same)
+    m = Counter(host for host, _ in pages)
+    everyone = sum(m.values())
+    anywhere: Counter = Counter()
+    for (_, path, _, shape, feature), who in held.items():
+        if not shape:
+            anywhere[path, feature] += len(who)
+    share = lambda n, of: min(1.0, math.log(n) / math.log(of)) if of > 1 else 0.0
+    content, alls, sequences = defaultdict(list), defaultdict(list), defaultdict(list)
+    for (host, path, around, shape, feature), who in held.items():
+        if shape:
+            sequences[host, path].append(len(who))
+        elif path:
+            rest = share(anywhere[path, feature], everyone)
+            content[host, path, around].append(max(share(len(who), m[host]), rest))
+            alls[path].append(1 - rest)
+    look = {}
+    for host, path, around in content:
+        counts = sequences.get((host, around))
+        if m[host] > 1 and counts:
+            total = sum(counts)
+            look[host, path] = min(1.0, -sum(c / total * math.log(c / total) for c in counts) / math.log(m[host]))
+        else:
+            look[host, path] = 1.0
+    prior = {}
+    for path in alls:
+        hosts = [h for h, p, _ in content if p == path]
+        prior[path] = 0.9 * sum(alls[path]) / len(alls[path]) + 0.1 * sum(look[h, path] * m[h] for h in hosts) / sum(m[h] for h in hosts)
+    out = {}
+    for (host, path, _), spreads in content.items():
+        weight = m[host] / (m[host] + 20)
+        out[host, path] = weight * (0.9 * (1 - sum(spreads) / len(spreads)) + 0.1 * look[host, path]) + (1 - weight) * prior[path]
+    return out
+
+
+def test_importances_of_a_whole_table_by_their_definition(spark):
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").withColumn("host", F.xxhash64(html_extract.host_of(F.col("url")))).select("host", "html")
+    expected = _tree([(r["host"], r["html"] or "") for r in pages.collect()])
+    got = {(r["host"], r["path"]): r["importance"] for r in html_extract.importances(pages).collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - x) < 1e-9 for k, x in expected.items())
+
+
+def test_the_tree_alone_finds_the_articles_of_a_whole_table(spark):
+    """No name is needed where the table is large enough: what stays is what the page has in its article element."""
+    sf = SF.replace("0.001", "0.01")
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.op3_html_extract(spark, sf).collect()
+    assert sum(r["n_removed"] for r in rows) > 1000 and sum(r["n_named"] for r in rows) == 0
+    for r in rows:
+        page = pages[r["page_id"]]
+        article = page[page.index("<article") : (page + "</article>").index("</article>")]
+        assert r["text"] == "\n".join(t for _, _, t, _ in html_extract.parse(article)[0])
+
+
+def test_header_of_an_article_and_ids_of_headings_stay(spark):
+    page = lambda k: f"""<body><header>The site's name</header><article><header><h1>{words(k, 5)}</h1></header><section id="related-work"><h2 id="comment-syntax">{words(k + 100, 4)}</h2>
+    <p>{words(k + 200, 40)}</p></section><div class="comments"><p>{words(k + 300, 9)}</p></div><aside>{words(k + 400, 5)}</aside></article></body>"""
+    pages = spark.createDataFrame([(k, "http://h.example/", page(k)) for k in range(12)], "page_id bigint, url string, html string")
+    for r in html_extract.main_text(pages).collect():
+        k = r["page_id"]
+        assert r["text"].split("\n") == [words(k, 5), words(k + 100, 4), words(k + 200, 40)]
+
+
+def test_copies_of_an_article_among_changing_menus(spark):
+    """Pages of one article on one host, each with another advert, are one page of the tree."""
+    page = lambda k: f"<body><div class='x1'>{words(k, 4)}</div><div class='z1'><p>{words(7, 60)}</p></div></body>"
+    pages = spark.createDataFrame([(k, "http://h.example/", page(k)) for k in range(40)], "page_id bigint, url string, html string")
+    assert all(words(7, 60) in r["text"] for r in html_extract.main_text(pages).collect())
+
+
+@pytest.mark.parametrize(("values", "low", "high"), [([0.47, 0.5, 0.46, 0.93, 0.96], 0.7, 0.73), ([0.75, 0.79, 0.8, 0.95, 0.96], 0.8, 0.85), ([0.93, 0.95, 0.97], 0.5, 0.5), ([0.9], 0.5, 0.5), ([], 0.5, 0.5), ([0.1, 0.2, 0.3], 0.5, 0.5)])
+def test_fitted_cut(values, low, high):
+    assert low <= html_extract.fitted_cut(np.array(values)) <= high
+
+
+def test_deep_and_broken_markup():
+    deep = "<div>" * 3000 + "text" + "</div>" * 3000
+    assert [t for _, _, t, _ in html_extract.parse(deep)[0]] == ["text"]
+    assert [t for _, _, t, _ in html_extract.parse("<p>a<p>b &amp; c<br>d</div></p>e <li>f<!-- g --> h<script>x</script>")[0]] == ["a", "b & c d", "e", "f h"]
