@@ -41,6 +41,8 @@ PRIOR_PAGES = 20
 LOWEST_CUT, HIGHEST_CUT, APART = 0.5, 0.85, 0.1
 #: Share of its importance that a named element keeps.
 NAMED = 0.5
+#: Numbers of pages are sent to every task up to so many hosts, of 16 bytes each; beyond, they are joined.
+BROADCAST_HOSTS = 1_000_000
 #: Characters of a block that counts sentence by sentence.
 SHORT = 300
 
@@ -204,7 +206,10 @@ def importances(pages: DataFrame) -> DataFrame:
     rows = pages.mapInArrow(_features, "host bigint, same bigint, path bigint, around bigint, shape boolean, feature bigint").distinct()
     counts = materialise(rows.groupBy("host", "path", "around", "shape", "feature").agg(F.count(F.lit(1)).alias("n")), "style-tree")
     sizes = counts.where("path = 0").select("host", F.col("n").alias("m"))
-    everyone = F.lit(sizes.agg(F.sum("m")).first()[0] or 0)
+    known = sizes.agg(F.sum("m").alias("pages"), F.count(F.lit(1)).alias("hosts")).first()
+    everyone = F.lit(known["pages"] or 0)
+    if known["hosts"] <= BROADCAST_HOSTS:
+        sizes = F.broadcast(sizes)
     n_all = F.sum("n").over(Window.partitionBy("feature", "path"))  # a row for each host that has the text
     held = counts.where("path <> 0 AND NOT shape").withColumn("n_all", n_all).join(sizes, "host")
     spread = lambda n, m: F.when(m > 1, F.least(F.lit(1.0), F.log(n) / F.log(m))).otherwise(0.0)
