@@ -1,19 +1,25 @@
 """N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
-Texts are sets of word 5-shingles. Equal sets are one node. A node has TREES
-labels of DEPTH MinHash values; nodes that share a prefix of a label meet in a
-bucket of that tree's sorted trie. ``prefix_length`` shortens the prefix from
-DEPTH until a pair at the threshold shares one in some tree with the target
-probability. Buckets then yield candidate pairs:
-
-1. each member with its bucket's most connected member (a star, not all pairs);
-2. after the verified stars are merged to classes, pairs across classes only.
-
-A pair becomes a candidate if its signatures do not rule the threshold out;
-candidates are verified on the whole texts. In buckets of over PAIRED members,
-the pairs of step 2 never become rows: members meet in blocks, all pairs are
-compared inside a task by matrix products, and only links that join classes
-come out. Link counts are exact: the members of a class meet in such blocks too.
+Texts are sets of word 5-shingles. Equal sets are one node, whatever ids the
+texts have. A node has TREES labels of DEPTH MinHash values, and each tree is
+the trie of its sorted labels: nodes that share a prefix of a label stand below
+one trie node, their bucket. The search descends adaptively:
+
+1. It begins with the longest prefixes. Each bucket's members are compared to
+   its most connected member (a star, not all pairs).
+2. The similarities of the links found tell how many links a prefix of any
+   length would find (each found link stands for 1 / its chance to be found).
+   The prefixes are shortened as far as the target recall asks, for the links
+   near the threshold; with few of these, as far as a pair at the threshold does.
+3. In the buckets of the shortened prefixes, again members of other classes than
+   their bucket's leader are compared to it, and classes merge.
+4. Buckets that still hold several classes are searched for links across these.
+
+Every link is verified on whole texts. Where many members meet (steps 3 and 4,
+and the count of links in a class), no pair becomes a row: members are dealt
+into blocks, and a task compares two blocks by matrix products. What travels
+there is a set's difference to its leader's set, from which the similarity of
+any two members follows exactly: (A ^ L) ^ (B ^ L) = A ^ B.
 """
 
 from __future__ import annotations
@@ -28,19 +34,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, materialise, mix64, texts
+from .common import fresh, map_arrow, materialise, mix64, slices, texts
 from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 8
+#: Bytes of a label's value.
+VALUE = 2
 RECALL = 0.9995
-#: Standard deviations that an estimated similarity may lie below the threshold.
+#: Links from the threshold up to so much more tell the depth, if they are so many.
+NEAR, LEAST_LINKS = 0.1, 1000
+#: Standard deviations that an estimated similarity may lie below the threshold; a pair at the threshold lies lower once in 30,000.
 SLACK = 4.0
-#: Members of a class or bucket that meet in one task; a task gets two such blocks.
-BLOCK = 256
-#: Members of the largest bucket whose pairs across classes become rows.
-PAIRED = 48
+#: Members and differing shingles of a block; a task compares two blocks.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 18
+#: Members that are compared to their leader in one task.
+SLICE = 512
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _P = _U(0x100000001B3)
@@ -48,12 +58,25 @@ _P_INVERSE = _U(pow(0x100000001B3, -1, 1 << 64))
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
-def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
+def chance(similarity, depth: int):
+    """The chance that a pair shares a prefix of ``depth`` values in some tree; of a number or a Column."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def prefix_length(threshold: float, recall: float) -> int:
     """The longest prefix with which a pair at the threshold meets with the target probability."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+    return next((d for d in range(DEPTH, 1, -1) if chance(threshold, d) >= recall), 1)
+
+
+def shortened(links: DataFrame, threshold: float, recall: float) -> int:
+    """The longest prefix that finds the target share of the links near the threshold, from links (s) that the longest prefixes found."""
+    least = prefix_length(threshold, recall)
+    depths = range(DEPTH, least, -1)
+    near = links.where(F.col("s") < threshold + NEAR)
+    found = near.agg(F.count(F.lit(1)).alias("n"), F.sum(1 / chance(F.col("s"), DEPTH)).alias("total"), *[F.sum(chance(F.col("s"), d) / chance(F.col("s"), DEPTH)).alias(f"d{d}") for d in depths]).first()
+    if found["n"] < LEAST_LINKS:
+        return least
+    return next((d for d in depths if found[f"d{d}"] >= recall * found["total"]), least)
 
 
 def _power_table(n: int) -> list[np.ndarray]:
@@ -117,24 +140,16 @@ def packed(sig: np.ndarray) -> np.ndarray:
     return ((sig.reshape(-1, 16) & _U(15)) << _NIBBLE).sum(1, dtype=_U).view(np.int64)
 
 
-def _sign(depth: int):
-    def run(batch: pa.RecordBatch) -> dict:
-        keys, prefixes, sigs = [], [], []
-        for text in texts(batch.column("text")):
-            s = shingles(text)
-            keys.append(set_key(s))
-            if len(s):
-                sig = signature(s)
-                label = sig.reshape(TREES, DEPTH)[:, :depth]
-                prefixes.append((label * _PLACE[None, :depth]).sum(1, dtype=_U).view(np.int64))
-                sigs.append(packed(sig))
-            else:
-                prefixes.append(None)
-                sigs.append(None)
-        kind = pa.list_(pa.int64())
-        return {"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "prefix": pa.array(prefixes, kind), "sig": pa.array(sigs, kind)}
-
-    return run
+def _sign(batch: pa.RecordBatch) -> dict:
+    keys, sizes, labels, sigs = [], [], [], []
+    for text in texts(batch.column("text")):
+        s = shingles(text)
+        keys.append(set_key(s))
+        sizes.append(len(s))
+        sig = signature(s) if len(s) else None
+        labels.append(None if sig is None else (sig >> _U(64 - 8 * VALUE)).astype(">u2").tobytes())
+        sigs.append(None if sig is None else packed(sig))
+    return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "key": pa.array(keys, pa.binary()), "n": pa.array(sizes, pa.int32()), "labels": pa.array(labels, pa.binary()), "sig": pa.array(sigs, pa.list_(pa.int64()))}
 
 
 def _estimate(a: Column, b: Column) -> Column:
@@ -154,109 +169,237 @@ def _floor(threshold: float) -> float:
     return threshold - SLACK * math.sqrt(match * (1 - match) / n) * 16 / 15
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts have Jaccard similarity ``threshold`` or more."""
-    left = nodes.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = nodes.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+def _buckets(nodes: DataFrame, depth: int) -> DataFrame:
+    """(t, p, g, key, n, sig): members of the trie nodes of ``depth`` that g > 1 nodes stand below."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.xxhash64(F.substring("labels", t * (DEPTH * VALUE) + 1, F.lit(depth * VALUE))).alias("p")))
+    rows = nodes.select("key", "n", "sig", F.explode(at).alias("at")).select("at.t", "at.p", "key", "n", "sig")
+    crowded = rows.groupBy("t", "p").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
+    return rows.join(crowded, ["t", "p"])
+
+
+def _stars(members: DataFrame, classes: DataFrame | None, threshold: float) -> DataFrame:
+    """(key, leader) of each bucket's members, and its most connected one, that are of different classes and may be linked."""
+    mass = members.groupBy("key").agg(F.sum("g").alias("mass"))
+    led = F.max_by(F.struct(F.col("key").alias("leader"), F.col("n").alias("leader_n"), F.col("sig").alias("leader_sig")), F.struct("mass", "key"))
+    leaders = members.join(mass, "key").groupBy("t", "p").agg(led.alias("l")).select("t", "p", "l.*")
+    pairs = members.join(leaders, ["t", "p"]).where((F.col("key") != F.col("leader")) & _may_link("n", "sig", "leader_n", "leader_sig", threshold)).select("key", "leader").distinct()
+    if classes is None:
+        return pairs
+    own, other = classes.select(F.col("id").alias("key"), F.col("label").alias("own")), classes.select(F.col("id").alias("leader"), F.col("label").alias("other"))
+    placed = pairs.join(own, "key", "left").join(other, "leader", "left")
+    return placed.where(F.coalesce("own", "key") != F.coalesce("other", "leader")).select("key", "leader")
+
+
+def _may_link(n: str, sig: str, other_n: str, other_sig: str, threshold: float) -> Column:
+    """Sizes allow the threshold, and signatures don't rule it out."""
+    small, large = F.least(n, other_n), F.greatest(n, other_n)
+    return (small >= F.lit(threshold) * large - 1e-9) & (_estimate(F.col(sig), F.col(other_sig)) >= _floor(threshold))
+
+
+def _differences(members: DataFrame, node_texts: DataFrame, features: bool) -> DataFrame:
+    """Members (key, leader, ...) with n, leader_n, apart (shingles that only one of the two has), and these themselves if asked for.
+
+    A leader's text goes once to every SLICE of its members, not to each of them.
+    """
+    more = [c for c in members.columns if c not in ("key", "leader")]
+    slices_of = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    dealt = members.join(slices_of, "leader").select("leader", F.pmod(F.xxhash64("key"), "slices").cast("int").alias("slice"), F.lit(1).alias("place"), "key", *more).join(node_texts, "key")
+    first = slices_of.select("leader", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).join(node_texts.withColumnRenamed("key", "leader"), "leader")
+    first = first.select("leader", "slice", F.lit(0).alias("place"), F.col("leader").alias("key"), *[F.lit(None).cast(members.schema[c].dataType).alias(c) for c in more], "text")
+    rows = dealt.select("leader", "slice", "place", "key", *more, "text").unionByName(first).repartition("leader", "slice").sortWithinPartitions("leader", "slice", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.empty(0, _U))
-        for batch in batches:
-            ok = []
-            b_texts = batch.column("text_b")
-            for k, (a_text, b) in enumerate(zip(texts(batch.column("text_a")), batch.column("b").to_pylist(), strict=True)):
-                if last[0] != b:
-                    last = b, shingles(b_texts[k].as_py())
-                own = shingles(a_text)
-                small, large = sorted((len(own), len(last[1])))
-                both = len(np.intersect1d(own, last[1], assume_unique=True)) if small >= threshold * large else 0
-                ok.append(both >= threshold * (small + large - both) - 1e-9 and both > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    kind = nodes.schema["id"].dataType.simpleString()
-    return found.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _in_blocks(members: DataFrame, group: list[str]) -> DataFrame:
-    """Deal each group's members (group, id, class, size, text) into blocks, and every two blocks into one task as (group, i, j)."""
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        led = np.empty(0, _U)
+        for batch in slices(batches):
+            kept, n, leader_n, apart, xor = [], [], [], [], []
+            for k, (place, text) in enumerate(zip(batch.column("place").to_pylist(), texts(batch.column("text")), strict=True)):
+                own = shingles(text)
+                if not place:
+                    led = own
+                    continue
+                only = np.setxor1d(own, led, assume_unique=True)
+                kept.append(k)
+                n.append(len(own))
+                leader_n.append(len(led))
+                apart.append(len(only))
+                xor.append(only.tobytes() if features else None)
+            part = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in ("key", "leader", *more)}, "n": pa.array(n, pa.int32()), "leader_n": pa.array(leader_n, pa.int32()), "apart": pa.array(apart, pa.int32()), "features": pa.array(xor, pa.binary())})
+
+    fields = members.select("key", "leader", *more).schema
+    for name, kind in (("n", "integer"), ("leader_n", "integer"), ("apart", "integer"), ("features", "binary")):
+        fields = fields.add(name, kind)
+    return rows.mapInArrow(run, fields)
+
+
+def _verified(stars: DataFrame, node_texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, s): the stars (key, leader) of similarity ``threshold`` or more."""
+    found = _differences(stars, node_texts, features=False)
+    both = (F.col("n") + F.col("leader_n") - F.col("apart")) / 2
+    s = F.when(both > 0, both / (both + F.col("apart"))).otherwise(0.0)
+    return found.select(F.col("key").alias("a"), F.col("leader").alias("b"), s.alias("s")).where(F.col("s") >= threshold - 1e-12)
+
+
+def _in_blocks(members: DataFrame, group: list[str], weight: Column) -> DataFrame:
+    """Deal each group's members (group, key, class, ...) into blocks, and every two blocks into one task as (group, i, j)."""
+    more = [c for c in members.columns if c not in group]
+    totals = members.groupBy(*group).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum(weight) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(totals, group).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own).select(*group, "class", "own", "id", "text", F.explode(pairs).alias("p_")).select(F.struct(*group, "p_.i", "p_.j").alias("at"), "class", "own", "id", "text")
+    dealt = dealt.select(F.explode(pairs).alias("p_"), "own", *group, *more).select(F.struct(*group, "p_.i", "p_.j").alias("at"), "own", *more)
     return dealt.repartition("at").sortWithinPartitions("at")
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list, list[str]]]:
-    """Of each two blocks that meet: classes, which pairs are this task's, ids, texts."""
-    rows = ((*key.values(), *rest) for batch in batches for key, *rest in zip(*(batch.column(c).to_pylist() for c in ("at", "class", "own", "id", "text")), strict=True))
-    for (*_, i, j), group in groupby(rows, key=lambda r: r[:-4]):
-        members = [r[-4:] for r in group]
-        own = np.array([m[1] for m in members])
-        here = own[:, None] != own[None, :] if i != j else np.ones((len(own), len(own)), bool)
-        yield np.array([m[0] for m in members]), here, [m[2] for m in members], [m[3] or "" for m in members]
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, dict[str, list]]]:
+    """Of each two blocks that meet: their group, which pairs of members are this task's, and the members' columns."""
+    names: list[str] = []
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            names[:] = batch.schema.names
+            yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
 
+    stream = rows()
+    for at, group in groupby(stream, key=lambda r: tuple(r[0].values()) if isinstance(r[0], dict) else r[0]):
+        columns = dict(zip(names, map(list, zip(*group, strict=True)), strict=True))
+        where, own = columns["at"][0], np.array(columns["own"])
+        here = own[:, None] != own[None, :] if where["i"] != where["j"] else ~np.eye(len(own), dtype=bool)
+        yield where, here, columns
+
+
+def _codes(values: list) -> np.ndarray:
+    """A number for each value, in the order of the values."""
+    place = {v: k for k, v in enumerate(sorted(set(values)))}
+    return np.array([place[v] for v in values])
+
+
+def link_matrix(sizes: np.ndarray, features: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of a few sets are linked, from their sizes and their differences to one and the same set.
+
+    Common features come from products of slices of the incidence matrix.
+    """
+    n = len(features)
+    counts = np.array([len(f) for f in features], np.int64)
+    _, column, held = np.unique(np.concatenate(features) if n else np.empty(0, _U), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), counts)
+    shared = held[column] > 1
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.cumsum(np.append(False, np.diff(column[order]) > 0)) if len(order) else column
+    common = np.zeros((n, n), np.float32)
+    width = 2048
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        slab = np.zeros((n, width), np.float32)
+        slab[row[a:b], column[a:b] - start] = 1
+        common += slab @ slab.T
+    apart = counts[:, None] + counts[None, :] - 2 * common
+    both = (sizes[:, None] + sizes[None, :] - apart) / 2
+    links = (both > 0) & (both >= threshold * (both + apart) - 1e-9)
+    np.fill_diagonal(links, False)
+    return links
 
-def _links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): exact number of links of each member (id, class, size, text) of a class."""
+
+def _linked(columns: dict[str, list], threshold: float) -> np.ndarray:
+    return link_matrix(np.array(columns["n"], np.int64), [np.frombuffer(f, _U) for f in columns["features"]], threshold)
+
+
+def _links_in_classes(members: DataFrame, threshold: float) -> DataFrame:
+    """(key, links): the exact number of links of each member (class, key, n, features) of a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, here, ids, own in _meetings(batches):
-            links = link_matrix([shingles(t) for t in own], threshold) & here
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "links": links.sum(1).astype(np.int64)})
+        for _, here, columns in _meetings(batches):
+            yield pa.RecordBatch.from_pydict({"key": pa.array(columns["key"], pa.binary()), "links": (_linked(columns, threshold) & here).sum(1).astype(np.int64)})
+
+    dealt = _in_blocks(members.select("class", "key", "n", "features"), ["class"], F.octet_length("features") / 8)
+    return dealt.mapInArrow(run, "key binary, links bigint").groupBy("key").agg(F.sum("links").alias("links"))
 
-    kind = members.schema["id"].dataType.simpleString()
-    return _in_blocks(members, ["class"]).mapInArrow(run, f"id {kind}, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+
+def _candidates(members: DataFrame, threshold: float) -> DataFrame:
+    """The members (t, p, key, class, n, sig) of a bucket that may be linked with one of another class; the same rule as ``_may_link``."""
+    low, n_values = _floor(threshold), TREES * DEPTH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for where, here, columns in _meetings(batches):
+            classes, sizes = _codes(columns["class"]), np.array(columns["n"])
+            sig = np.array(columns["sig"], np.int64).view(_U)
+            values = ((sig[:, :, None] >> _NIBBLE) & _U(15)).astype(np.uint8).reshape(len(sig), -1)
+            found = np.zeros(len(sig), bool)
+            for k in range(len(sig)):  # a row at a time, so memory is in proportion to the members
+                may = here[k] & (classes != classes[k]) & (np.minimum(sizes, sizes[k]) >= threshold * np.maximum(sizes, sizes[k]) - 1e-9)
+                may = np.flatnonzero(may)
+                apart = (values[may] != values[k]).sum(1)
+                found[k] = (1 - apart / (n_values * 15 / 16) >= low).any()
+            keys = [columns["key"][k] for k in np.flatnonzero(found)]
+            yield pa.RecordBatch.from_pydict({"t": pa.array([where["t"]] * len(keys), pa.int32()), "p": pa.array([where["p"]] * len(keys), pa.int64()), "key": pa.array(keys, pa.binary())})
+
+    dealt = _in_blocks(members.select("t", "p", "key", "class", "n", "sig"), ["t", "p"], F.lit(1))
+    return dealt.mapInArrow(run, "t int, p bigint, key binary").distinct()
 
 
 def _links_across(members: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join the classes of members (t, p, id, class, size, text) of a bucket, enough to connect all that are linked."""
+    """Links (a, b) that join the classes of members (t, p, key, class, n, features) of a bucket, enough to connect all that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for classes, here, ids, own in _meetings(batches):
-            here &= classes[:, None] < classes[None, :]
-            if not here.any():
-                continue
-            x, y = np.nonzero(link_matrix([shingles(t) for t in own], threshold) & here)
-            root = {c: c for c in classes.tolist()}
+        for _, here, columns in _meetings(batches):
+            classes = _codes(columns["class"])
+            x, y = np.nonzero(_linked(columns, threshold) & here & (classes[:, None] < classes[None, :]))
+            root = list(range(len(classes)))
             kept: list[tuple] = []
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
                 ends = []
-                for c in (classes[i].item(), classes[j].item()):
+                for c in (int(classes[i]), int(classes[j])):
                     while root[c] != c:
                         root[c] = c = root[root[c]]
                     ends.append(c)
                 if ends[0] != ends[1]:
                     root[max(ends)] = min(ends)
-                    kept.append((ids[i], ids[j]))
-            if kept:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in kept]), "b": pa.array([b for _, b in kept])})
-
-    kind = members.schema["id"].dataType.simpleString()
-    return _in_blocks(members, ["t", "p"]).mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def link_matrix(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which of a few sets are linked; intersections come from products of slices of the incidence matrix."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    codes = np.concatenate(sets) if n else np.empty(0, _U)
-    _, column, count = np.unique(codes, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), sizes)
-    shared = count[column] > 1
-    row, column = row[shared], column[shared]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], np.cumsum(np.append(False, np.diff(column[order]) > 0)) if len(order) else column
-    both = np.zeros((n, n), np.float32)
-    width = 4096
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [start, start + width])
-        slab = np.zeros((n, width), np.float32)
-        slab[row[a:b], column[a:b] - start] = 1
-        both += slab @ slab.T
-    links = (both > 0) & (both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9)
-    np.fill_diagonal(links, False)
-    return links
+                    kept.append((columns["key"][i], columns["key"][j]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in kept], pa.binary()), "b": pa.array([b for _, b in kept], pa.binary())})
+
+    dealt = _in_blocks(members.select("t", "p", "key", "class", "n", "features"), ["t", "p"], F.octet_length("features") / 8)
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, text), h a hash of the text, and the stored table (doc_id, h, key, n, labels, sig) of them."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows, materialise(map_arrow(rows, _sign, f"doc_id {kind}, h bigint, key binary, n int, labels binary, sig array<bigint>"), "signed")
+
+
+def _classes(rows: DataFrame, signed: DataFrame, threshold: float, recall: float, count_links: bool) -> DataFrame:
+    """(key, first, class_first, n_links) of each distinct set; ``first`` is the smallest (doc_id, h) of its texts, ``class_first`` of its class's."""
+    nodes = materialise(signed.where("doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.any_value("n").alias("n"), F.any_value("labels").alias("labels"), F.any_value("sig").alias("sig")), "nodes")
+    wordy = nodes.where("n > 0")
+    met = _buckets(wordy, prefix_length(threshold, recall)).select("key").distinct().join(nodes.select("key", "first"), "key").select("key", "first.doc_id", "first.h")
+    node_texts = materialise(rows.join(met, ["doc_id", "h"]).select("key", "text").dropDuplicates(["key"]), "node-texts")
+
+    deep = _verified(_stars(_buckets(wordy, DEPTH), None, threshold), node_texts, threshold)
+    links = materialise(deep, "links")
+    classes = components(links)
+    members = materialise(_buckets(wordy, shortened(links, threshold, recall)), "buckets")
+    links = links.select("a", "b").unionByName(materialise(_verified(_stars(members, classes, threshold), node_texts, threshold).select("a", "b"), "links"))
+    classes = components(links)
+
+    placed = materialise(members.join(classes.withColumnRenamed("id", "key"), "key", "left").select("t", "p", "key", "n", "sig", F.coalesce("label", "key").alias("class")), "placed")
+    mixed = placed.groupBy("t", "p").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("t", "p")
+    across = _candidates(placed.join(mixed, ["t", "p"]), threshold)
+    across = materialise(across.join(placed.select("t", "p", "key", "class"), ["t", "p", "key"]), "across")
+    leaders = across.groupBy("t", "p").agg(F.min("key").alias("leader"))
+    across = materialise(_differences(across.join(leaders, ["t", "p"]), node_texts, features=True), "across")
+    links = materialise(links.unionByName(_links_across(across, threshold)), "links")
+    classes = components(links).select(F.col("id").alias("key"), F.col("label").alias("class"))
+
+    linked = nodes.select("key", "first").join(classes, "key")
+    firsts = linked.groupBy("class").agg(F.min("first").alias("class_first"))
+    out = nodes.select("key", "first").join(linked.join(firsts, "class").select("key", "class_first"), "key", "left")
+    if count_links:
+        members = materialise(_differences(classes.withColumn("leader", F.col("class")), node_texts, features=True), "members")
+        out = out.join(_links_in_classes(members, threshold), "key", "left")
+    else:
+        out = out.withColumn("links", F.lit(None).cast("bigint"))
+    return out.select("key", "first", F.coalesce("class_first", "first").alias("class_first"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> DataFrame:
@@ -266,59 +409,25 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     through others; ``copy_of`` the smallest id with the same shingles; links
     count the other distinct shingle sets of at least ``threshold`` similarity.
     Texts without a word (and null ones) are copies of each other. Rows with a
-    null id are left out of the join: they have null classes and no links.
-    Rows that repeat an id count as one document if their texts agree; else each
-    text is joined, under one id.
+    null id are left out of the join: they have null classes and no links. Each
+    text is joined for itself, so rows that repeat an id with another text may
+    be of another class; rows that repeat both are alike. Texts may be of any
+    length: a task holds the sets of one text and its leader, or differences of
+    two blocks. An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    depth = prefix_length(threshold, recall)
-    signed = materialise(map_arrow(rows, _sign(depth), f"doc_id {kind}, key binary, prefix array<bigint>, sig array<bigint>"), "signed")
-    known = signed.where("doc_id IS NOT NULL")
-    nodes = known.groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("id"), "prefix", "sig")).alias("n")).select("key", "n.*")
-    labels = nodes.where("prefix IS NOT NULL").select("id", "key", "sig", F.posexplode("prefix").alias("t", "p"))
-    crowded = labels.groupBy("t", "p").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    members = materialise(labels.join(crowded, ["t", "p"]), "buckets")
-    weight = members.groupBy("id", "key").agg(F.sum("g").alias("mass"))
-
-    def same_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [set_key(shingles(t)) == k for t, k in zip(texts(batch.column("text")), batch.column("key").to_pylist(), strict=True)]
-            yield batch.select(["id", "text"]).filter(pa.array(same, pa.bool_()))
-
-    held = rows.join(weight.select("id", "key"), F.col("doc_id") == F.col("id")).select("id", "key", "text")
-    node_texts = materialise(held.mapInArrow(same_key, f"id {kind}, text string").dropDuplicates(["id"]), "node-texts")
-
-    low = _floor(threshold)
-    leaders = members.join(weight.select("id", "mass"), "id").groupBy("t", "p").agg(F.max(F.struct("mass", F.col("id").alias("leader"), F.col("sig").alias("leader_sig"))).alias("l")).select("t", "p", "l.leader", "l.leader_sig")
-    stars = members.join(leaders, ["t", "p"]).where((F.col("id") != F.col("leader")) & (_estimate(F.col("sig"), F.col("leader_sig")) >= low)).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    star_links = materialise(_verified(stars, node_texts, threshold), "star-links")
-    classes = components(star_links)
-    placed = materialise(members.join(classes, "id", "left").select("t", "p", "id", "sig", F.coalesce("label", "id").alias("class")), "placed")
-    mixed = placed.groupBy("t", "p").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("t", "p", "size")
-    large = placed.join(mixed.where(F.col("size") > PAIRED), ["t", "p"]).select("t", "p", "id", "class", "size").join(node_texts, "id")
-    open_members = placed.join(mixed.where(F.col("size") <= PAIRED), ["t", "p"])
-    x, y = open_members.alias("x"), open_members.alias("y")
-    across = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.class") < F.col("y.class")) & (_estimate(F.col("x.sig"), F.col("y.sig")) >= low))
-    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = materialise(star_links.unionByName(_verified(across, node_texts, threshold)).unionByName(_links_across(large, threshold)), "links")
-    classes = components(links).select("id", F.col("label").alias("class"))
-    out = nodes.select("key", "id").join(classes, "id", "left")
-    if count_links:
-        sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
-        counted = _links_in_blocks(classes.join(sizes, "class").join(node_texts, "id"), threshold)
-        out = out.join(counted, "id", "left")
-    else:
-        out = out.withColumn("links", F.lit(None).cast("bigint"))
-    out = out.select("key", F.col("id").alias("copy_of"), F.coalesce("class", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    rows, signed = _signed(docs, id_col, text_col)
+    out = _classes(rows, signed, threshold, recall, count_links)
     joined = signed.select("doc_id", "key").join(out, "key", "left")
-    absent = F.col("doc_id").isNull()
-    return joined.select("doc_id", F.when(~absent, F.col("class_id")).alias("class_id"), F.when(absent, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"), F.when(~absent, F.col("copy_of")).alias("copy_of"))
-
-
-def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is their class's smallest; one row an id. Null ids stay."""
-    (first,) = fresh(docs, "first_id")
-    found = jaccard_classes(docs, count_links=False).where("doc_id = class_id").select(F.col("doc_id").alias(first)).distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col(first), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    known = F.col("doc_id").isNotNull()
+    return joined.select("doc_id", F.when(known, F.col("class_first.doc_id")).alias("class_id"), F.when(known, F.col("n_links")).otherwise(0).cast("bigint").alias("n_links"), F.when(known, F.col("first.doc_id")).alias("copy_of"))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, one of each class: that of the smallest id, of its texts that of the smallest hash. Null ids stay."""
+    rows, signed = _signed(docs, id_col, text_col)
+    first_id, first_h, own_h = fresh(docs, "first_id", "first_h", "own_h")
+    kept = _classes(rows, signed, THRESHOLD, RECALL, False).select(F.col("class_first.doc_id").alias(first_id), F.col("class_first.h").alias(first_h)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(own_h, F.xxhash64(F.col(text_col).cast("string")))
+    same = (F.col(id_col) == F.col(first_id)) & (F.col(own_h) == F.col(first_h))
+    one = named.join(kept, same, "left_semi").dropDuplicates([id_col, own_h]).select(*docs.columns)
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -101,8 +101,9 @@ def test_classes_and_links_of_near_copies(spark):
 
 
 def test_blocks_of_large_classes(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
-    monkeypatch.setattr(jaccard_join, "PAIRED", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(jaccard_join, "SLICE", 3)
     texts = _near_copies()
     assert _join(spark, texts) == _classes(texts)
 
@@ -120,6 +121,51 @@ def test_prefixes_reach_the_target_recall():
         assert d == jaccard_join.DEPTH or 1 - (1 - threshold ** (d + 1)) ** jaccard_join.TREES < jaccard_join.RECALL
 
 
+def test_prefixes_are_shortened_as_the_links_found_ask(spark):
+    links = lambda near, far: spark.createDataFrame([(near,)] * 2000 + [(far,)] * 2000, "s double")
+    least = jaccard_join.prefix_length(0.8, 0.9995)
+    assert least == 4
+    assert jaccard_join.shortened(links(0.8, 0.99), 0.8, 0.9995) == least
+    assert jaccard_join.shortened(links(0.86, 0.95), 0.8, 0.9995) == 6  # no link is as low as the threshold
+    assert jaccard_join.shortened(links(0.95, 0.99), 0.8, 0.9995) == least  # none near the threshold tells
+    assert jaccard_join.shortened(links(0.8, 0.99), 0.8, 0.9) == jaccard_join.DEPTH
+    for s, d in ((0.8, 8), (0.85, 5), (0.9, 8)):
+        assert abs(jaccard_join.chance(s, d) - (1 - (1 - s**d) ** 16)) < 1e-12
+
+
+def test_differences_to_a_leader_give_all_links():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = []
+    for _ in range(60):
+        own = base[rng.random(len(base)) < rng.choice([0.5, 0.85, 0.9, 0.95, 0.99, 1])]
+        sets.append(np.unique(np.concatenate([own, rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)])))
+    led = sets[7]
+    got = jaccard_join.link_matrix(np.array([len(s) for s in sets]), [np.setxor1d(s, led) for s in sets], 0.8)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            assert got[i, j] == (i != j and both >= 0.8 * (len(a) + len(b) - both))
+
+
+def test_rows_that_repeat_an_id_are_joined_each(spark):
+    """Twenty copies of each of two texts, of which one each has the same id."""
+    one, two = words(1, 200).split(), words(2, 200).split()
+    rows = []
+    for k in range(20):
+        for base, w in ((100, one), (200, two)):
+            own = list(w)
+            own[10 * k % 200] = f"other{k}"
+            rows.append((base + k, " ".join(own)))
+    rows = [(7 if d in (105, 205) else d, t) for d, t in rows]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string").repartition(4)
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(docs).collect())
+    # both classes have the id 7, so both are named 7; each text has the links of its own class
+    assert {c for _, c, _ in got} == {7} and {n for _, _, n in got} == {19} and len(got) == 43
+    kept = [(r["doc_id"], r["text"].split()[-1]) for r in jaccard_join.one_of_each_class(docs).collect()]
+    assert sorted(kept) == sorted([(7, one[-1]), (7, two[-1])])
+
+
 def test_one_of_each_class_stays(spark):
     texts = _near_copies()
     docs = spark.createDataFrame([(d, t, 1) for d, t in texts.items()], "doc_id bigint, text string, other int")
