@@ -2,20 +2,27 @@
 
 Each source's words are packed into blocks of ``block_words``. The mix is a
 sequence of slots, cut into output shards. A source has a quota of slots that
-meets its target; each shard draws its source counts from a multinomial that is
+gives its target to the word; of its last slot only so many words count as are
+missing. Each shard draws its source counts from a multinomial that is
 conditioned on the quotas (a multivariate hypergeometric draw), so totals are
 exact and yet every shard is a random mix. A source's slots are numbered; slot
 o falls in epoch o // B (B blocks) and takes the block that the epoch's
 pseudorandom permutation of 0..B-1 gives for o % B. Slots join blocks by that
 index. Everything follows from the seed, so reruns and lost tasks agree.
 
+How many words a document gives depends on quotas and permutations alone; the
+draws decide in which shard and slot they stand (``mix_documents`` tells, the
+stream is ``mixed_blocks``, and ``mixed_documents`` come in that order).
+
 Only counts by source reach the driver. Word positions inside a source are a
-prefix sum in two levels (within hashed buckets, over bucket totals), so a
-source that holds most rows is no single task.
+prefix sum in two levels (within hashed buckets, over bucket totals), each as
+long as the root of the source's rows, so a source that holds most rows is no
+single task.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,14 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import fresh, map_arrow, materialise, mix64, slices, texts
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 GROUP_SHARDS = 32
+#: Rows of a source's bucket at least; the root of its rows if that is more.
 BUCKET_ROWS = 500
 MOST_REPEATS = 3
+#: A row for each source reaches the driver and every task; a table with more sources is refused.
+MOST_SOURCES = 100_000
 _U = np.uint64
 #: Added to the key in the six rounds of the permutation.
 _STEPS = np.arange(6, dtype=_U) * _U(0x9E3779B97F4A7C15)
@@ -87,27 +98,62 @@ def permuted(index: np.ndarray, domain: np.ndarray, key: np.ndarray) -> np.ndarr
     return out.astype(np.int64)
 
 
+def place_in_permutation(value: int, domain: int, key: int) -> int:
+    """The index that ``permuted`` maps to ``value``: the network backwards."""
+    bits = math.ceil(math.log2(max(domain, 4)))
+    half = _U((bits + 1) // 2)
+    mask = (_U(1) << half) - _U(1)
+    x = np.array([value], _U)
+    while True:
+        left, right = x >> half, x & mask
+        for step in _STEPS[::-1]:
+            left, right = right ^ (mix64(left + _U(key) + step) & mask), left
+        x = left << half | right
+        if x[0] < domain:
+            return int(x[0])
+
+
+def epoch_key(seed: int, epoch: np.ndarray, sources: int, s: np.ndarray) -> np.ndarray:
+    return mix64(mix64(np.full(len(s), seed, _U)) + (epoch * sources + s).astype(_U))
+
+
 @dataclass(frozen=True)
 class Source:
+    """``last``: words that count of the last slot."""
+
     name: str | None
     size: int
     target: float
     blocks: int
     quota: int
+    last: int
+
+
+def _slots_for(words: int, size: int, blocks: int, block_words: int, short_at) -> tuple[int, int]:
+    """Slots that give so many words, and the words that count of the last; ``short_at``: where an epoch has the source's last, shorter block."""
+    epochs, rest = divmod(words, size)
+    if not rest:
+        return epochs * blocks, block_words
+    lack, at = block_words * blocks - size, short_at(epochs)
+    n = -(-rest // block_words)
+    if at < n and n * block_words - lack < rest:
+        n += 1
+    return epochs * blocks + n, rest - ((n - 1) * block_words - (lack if at < n - 1 else 0))
 
 
-def plan_sources(sizes: dict[str | None, int], weights: dict[str | None, float] | None = None, block_words: int = BLOCK_WORDS) -> list[Source]:
+def plan_sources(sizes: dict[str | None, int], weights: dict[str | None, float] | None = None, block_words: int = BLOCK_WORDS, seed: int = 0) -> list[Source]:
     """Sources in code-point order, null last, with targets, block counts and slot quotas.
 
-    Without ``weights`` they weigh 1, 2, 3, repeating.
+    Without ``weights`` they weigh 1, 2, 3, repeating. A quota gives the target, rounded to a word.
     """
     names = sorted((n for n in sizes if n is not None)) + [None] * (None in sizes)
     weigh = [weights[n] if weights else 1 + i % 3 for i, n in enumerate(names)]
     out = []
-    for name, target in zip(names, targets([sizes[n] for n in names], weigh), strict=True):
+    for i, (name, target) in enumerate(zip(names, targets([sizes[n] for n in names], weigh), strict=True)):
         size = sizes[name]
         blocks = -(-size // block_words)
-        out.append(Source(name, size, target, blocks, round(target * blocks / size) if size else 0))
+        short_at = lambda epoch: place_in_permutation(blocks - 1, blocks, int(epoch_key(seed, np.array([epoch]), len(names), np.array([i]))[0]))  # noqa: B023, E731
+        out.append(Source(name, size, target, blocks, *(_slots_for(min(round(target), MOST_REPEATS * size), size, blocks, block_words, short_at) if size else (0, block_words))))
     return out
 
 
@@ -123,12 +169,13 @@ def shard_counts(sources: list[Source], group: int, groups: int, shards: int, se
         first, rest = first + draw, rest - draw
 
 
-def slots(spark, sources: list[Source], seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """The mix: (shard, slot, s, epoch, block); s is the source's place in ``sources``."""
+def slots(spark, sources: list[Source], seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix: (shard, slot, s, epoch, block, most); s is the source's place in ``sources``, most the words that count of the block."""
     total = sum(s.quota for s in sources)
     groups = max(1, -(-total // (shard_slots * GROUP_SHARDS)))
     shards = max(1, -(-total // (groups * shard_slots)))
     domain = np.array([max(1, s.blocks) for s in sources], np.int64)
+    final, last = np.array([s.quota - 1 for s in sources], np.int64), np.array([s.last for s in sources], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,30 +185,28 @@ def slots(spark, sources: list[Source], seed: int = 0, shard_slots: int = SHARD_
                     s = np.repeat(np.arange(len(sources)), count)
                     ordinal = np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
                     epoch = ordinal // domain[s]
-                    key = mix64(mix64(np.full(len(s), seed, _U)) + (epoch * len(sources) + s).astype(_U))
-                    block = permuted(ordinal % domain[s], domain[s], key)
+                    block = permuted(ordinal % domain[s], domain[s], epoch_key(seed, epoch, len(sources), s))
+                    most = np.where(ordinal == final[s], last[s], block_words)
                     order = np.random.default_rng([seed, 1, shard]).permutation(len(s))
-                    yield pa.RecordBatch.from_pydict({"shard": np.full(len(s), shard, np.int64), "slot": np.arange(len(s), dtype=np.int64), "s": s[order].astype(np.int32), "epoch": epoch[order].astype(np.int32), "block": block[order]})
+                    yield pa.RecordBatch.from_pydict({"shard": np.full(len(s), shard, np.int64), "slot": np.arange(len(s), dtype=np.int64), "s": s[order].astype(np.int32), "epoch": epoch[order].astype(np.int32), "block": block[order], "most": most[order]})
 
     tasks = max(1, min(groups, 10_000))
-    return spark.range(0, groups if total else 0, 1, tasks).mapInArrow(run, "shard bigint, slot bigint, s int, epoch int, block bigint")
+    return spark.range(0, groups if total else 0, 1, tasks).mapInArrow(run, "shard bigint, slot bigint, s int, epoch int, block bigint, most bigint")
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size), one row per row of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: str | None = None) -> DataFrame:
+    """(doc_id, source, size), one row per row of ``docs``; with ``keep`` also uid, that column."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), *([F.col(keep).alias("uid")] if keep else []))
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "size": word_counts(batch.column("text"))}
+        own = {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "size": word_counts(batch.column("text"))}
+        return {**own, "uid": batch.column("uid")} if keep else own
 
-    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size bigint")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size bigint{', uid bigint' if keep else ''}")
 
 
 def segments(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Pack words into blocks: (s, block, uid, first, words) from rows (uid, doc_id, s, buckets, size).
-
-    A source has a bucket for every BUCKET_ROWS of its rows, so all buckets are about as large.
-    """
+    """Pack words into blocks: (s, block, at, uid, first, words) from rows (uid, doc_id, s, buckets, size); at is where in the block they stand."""
     rows = rows.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), "buckets"))
     inside = Window.partitionBy("s", "bucket").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,9 +216,9 @@ def segments(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     low = F.floor(F.col("start") / n)
     high = F.floor((F.col("start") + F.col("size") - 1) / n)
     cut = placed.select("s", "uid", "start", "size", F.explode(F.sequence(low, high)).alias("block"))
-    first = F.greatest(F.col("block") * n, F.col("start")) - F.col("start")
-    last = F.least((F.col("block") + 1) * n, F.col("start") + F.col("size")) - F.col("start")
-    return cut.select("s", "block", "uid", first.cast("bigint").alias("first"), (last - first).cast("bigint").alias("words"))
+    begin = F.greatest(F.col("block") * n, F.col("start"))
+    end = F.least((F.col("block") + 1) * n, F.col("start") + F.col("size"))
+    return cut.select("s", "block", (begin - F.col("block") * n).cast("bigint").alias("at"), "uid", (begin - F.col("start")).cast("bigint").alias("first"), (end - begin).cast("bigint").alias("words"))
 
 
 @dataclass
@@ -185,39 +230,77 @@ class Mix:
     segments: DataFrame
     slots: DataFrame
 
+    def pieces(self) -> DataFrame:
+        """(shard, slot, at, uid, epoch, first, words): the mix, word ranges of documents in their places."""
+        held = self.segments.join(self.slots.hint("merge"), ["s", "block"])  # Spark can't tell how many slots there are
+        words = F.least("words", F.col("most") - F.col("at"))
+        return held.select("shard", "slot", "at", "uid", "epoch", "first", words.alias("words")).where("words > 0")
+
     def taken(self) -> DataFrame:
-        """(uid, taken): words the mix takes of each row, repeats counted."""
-        uses = self.slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")  # Spark can't tell how many slots there are
-        return self.segments.join(uses, ["s", "block"]).groupBy("uid").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+        """(uid, taken, shard, slot, n_shards): words the mix takes of each row, repeats counted; the first place they stand in, and the shards that have some."""
+        by_shard = self.pieces().groupBy("uid", "shard").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+        first = F.min(F.struct("shard", "slot"))
+        return by_shard.groupBy("uid").agg(F.sum("words").alias("taken"), first.alias("place"), F.count(F.lit(1)).alias("n_shards")).select("uid", "taken", "place.shard", "place.slot", "n_shards")
 
     def copies(self) -> DataFrame:
-        """(uid, copies): for each epoch that takes of a row, its word ranges in order."""
-        used = self.segments.join(self.slots.select("s", "block", "epoch").hint("merge"), ["s", "block"])
-        ranges = used.groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("ranges"))
-        return ranges.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("epoch", "ranges"))).alias("copies"))
+        """(uid, copies): for each epoch that takes of a row, the first place of it in the mix and its word ranges in order."""
+        place = F.min(F.struct("shard", "slot"))
+        ranges = self.pieces().groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("ranges"), place.alias("place"))
+        return ranges.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("epoch", "place", "ranges"))).alias("copies"))
 
 
-def plan_mix(rows: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS) -> Mix:
+def plan_mix(rows: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> Mix:
     """Plan the mix of rows (uid, doc_id, source, size), a table that is cheap to read again."""
     spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    sources = plan_sources({r["source"]: r["size"] for r in found}, weights, block_words)
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources to mix")
+    sources = plan_sources({r["source"]: r["size"] for r in found}, weights, block_words, seed)
     rows_of = {r["source"]: r["n"] for r in found}
-    places = spark.createDataFrame([(i, s.name, s.size, s.target, -(-rows_of[s.name] // BUCKET_ROWS)) for i, s in enumerate(sources)], "s int, name string, source_size bigint, target double, buckets bigint")
-    named = rows.join(F.broadcast(places), rows["source"].eqNullSafe(places["name"])).drop("name")  # a row for each source
-    return Mix(sources, named, segments(named.select("uid", "doc_id", "s", "buckets", "size"), block_words), slots(spark, sources, seed))
+    buckets = [-(-rows_of[s.name] // max(BUCKET_ROWS, math.isqrt(rows_of[s.name]))) for s in sources]
+    places = spark.createDataFrame([(i, s.name, s.size, s.target, n) for i, (s, n) in enumerate(zip(sources, buckets, strict=True))], "s int, name string, source_size bigint, target double, buckets bigint")
+    named = rows.join(F.broadcast(places), rows["source"].eqNullSafe(places["name"])).drop("name")  # a row for each source, MOST_SOURCES at most
+    return Mix(sources, named, segments(named.select("uid", "doc_id", "s", "buckets", "size"), block_words), slots(spark, sources, seed, block_words, shard_slots))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, seed: int = 0) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, source, shard, slot, n_shards.
 
-    Null and empty texts have size 0 and are never taken. A null source is one
-    source, the last. Repeated rows are each a document. If no text has a word,
-    all targets are 0.
+    Shard and slot are the first place of the document's words in the mix, null
+    if none is taken. Null and empty texts have size 0 and are never taken. A
+    null source is one source, the last. Repeated rows are each a document. A
+    text of any length spreads over as many blocks as it fills. If no text has a
+    word, all targets are 0; an empty table gives an empty result.
     """
     rows = materialise(sized(docs, id_col, text_col, source_col).withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
-    mix = plan_mix(rows, weights, seed)
-    return mix.rows.join(mix.taken().hint("merge"), "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source")
+    mix = plan_mix(rows, weights, seed, block_words, shard_slots)
+    joined = mix.rows.join(mix.taken().hint("merge"), "uid", "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "shard", "slot", F.coalesce("n_shards", F.lit(0)).alias("n_shards"))
+
+
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mixed stream: (shard, slot, source, text), a block of words a slot, in order within each shard's task.
+
+    Words are joined by one blank. A block has ``block_words`` words but for the
+    last of a source and the last that it takes. Nulls and ties as in ``mix_documents``.
+    """
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")), "mix-rows")
+    sizes = materialise(sized(rows.select("doc_id", "source", "text", "uid"), keep="uid"), "mix-sizes")
+    places = plan_mix(sizes, weights, seed, block_words, shard_slots).pieces().groupBy("uid").agg(F.collect_list(F.struct("shard", "slot", "at", "first", "words")).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[list] = [[], [], [], [], []]
+            for source, text, own in zip(batch.column("source").to_pylist(), texts(batch.column("text")), batch.column("places").to_pylist(), strict=True):
+                words = _WORD.findall(text)
+                for x in own:
+                    for column, value in zip(out, (x["shard"], x["slot"], x["at"], source, " ".join(words[x["first"] : x["first"] + x["words"]])), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(out[0], pa.int64()), "slot": pa.array(out[1], pa.int64()), "at": pa.array(out[2], pa.int64()), "source": pa.array(out[3], pa.string()), "part": pa.array(out[4], pa.string())})
+
+    cut = rows.join(places.hint("merge"), "uid").select("source", "text", "places").mapInArrow(run, "shard bigint, slot bigint, at bigint, source string, part string")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])
+    return cut.groupBy("shard", "slot").agg(F.any_value("source").alias("source"), F.array_join(parts, " ").alias("text")).repartition("shard").sortWithinPartitions("shard", "slot")
 
 
 def cut_copies(text: str, copies: list[list[tuple[int, int]]]) -> list[str]:
@@ -235,26 +318,24 @@ def cut_copies(text: str, copies: list[list[tuple[int, int]]]) -> list[str]:
     return out
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix as documents with the columns of ``docs``: a row for each epoch that takes of a document.
 
-    ``text`` holds the words taken and ``n_chars``, if there is one, their length.
+    ``text`` holds the words taken and ``n_chars``, if there is one, their
+    length. Rows are dealt out and sorted by the first place of their words in
+    the mix, so each written file is a random mix of the sources. Nulls, ties
+    and repeated rows as in ``mix_documents``.
     """
-    columns, fields = docs.columns, docs.schema
-    row_id, wanted_copies = fresh(docs, "row_id", "wanted_copies")
+    columns, fields = docs.columns, StructType(docs.schema.fields[:])
+    row_id, wanted_copies, shard, slot = fresh(docs, "row_id", "wanted_copies", "shard", "slot")
     rows = materialise(docs.withColumn(row_id, F.monotonically_increasing_id()), "mix-rows")
-    keyed = rows.select(F.col(row_id).alias("uid"), F.col("doc_id").alias("id"), F.col("text").alias("t"), F.col("source").alias("o"))
-
-    def size(batch: pa.RecordBatch) -> dict:
-        return {"uid": batch.column("uid"), "doc_id": batch.column("id"), "source": batch.column("o"), "size": word_counts(batch.column("t"))}
-
-    id_type = fields["doc_id"].dataType.simpleString()
-    sizes = materialise(map_arrow(keyed, size, f"uid bigint, doc_id {id_type}, source string, size bigint"), "mix-sizes")
-    copies = plan_mix(sizes, weights, seed, block_words).copies().withColumnsRenamed({"uid": row_id, "copies": wanted_copies})
+    sizes = materialise(sized(rows.select(F.col("doc_id"), F.col("text"), F.col("source"), F.col(row_id)), keep=row_id), "mix-sizes")
+    copies = plan_mix(sizes, weights, seed, block_words, shard_slots).copies().withColumnsRenamed({"uid": row_id, "copies": wanted_copies})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            wanted = [[[(r["first"], r["words"]) for r in c["ranges"]] for c in x] for x in batch.column(wanted_copies).to_pylist()]
+            asked = batch.column(wanted_copies).to_pylist()
+            wanted = [[[(r["first"], r["words"]) for r in c["ranges"]] for c in x] for x in asked]
             made = [cut_copies(t, c) for t, c in zip(texts(batch.column("text")), wanted, strict=True)]
             out = batch.select(columns).take(pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in made])))
             flat = [x for y in made for x in y]
@@ -262,6 +343,11 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
             if "n_chars" in columns:
                 k = columns.index("n_chars")
                 out = out.set_column(k, "n_chars", pa.array([len(x) for x in flat]).cast(out.schema.field(k).type))
+            for name, part in ((shard, "shard"), (slot, "slot")):
+                out = out.append_column(name, pa.array([c["place"][part] for x in asked for c in x], pa.int64()))
             yield out
 
-    return rows.join(copies.hint("merge"), row_id).mapInArrow(cut, fields)
+    for name in (shard, slot):
+        fields = fields.add(name, "long")
+    mixed = rows.join(copies.hint("merge"), row_id).mapInArrow(cut, fields)
+    return mixed.repartition(shard).sortWithinPartitions(shard, slot).select(*columns)
