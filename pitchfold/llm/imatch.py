@@ -12,6 +12,7 @@ ones survive edits of long texts.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 from collections import Counter
@@ -21,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import mix64, texts
 
@@ -102,9 +105,11 @@ def likeness(a: str, b: str) -> float:
     """Share of equal hashes among the subsets where either text has a term, 0 to 1.
 
     Counts the subsets thin enough to hold about two terms of the larger text
-    at most; if they are all empty, the next denser rate, and so on. Texts
-    without any lexicon term are not alike.
+    at most; if they are all empty, the next denser rate, and so on. Equal
+    fingerprints have likeness 1, also those without any lexicon term.
     """
+    if a == b:
+        return 1.0
     most = max(int(a[:6], 16), int(b[:6], 16))
     same = either = 0
     for k in range(len(RATES) - 1, -1, -1):
@@ -125,31 +130,29 @@ def edited(text: str, following: str) -> str:
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """(bucket, extra, doc_id, text) in descending id order, cut into ranges of ids.
+    """(bucket, extra, doc_id, text) in descending id order, cut into ranges of ids, one a task.
 
     Each range also gets, as an extra row, the first document of the next range,
     so every task has the follower of each of its documents; the last range gets
-    the first of all. Only the ranges' ends and first ids reach the driver.
+    the first of all. Only the ranges' ends and first ids reach the driver, one
+    each for a shuffle partition.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.col("doc_id").cast("double").alias("x")).where("x IS NOT NULL")
-    bounds = sorted(set(ids.approxQuantile("x", [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    down = docs.withColumn("x", -F.col("doc_id").cast("double"))
+    bounds = sorted(set(down.select("x").where("x IS NOT NULL").approxQuantile("x", [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    ranges = Bucketizer(splits=[-math.inf, *(bounds or [0.0]), math.inf], inputCol="x", outputCol="bucket", handleInvalid="keep")  # null ids come last, as NaN
+    dealt = ranges.transform(down.withColumn("x", F.coalesce("x", F.lit(math.nan)))).withColumn("bucket", F.col("bucket").cast("int")).drop("x")
 
-    @F.pandas_udf("int")
-    def bucket(x):
-        place = len(bounds) - np.searchsorted(np.array(bounds), x.astype("float64").to_numpy(), side="right")
-        return type(x)(np.where(x.isna(), len(bounds) + 1, place).astype("int32"))  # null ids come last
-
-    heads = sorted((r["bucket"], r["head"]) for r in docs.select(bucket("doc_id").alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
+    heads = sorted((r["bucket"], r["head"]) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
     before = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]  # the first range's head follows the last range
     also = spark.createDataFrame(before, f"head {docs.schema['doc_id'].dataType.simpleString()}, also int")
-    rows = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(also), F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    rows = dealt.join(F.broadcast(also), F.col("doc_id").eqNullSafe(F.col("head")), "left")  # a row for each range
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("extra"))
     extra = F.struct(F.col("also").alias("bucket"), F.lit(True).alias("extra"))
     places = F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, extra))
     rows = rows.select(F.explode(places).alias("at"), "doc_id", "text").select("at.bucket", "at.extra", "doc_id", "text")
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text")
+    return rows.repartitionByRange(n + 1, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text")
 
 
 #: Of this Python worker, by the name of the lexicon; one at a time.
@@ -166,10 +169,14 @@ def _fingerprinter(name: str, sent: Broadcast, seed: int) -> Fingerprinter:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """One row per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null text counts as empty. Rows with one id stand next to each other, by
-    text; null ids come last. A single document follows itself. Texts without a
-    lexicon term have an empty fingerprint, which is like no other.
+    Null text counts as empty. Ids are numbers, by which documents are ordered;
+    others are refused. Rows with one id stand next to each other, by text; null
+    ids come last. A single document follows itself. Texts without a lexicon term
+    have an empty fingerprint, which is like itself only. Texts may be of any
+    length; an empty table gives an empty result and other columns are ignored.
     """
+    if not isinstance(docs.schema[id_col].dataType, NumericType):
+        raise TypeError(f"{id_col}: documents are ordered by a numeric id, not {docs.schema[id_col].dataType.simpleString()}")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     name = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(rows))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pitchfold.llm import exact_dedup, imatch, jaccard_join, queries
@@ -183,6 +184,66 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{k: 0 for k in range(n)}, 1000: 1000, 1001: 1000}
 
 
+class Plain:
+    """Fingerprints and likeness by their definition, a term and a subset at a time."""
+
+    def __init__(self, lexicon: list[str]):
+        self.lexicon = set(lexicon)
+
+    @staticmethod
+    def mix(x: int) -> int:
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    def fingerprint(self, text: str) -> str:
+        own = sorted({t for t in re.findall(r"\w+", text.lower())} & self.lexicon)
+        out = f"{len(own):06x}"
+        for k, rate in enumerate((2, 8, 32, 128, 512, 2048)):
+            for j in range(10 * k + 1, 10 * k + 11):
+                codes = [xxhash.xxh64_intdigest(t, 0) for t in own]
+                inside = [c for c in codes if self.mix((c + j * 0x9E3779B97F4A7C15) % 2**64) % rate == 0]
+                out += xxhash.xxh32_hexdigest(b"".join(c.to_bytes(8, "little") for c in inside)) if inside else "--------"
+        return out
+
+    @staticmethod
+    def likeness(a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        most = max(int(a[:6], 16), int(b[:6], 16))
+        pairs = [[(a[6 + 80 * k + 8 * j :][:8], b[6 + 80 * k + 8 * j :][:8]) for j in range(10)] for k in range(6)]
+        filled = [[p for p in x if p != ("--------", "--------")] for x in pairs]
+        counted: list = []
+        for rate, x in zip((2048, 512, 128, 32, 8, 2), filled[::-1]):
+            if rate * 2 < most and counted:
+                break
+            counted += x
+        return sum(x == y for x, y in counted) / len(counted) if counted else 0.0
+
+
+def test_equal_fingerprints_are_alike():
+    printer = imatch.Fingerprinter(["alpha", "beta"])
+    none = printer.fingerprint("nothing of these")
+    assert imatch.likeness(none, none) == 1.0 and imatch.likeness(none, printer.fingerprint("alpha")) == 0.0
+
+
+def test_ids_must_be_numbers(spark):
+    with pytest.raises(TypeError):
+        imatch.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_ranges_hold_all_and_stand_alone(spark):
+    """Very uneven ids, repeated and null ones: each row once, in order, each range in a task of its own."""
+    ids = [*range(50), *range(10**15, 10**15 + 50), -5, -5, None, None]
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id bigint, text string").repartition(3)
+    got = imatch._in_order(docs).withColumn("task", F.spark_partition_id()).collect()
+    own = [r for r in got if not r["extra"]]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in own) == sorted((i is None, i or 0) for i in ids)
+    order = sorted(own, key=lambda r: r["bucket"])
+    assert [r["doc_id"] for r in order if r["doc_id"] is not None] == sorted((i for i in ids if i is not None), reverse=True)
+    assert all(len({r["bucket"] for r in got if r["task"] == t}) == 1 for t in {r["task"] for r in got})
+
+
 def test_fingerprints_of_every_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: r for r in imatch.fingerprints(docs.repartition(6)).collect()}
@@ -190,7 +251,7 @@ def test_fingerprints_of_every_document(spark):
     df = Counter(t for _, text in rows for t in set(re.findall(r"\w+", text.lower())))
     band = sorted(t for t, n in df.items() if max(2, imatch.MIN_SHARE * len(rows)) <= n <= imatch.MAX_SHARE * len(rows))
     assert imatch.lexicon(docs) == band
-    printer = imatch.Fingerprinter(band)
+    printer = Plain(band)
     by_text: dict[str, str] = {}
     for k, (d, text) in enumerate(rows):
         following = rows[(k + 1) % len(rows)][1]
@@ -199,8 +260,8 @@ def test_fingerprints_of_every_document(spark):
         r = got[d]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert r["fingerprint"] == printer.fingerprint(text) and r["edited_fingerprint"] == printer.fingerprint(changed)
-        assert r["near_edited"] == imatch.likeness(r["fingerprint"], r["edited_fingerprint"])
-        assert r["near_next"] == imatch.likeness(r["fingerprint"], printer.fingerprint(following))
+        assert r["near_edited"] == printer.likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == printer.likeness(r["fingerprint"], printer.fingerprint(following))
         assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
     assert len(got) == len(rows)
 
