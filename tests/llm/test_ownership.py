@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+from collections import defaultdict
+
 from pitchfold.llm import secret_scan
 
+from .helpers import SF
+
 OWN, WIDE, TWO = "Zq8Rt2Lm5Xc9Vb3Nk7Pw1Ys4Hd6", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8Ii9", "q8rt2lm5xc9vb3nk7pw1ys4hd6j0"
 
 
@@ -23,3 +29,29 @@ def test_copies_of_one_owner_stay_live(spark):
 def test_long_names_are_not_generic():
     for text in ("articles/2021/the-long-title-of-a-blog-post", "internationalisation-of-everything", "INTERNATIONALISATION/OF/everything"):
         assert not secret_scan.candidates(text)
+
+
+def test_ownership_of_a_whole_table_by_plain_counts(spark):
+    """Owners, repositories and class of every span of sf0.01, counted again without Spark."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rows = docs.select("doc_id", "text", "source").collect()
+    owners, repos, found = defaultdict(set), defaultdict(set), {}
+    for d, text, source in rows:
+        text = text or ""
+        found[d] = [(c["start"], c["kind"], c["end"], text[c["start"] : c["end"]] if c["kind"] else secret_scan.ASSIGN.match(text[c["start"] : c["end"]])[2]) for c in secret_scan.candidates(text)]
+        for *_, value in found[d]:
+            owners[value].add(source)
+            repos[value].add(hashlib.md5(text.encode()).hexdigest())
+    assert sum(map(len, found.values())) > 20
+    for r in secret_scan.secret_scan(docs).collect():
+        got = [tuple(x) for x in r["found"]]
+        assert got == sorted((s, k, e, len(owners[v]), len(repos[v]), len(owners[v]) <= 2) for s, k, e, v in found[r["doc_id"]])
+
+
+def test_many_tokens_and_spans_in_one_text():
+    """Overlaps with base spans are found in n log n steps; before, a text of this size took minutes."""
+    text = "token: abcdef123456 Zq8Rt2Lm5Xc9Vb3Nk7Pw1Ys4Hd6 token=Zq8Rt2Lm5Xc9Vb3Nk7Pw1Ys4Hd6 " * 20_000
+    began = time.process_time()
+    found = secret_scan.candidates(text)
+    assert time.process_time() - began < 20
+    assert sum(c["kind"] == 0 for c in found) == 40_000 and sum(c["kind"] == 3 for c in found) == 20_000
