@@ -35,7 +35,3 @@ class Tracking:
         """Sightings between two looks at a static-object window."""
         return self.window - self.window_kept
 
-
-#: Association parameters that a tracker in front of this engine is expected to run with: (threshold, match, buffer, fps).
-PLAYER_TRACKER = (0.15, 0.9, 150, 24)
-BALL_TRACKER = (0.1, 0.8, 30, 24)

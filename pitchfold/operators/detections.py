@@ -16,6 +16,7 @@ def source_filter(detections: DataFrame, config: Tracking = Tracking()) -> DataF
 
 
 def from_start(detections: DataFrame, first_frame: int) -> DataFrame:
+    """Detections from a frame on; over a stored table the scan gets the filter and skips row groups."""
     return detections.where(F.col("frame") >= first_frame)
 
 

@@ -129,11 +129,6 @@ _IN = ("match_id", "frame", "ord", "tid", "x1", "y1", "x2", "y2")
 _OUT = ("cx", "cy", "occluded", "id", "outcome", "status", "free", "static")
 
 
-def fold_rows(fold: Fold, rows: Iterator[tuple]) -> Iterator[tuple]:
-    for _, frame, _, tid, *corners in rows:
-        yield *fold.step(frame, tid, *corners), fold.free, fold.static
-
-
 def resolve(tracks: DataFrame, config: Tracking = Tracking()) -> DataFrame:
     """The resolved log: every track with its center, id, outcome, status, and the counts of free and static ids after it."""
 
@@ -141,10 +136,10 @@ def resolve(tracks: DataFrame, config: Tracking = Tracking()) -> DataFrame:
         match, fold = None, Fold(config)
         for part in frames:
             out = []
-            for row in part[list(_IN)].itertuples(index=False, name=None):
-                if row[0] != match:
-                    match, fold = row[0], Fold(config)
-                out += fold_rows(fold, iter([row]))
+            for own, frame, _, tid, *corners in part[list(_IN)].itertuples(index=False, name=None):
+                if own != match:
+                    match, fold = own, Fold(config)
+                out.append((*fold.step(frame, tid, *corners), fold.free, fold.static))
             done = pd.DataFrame(out, columns=list(_OUT), index=part.index)
             done["id"] = done["id"].astype("Int32")
             yield pd.concat([part[list(_IN)], done], axis=1)

@@ -39,15 +39,20 @@ def nearest_absent_track(tracks: DataFrame, config: Tracking = Tracking()) -> Da
 
     (match_id, frame, tid, near_tid, d2); near_tid is null if none is in reach.
     A track's last position is the one strictly before the frame. Only starts of
-    tracks and positions with a long enough gap (or the end) behind them meet.
+    tracks and positions with a long enough gap (or the end) behind them meet,
+    and only in cells as wide as the reach that are the same or side by side.
     """
     rows = with_centers(tracks)
     by_tid = Window.partitionBy("match_id", "tid").orderBy("frame")
     rows = rows.withColumns({"before": F.lag("frame").over(by_tid), "after": F.lead("frame").over(by_tid)})
-    starts = rows.where("before IS NULL").select("match_id", "frame", "tid", "cx", "cy").alias("s")
-    gaps = rows.where(F.col("after").isNull() | (F.col("after") - F.col("frame") >= config.min_absence)).alias("g")
+    cell = lambda c: F.floor(F.col(c) / config.max_distance)
+    around = lambda c: F.explode(F.array(*[cell(c) + k for k in (-1, 0, 1)]))
+    starts = rows.where("before IS NULL").select("match_id", "frame", "tid", "cx", "cy")
+    near_cells = starts.select("*", around("cx").alias("u")).select("*", around("cy").alias("v")).alias("s")
+    gaps = rows.where(F.col("after").isNull() | (F.col("after") - F.col("frame") >= config.min_absence)).select("*", cell("cx").alias("u"), cell("cy").alias("v")).alias("g")
     away = (F.col("s.frame") - F.col("g.frame") >= config.min_absence) & (F.col("g.after").isNull() | (F.col("g.after") >= F.col("s.frame")))
     d2 = squared_distance(F.col("s.cx"), F.col("s.cy"), F.col("g.cx"), F.col("g.cy"))
-    near = (F.col("s.match_id") == F.col("g.match_id")) & (F.col("s.tid") != F.col("g.tid")) & away & (d2 <= config.max_distance**2)
+    same_cell = (F.col("s.match_id") == F.col("g.match_id")) & (F.col("s.u") == F.col("g.u")) & (F.col("s.v") == F.col("g.v"))
+    near = same_cell & (F.col("s.tid") != F.col("g.tid")) & away & (d2 <= config.max_distance**2)
     best = F.min(F.when(F.col("g.tid").isNotNull(), F.struct(d2.alias("d2"), F.col("g.tid").alias("tid"))))
-    return starts.join(gaps, near, "left").groupBy("s.match_id", "s.frame", "s.tid").agg(best.alias("b")).select("match_id", "frame", "tid", F.col("b.tid").alias("near_tid"), F.col("b.d2").alias("d2"))
+    return near_cells.join(gaps, near, "left").groupBy("s.match_id", "s.frame", "s.tid").agg(best.alias("b")).select("match_id", "frame", "tid", F.col("b.tid").alias("near_tid"), F.col("b.d2").alias("d2"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .identity import EXPORTED, OCCLUDED
+from .. import schemas
+from ..config import Tracking
+from .identity import EXPORTED, OCCLUDED, observations
 
 #: Colour of each id, three channels.
 PALETTE = {
@@ -24,6 +28,7 @@ PALETTE = {
     13: (238, 179, 248),
 }
 RAW_COLOUR, BALL_COLOUR, DIMMED = (0, 220, 0), (0, 255, 255), 80
+HUD_PLACE, HUD_COLOUR = (10, 35), (0, 255, 0)
 
 
 def palette(spark: SparkSession) -> DataFrame:
@@ -75,10 +80,47 @@ def write_csv(rows: DataFrame, path: str, order: list[str], one_file: bool = Fal
     return True
 
 
-def write_players(log: DataFrame, observed: DataFrame, path: str, one_file: bool = False) -> bool:
-    """Players' positions; a header alone if static removal leaves none, no file if there was never a row."""
+def write_players(log: DataFrame, path: str, one_file: bool = False, emit_occluded: bool = False) -> bool:
+    """Players' positions; a header alone if static removal leaves none, no file if there was never a row.
+
+    The log is stored first, in ``path`` with ``-log`` at its end, and everything
+    is made from there, so the fold runs once.
+    """
+    log.write.mode("overwrite").parquet(f"{path}-log")
+    log = log.sparkSession.read.schema(log.schema).parquet(f"{path}-log")
     if log.where(F.col("status") == EXPORTED).isEmpty():
         return False
+    observed = observations(log, emit_occluded)
     if not write_csv(observed, path, ["match_id", "frame", "id"], one_file):
         observed.limit(0).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return True
+
+
+def write_ball(balls: DataFrame, path: str, one_file: bool = False) -> bool:
+    """The ball's position in each frame that has one: (match_id, frame, x, y). Without any, a warning and no file."""
+    if write_csv(balls.select(*schemas.BALL_OBSERVATIONS), path, ["match_id", "frame"], one_file):
+        return True
+    warnings.warn("the ball was not detected in any frame: no file is written", stacklevel=2)
+    return False
+
+
+def _yes(flag: Column) -> Column:
+    return F.when(flag, F.lit("SI")).otherwise("NO")
+
+
+def hud(metrics: DataFrame, config: Tracking = Tracking()) -> DataFrame:
+    """(match_id, frame, x, y, label, colour): the line of figures on each frame of ``metrics.frame_metrics``."""
+    minute = F.format_string("%.1f", F.bround("minute", 1))
+    label = F.concat(
+        F.lit("Min:"), minute, F.lit(" | Dets:"), F.concat_ws("/", F.col("n_dets").cast("string"), F.col("n_dets_raw").cast("string")), F.lit(" | IDs:"), F.col("ids_assigned").cast("string"), F.lit(f"/{config.players} | Activos:"), F.col("n_active").cast("string"), F.lit(" | Pelota:"), _yes(F.col("ball_detected"))
+    )
+    return metrics.select("match_id", "frame", F.lit(HUD_PLACE[0]).alias("x"), F.lit(HUD_PLACE[1]).alias("y"), label.alias("label"), F.lit(",".join(map(str, HUD_COLOUR))).alias("colour"))
+
+
+def progress_lines(progress: DataFrame, config: Tracking = Tracking()) -> DataFrame:
+    """(match_id, frame, line): what the console says at each frame of ``metrics.progress``."""
+    minute = F.format_string("%.1f", F.bround("minute", 1))
+    line = F.concat(
+        F.lit("  Min "), minute, F.lit(" | IDs:"), F.col("ids_assigned").cast("string"), F.lit(f"/{config.players} | Activos:"), F.col("n_active").cast("string"), F.lit(" | Estáticos:"), F.col("n_static").cast("string"), F.lit(" | Pelota:"), _yes(F.col("ball_detected"))
+    )
+    return progress.select("match_id", "frame", line.alias("line"))

@@ -161,6 +161,8 @@ ORACLES = {
         UNION ALL SELECT match_id, frame, 'ball', x1, y1, x2, y2, 'PELOTA', '0,255,255' FROM bb
         UNION ALL SELECT match_id, frame, 'player', x1, y1, x2, y2, 'ID:' || id, c1 || ',' || c2 || ',' || c3 FROM log JOIN ({PALETTE_SQL}) USING (id) WHERE status = 'exported'
         UNION ALL SELECT match_id, frame, 'occluded', x1, y1, x2, y2, 'ID:' || id || '~', d1 || ',' || d2 || ',' || d3 FROM log JOIN ({PALETTE_SQL}) USING (id) WHERE status = 'occluded'""", FOLD),
+    "hud": _sql("SELECT match_id, frame, 10 AS x, 35 AS y, printf('Min:%.1f | Dets:%d/%d | IDs:%d/13 | Activos:%d | Pelota:%s', minute, n_dets, n_dets_raw, ids_assigned, n_active, CASE WHEN ball_detected THEN 'SI' ELSE 'NO' END) AS label, '0,255,0' AS colour FROM fm", FOLD, COUNTS, METRICS),
+    "progress_lines": _sql("SELECT match_id, frame, printf('  Min %.1f | IDs:%d/13 | Activos:%d | Estáticos:%d | Pelota:%s', minute, ids_assigned, n_active, n_static, CASE WHEN ball_detected THEN 'SI' ELSE 'NO' END) AS line FROM (SELECT *, frame - min(frame) OVER (PARTITION BY match_id) AS elapsed FROM fm) WHERE elapsed > 0 AND elapsed % 150 = 0", FOLD, COUNTS, METRICS),
     "palette_colors": PALETTE_SQL,
     "ext_heatmap": _sql("SELECT match_id, id, CAST(floor(x / 40) AS BIGINT) AS cell_x, CAST(floor(y / 40) AS BIGINT) AS cell_y, count(*) AS n FROM obs GROUP BY ALL", FOLD),
     "ext_distance_speed": _sql("""

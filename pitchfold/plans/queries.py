@@ -42,7 +42,7 @@ def det_source_filter(spark, sf_dir):
 
 def start_frame_prune(spark, sf_dir):
     first = int(LATER.start_minute * 60 * LATER.fps)
-    return detections.from_start(_source(spark, sf_dir), first)
+    return detections.from_start(tables.detections(spark, sf_dir, first), first)
 
 
 def video_meta_derived(spark, sf_dir):
@@ -142,6 +142,14 @@ def annotations(spark, sf_dir):
     return report.annotations(detections.valid_players(_source(spark, sf_dir)), ball.best_ball(_balls(spark, sf_dir)), _log(spark, sf_dir))
 
 
+def hud(spark, sf_dir):
+    return report.hud(frame_metrics(spark, sf_dir))
+
+
+def progress_lines(spark, sf_dir):
+    return report.progress_lines(progress_every_150(spark, sf_dir))
+
+
 def palette_colors(spark, sf_dir):
     return report.palette(spark)
 
@@ -187,6 +195,8 @@ QUERIES = {
         frame_metrics,
         progress_every_150,
         annotations,
+        hud,
+        progress_lines,
         palette_colors,
         ext_heatmap,
         ext_distance_speed,

@@ -19,9 +19,13 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def synthetic_detections(events: DataFrame) -> DataFrame:
-    """A deterministic video: boxes, classes and tracker ids out of (event_id, user_id, event_type, props)."""
+    """A deterministic video: boxes, classes and tracker ids out of (event_id, user_id, event_type, props).
+
+    The number in ``props`` is parsed once a row: as the output of a generator,
+    the optimizer can't copy the expression into each filter and column above.
+    """
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    e = events.select("event_id", (F.col("user_id") % 16).alias("slot"), "event_type", k.alias("k"))
+    e = events.select("event_id", (F.col("user_id") % 16).alias("slot"), "event_type", F.explode(F.array(k)).alias("k"))
     slot, k, n = F.col("slot"), F.col("k"), F.col("event_id")
     still = slot % 5 == 0
     epoch = F.floor((n + slot * 90) / 1440)
@@ -40,8 +44,18 @@ def synthetic_detections(events: DataFrame) -> DataFrame:
     return e.select("match_id", "frame", "ord", "tid", "cls", "conf", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"))
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic_detections(read_table(spark, f"{sf_dir}/events.parquet"))
+def detections(spark: SparkSession, sf_dir: str, first_frame: int | None = None) -> DataFrame:
+    """The synthetic video, from a frame on if given: the scan then skips what lies before."""
+    events = read_table(spark, f"{sf_dir}/events.parquet")
+    if first_frame is not None:
+        events = events.where(F.col("event_id") >= (first_frame - FIRST_FRAME) * EVENTS_PER_FRAME)
+    return synthetic_detections(events)
+
+
+def store_detections(rows: DataFrame, path: str) -> DataFrame:
+    """Write detections so that frame ranges can be skipped: each match in order of its frames. Returns the stored table."""
+    rows.repartition("match_id").sortWithinPartitions("match_id", "frame", "ord").write.mode("overwrite").parquet(path)
+    return read_table(rows.sparkSession, path)
 
 
 def finite(rows: DataFrame) -> DataFrame:

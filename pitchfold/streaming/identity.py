@@ -5,7 +5,9 @@ closed. A micro-batch may bring tracks in any order, so a frame is folded only
 once it is closed: a frame more than ``lag`` later has come. Tracks of frames
 that are folded already are late; they come out with the status ``late``, so
 they can be counted. A row with tracker id 0 is no track, but tells that its
-frame has come; a match's source sends one after the last frame to close it.
+frame has come; a source may send one after a match's last frame to close it.
+Without one, a match that brought no rows for ``idle_ms`` is flushed: its open
+frames are folded, and its state goes. Rows that come later begin it anew.
 
 Rows come out with the verdicts of their time. A static object is told by its
 ``tombstoned`` row; its earlier rows go when the written log is compacted with
@@ -45,23 +47,41 @@ def load(config: Tracking, tid: list, x: list, y: list, frame: list, dead: list,
     return fold
 
 
+def _folded(match: int, fold: Fold, rows: list[tuple]) -> list[tuple]:
+    return [(match, *row, *fold.step(row[0], *row[2:]), fold.free, fold.static) for row in rows]
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    done = pd.DataFrame(out, columns=_OUT)
+    done["id"] = done["id"].astype("Int32")
+    return done
+
+
 class IdentityProcessor(StatefulProcessor):
-    def __init__(self, config: Tracking = Tracking(), lag: int = 0):
-        self.config, self.lag = config, lag
+    def __init__(self, config: Tracking = Tracking(), lag: int = 0, idle_ms: int | None = None):
+        self.config, self.lag, self.idle_ms = config, lag, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("fold", STATE)
         self.pending = handle.getListState("pending", PENDING)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        match = int(key[0])
+    def _held(self) -> tuple[int, int, Fold]:
         if self.state.exists():
             newest, folded, *slots = self.state.get()
-            fold = load(self.config, *slots)
-        else:
-            newest, folded, fold = -1, -1, Fold(self.config)
-        held = [tuple(map(int, r)) for r in self.pending.get()]
-        out = []
+            return newest, folded, load(self.config, *slots)
+        return -1, -1, Fold(self.config)
+
+    def _wait(self, timers) -> None:
+        """One timer a match, ``idle_ms`` from now."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at if isinstance(at, int) else at[0])
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        match = int(key[0])
+        newest, folded, fold = self._held()
+        out, new = [], []
         for part in rows:
             for row in part[_TRACK].itertuples(index=False, name=None):
                 row = tuple(map(int, row))
@@ -71,19 +91,29 @@ class IdentityProcessor(StatefulProcessor):
                 if row[0] <= folded:
                     out.append((match, *row, (row[3] + row[5]) // 2, (row[4] + row[6]) // 2, False, None, LATE, LATE, fold.free, fold.static))
                 else:
-                    held.append(row)
+                    new.append(row)
         closed = newest - self.lag - 1
-        for row in sorted(r for r in held if r[0] <= closed):
-            out.append((match, *row, *fold.step(row[0], *row[2:]), fold.free, fold.static))
-        held = [r for r in held if r[0] > closed]
+        if closed > folded:  # else no frame closes, and what waits is left alone
+            held = [*(tuple(map(int, r)) for r in self.pending.get()), *new]
+            out += _folded(match, fold, sorted(r for r in held if r[0] <= closed))
+            if held := [r for r in held if r[0] > closed]:
+                self.pending.put(held)
+            else:
+                self.pending.clear()
+        elif new:
+            self.pending.appendList(new)
         self.state.update((newest, max(folded, closed), *dump(fold)))
-        if held:
-            self.pending.put(held)
-        else:
-            self.pending.clear()
-        done = pd.DataFrame(out, columns=_OUT)
-        done["id"] = done["id"].astype("Int32")
-        yield done
+        if self.idle_ms is not None:
+            self._wait(timerValues)
+        yield _frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Fold what is left of a match that went silent, and forget it."""
+        _, _, fold = self._held()
+        out = _folded(int(key[0]), fold, sorted(tuple(map(int, r)) for r in self.pending.get()))
+        self.pending.clear()
+        self.state.clear()
+        yield _frame(out)
 
     def close(self) -> None:
         pass
@@ -94,10 +124,13 @@ def read_tracks(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(schemas.TRACKS_PLAYER).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def resolve_stream(tracks: DataFrame, config: Tracking = Tracking(), lag: int = 0) -> DataFrame:
+def resolve_stream(tracks: DataFrame, config: Tracking = Tracking(), lag: int = 0, idle_ms: int | None = None) -> DataFrame:
     """The resolved log of ``operators.identity.resolve`` over a stream, in append mode.
 
     Needs the RocksDB state store. Frames of one match share a state, matches
-    are independent, so it scales with the number of matches.
+    are independent, so it scales with the number of matches. With ``idle_ms``,
+    matches that went silent are flushed and leave the state store; without, a
+    row of tracker id 0 closes a match's last frames and its state stays.
     """
-    return tracks.groupBy("match_id").transformWithStateInPandas(IdentityProcessor(config, lag), outputStructType=schemas.RESOLVED, outputMode="append", timeMode="none")
+    mode = "none" if idle_ms is None else "processingTime"
+    return tracks.groupBy("match_id").transformWithStateInPandas(IdentityProcessor(config, lag, idle_ms), outputStructType=schemas.RESOLVED, outputMode="append", timeMode=mode)

@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pitchfold.config import Tracking
-from pitchfold.operators import identity, report, static
+from pitchfold.operators import ball, detections, identity, overlap, report, static
 from pitchfold.operators.identity import EXPORTED, HIDDEN, OCCLUDED, TOMBSTONED, Fold, Slot
+from pitchfold.sources import tables
 
 TRACKS = "match_id bigint, frame bigint, ord bigint, tid bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
 
@@ -152,18 +153,56 @@ def test_observations(log):
 def test_csv(spark, log, tmp_path):
     _, resolved = log
     observed = identity.observations(resolved)
-    assert report.write_players(resolved, observed, f"file://{tmp_path}/p", one_file=True)
+    assert report.write_players(resolved, f"file://{tmp_path}/p", one_file=True)
     back = spark.read.option("header", True).csv(f"file://{tmp_path}/p")
     assert back.columns == ["match_id", "frame", "id", "x", "y", "x1", "y1", "x2", "y2", "en_oclusion"]
     assert back.count() == observed.count() and {r[0] for r in back.select("en_oclusion").distinct().collect()} == {"False"}
-    assert report.write_players(resolved, observed.limit(0), f"file://{tmp_path}/h", one_file=True)
+    gone = resolved.where("status = 'exported'").limit(1).unionByName(resolved.where("status = 'exported'").limit(1).selectExpr(*[c if c != "status" else "'tombstoned' AS status" for c in resolved.columns]))
+    assert report.write_players(gone, f"file://{tmp_path}/h", one_file=True)
     header = next((tmp_path / "h").glob("part-*")).read_text()
     assert header.strip() == "match_id,frame,id,x,y,x1,y1,x2,y2,en_oclusion"
-    assert not report.write_players(resolved.limit(0), observed, f"file://{tmp_path}/n")
+    assert not report.write_players(resolved.limit(0), f"file://{tmp_path}/n")
     assert not report.write_csv(observed.limit(0), f"file://{tmp_path}/b", ["frame"])
     assert not (tmp_path / "n").exists() and not (tmp_path / "b").exists()
 
 
+def test_ball_csv(spark, tmp_path):
+    balls = ball.best_ball(spark.createDataFrame([(0, 5, 1, 0.5, 0.0, 0.0, 10.9, 10.0, 32), (0, 5, 2, 0.9, 4.0, 4.0, 9.0, 8.0, 32)], "match_id bigint, frame bigint, ord bigint, conf double, x1 double, y1 double, x2 double, y2 double, cls int"))
+    assert report.write_ball(balls, f"file://{tmp_path}/ball", one_file=True)
+    assert next((tmp_path / "ball").glob("part-*")).read_text().split() == ["match_id,frame,x,y", "0,5,6,6"]
+    with pytest.warns(UserWarning, match="not detected"):
+        assert not report.write_ball(balls.limit(0), f"file://{tmp_path}/none")
+    assert not (tmp_path / "none").exists()
+
+
+def test_lines_round_as_the_reference_does(spark):
+    """One decimal, halves to even: 18.75 and 31.25 are exact."""
+    rows = [(0, 1, 5, 4, 3, 2, 1, True, 18.75), (0, 2, 0, 0, 13, 0, 0, False, 31.25), (0, 3, 1, 1, 0, 0, 2, False, 20.04)]
+    metrics = spark.createDataFrame(rows, "match_id bigint, frame bigint, n_dets_raw bigint, n_dets bigint, ids_assigned bigint, n_active bigint, n_static bigint, ball_detected boolean, minute double")
+    labels = {r["frame"]: r["label"] for r in report.hud(metrics).collect()}
+    assert labels == {r[1]: f"Min:{r[8]:.1f} | Dets:{r[3]}/{r[2]} | IDs:{r[4]}/13 | Activos:{r[5]} | Pelota:{'SI' if r[7] else 'NO'}" for r in rows}
+    lines = {r["frame"]: r["line"] for r in report.progress_lines(metrics).collect()}
+    assert lines == {r[1]: f"  Min {r[8]:.1f} | IDs:{r[4]}/13 | Activos:{r[5]} | Estáticos:{r[6]} | Pelota:{'SI' if r[7] else 'NO'}" for r in rows}
+
+
+def test_stored_detections_are_skipped_by_frame(spark, tmp_path, capsys):
+    rows = tables.detections(spark, "/root/testdata/sf0.01")
+    stored = tables.store_detections(rows, f"file://{tmp_path}/detections")
+    assert sorted(stored.collect()) == sorted(rows.collect())
+    later = detections.from_start(stored, 29_130)
+    later.explain()
+    assert "PushedFilters: [IsNotNull(frame), GreaterThanOrEqual(frame,29130)]" in capsys.readouterr().out
+    pruned = detections.from_start(tables.detections(spark, "/root/testdata/sf0.01", 29_130), 29_130)
+    pruned.explain()
+    assert "GreaterThanOrEqual(event_id,4308)" in capsys.readouterr().out
+    assert sorted(later.collect()) == sorted(pruned.collect()) and later.count() == 5692
+
+
+def test_props_are_parsed_once_a_row(spark, capsys):
+    detections.valid_players(tables.detections(spark, "/root/testdata/sf0.01")).explain()
+    assert capsys.readouterr().out.count("regexp_extract") == 1
+
+
 def test_empty_tracks(spark):
     assert identity.resolve(spark.createDataFrame([], TRACKS)).count() == 0
 
@@ -172,3 +211,30 @@ def test_a_smaller_pool():
     fold = Fold(Tracking(players=1))
     assert fold.step(0, 1, *_at(0, 0))[3] == 1
     assert fold.step(0, 2, *_at(500, 0))[3:] == (None, "unresolved", "dropped")
+
+
+def test_nearest_absent_track_across_cells(spark):
+    """Against all pairs, with positions on and around the borders of cells and below zero."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        x, y, begin = rng.choice([-201, -200, -1, 0, 199, 200, 201, 400, rng.randrange(-500, 900)]), rng.choice([0, 200, 399, rng.randrange(-300, 700)]), rng.randrange(60)
+        rows += [(k % 2, begin + 3 * j, 10 * k + j, k + 1, x - 5, y - 5, x + 5, y + 5) for j in range(rng.randrange(1, 6))]
+    got = {(r["match_id"], r["tid"]): (r["frame"], r["near_tid"], r["d2"]) for r in overlap.nearest_absent_track(spark.createDataFrame(rows, TRACKS)).collect()}
+    by: dict = {}
+    for m, f, _, t, a, b, c, d in rows:
+        by.setdefault((m, t), []).append((f, (a + c) // 2, (b + d) // 2))
+    assert got.keys() == by.keys()
+    for (m, t), seen in by.items():
+        frame, x, y = min(seen)
+        near = []
+        for (m2, t2), other in by.items():
+            before = [o for o in other if o[0] < frame]
+            if m2 == m and t2 != t and before:
+                f, a, b = max(before)
+                d2 = (a - x) ** 2 + (b - y) ** 2
+                if frame - f >= 8 and d2 <= 40_000:
+                    near.append((d2, t2))
+        d2, who = min(near, default=(None, None))
+        assert got[m, t] == (frame, who, d2)
+    assert sum(v[1] is not None for v in got.values()) > 20

@@ -17,9 +17,9 @@ def _plain(rows):
     return sorted((tuple(None if v is None else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r) for r in rows), key=repr)
 
 
-def _oracle(sql: str, columns: list[str]):
+def _oracle(sql: str, columns: list[str], sf: str = SF):
     with duckdb.connect() as con:
-        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
         found = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})")
         return found.fetchall()
 
@@ -31,6 +31,17 @@ def test_matches_sql(spark, name):
     assert _plain(got.select(*columns).collect()) == _plain(_oracle(ORACLES[name], columns))
 
 
+@pytest.mark.parametrize("name", ["player_geometry_filter", "nearest_absent_track", "static_tracks", "visible_frames_per_id", "run_summary", "progress_lines"])
+def test_ten_matches_match_sql(spark, name):
+    """sf0.1 holds ten matches; the smaller tables hold one."""
+    sf = SF.replace("0.001", "0.1")
+    got = QUERIES[name](spark, sf)
+    columns = sorted(got.columns)
+    rows = got.select(*columns).collect()
+    assert len({r["match_id"] for r in rows}) == 10
+    assert _plain(rows) == _plain(_oracle(ORACLES[name], columns, sf))
+
+
 def test_every_query_of_the_reference_has_sql():
     assert set(QUERIES) == set(ORACLES)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pitchfold.operators import detections, identity
 from pitchfold.operators.identity import Fold
@@ -43,6 +44,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_a_silent_match_is_flushed(spark, tmp_path):
+    """Without a closing row: the last frames come out, and the state goes, once the match is idle."""
+    folder = f"file://{tmp_path}"
+    tracks = detections.player_tracks(tables.detections(spark, "/root/testdata/sf0.001"))
+    rows = [tuple(r) for r in tracks.select(*[c.split()[0] for c in TRACKS.split(", ")]).orderBy("frame", "ord").collect()][:200]
+    for part in (rows[:100], rows[100:]):
+        spark.createDataFrame(part, TRACKS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    query = resolve_stream(read_tracks(spark, f"{folder}/in", 1), lag=2, idle_ms=8000).writeStream.format("parquet").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(processingTime="200 milliseconds").start(f"{folder}/log")
+    expected = identity.resolve(spark.createDataFrame(rows, TRACKS))
+    try:
+        for _ in range(100):
+            time.sleep(1)
+            if list(tmp_path.glob("log/_spark_metadata/*")) and spark.read.schema(expected.schema).parquet(f"{folder}/log").count() == len(rows):
+                break
+    finally:
+        query.stop()
+    log = spark.read.parquet(f"{folder}/log").select(*expected.columns)
+    assert sorted(map(tuple, log.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+
+
 def test_state_round_trip():
     fold = Fold()
     for i in range(20):
