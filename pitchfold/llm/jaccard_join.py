@@ -170,24 +170,24 @@ def _floor(threshold: float) -> float:
 
 
 def _buckets(nodes: DataFrame, depth: int) -> DataFrame:
-    """(t, p, g, key, n, sig): members of the trie nodes of ``depth`` that g > 1 nodes stand below."""
+    """(t, p, g, node): members of the trie nodes of ``depth`` that g > 1 nodes stand below."""
     at = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.xxhash64(F.substring("labels", t * (DEPTH * VALUE) + 1, F.lit(depth * VALUE))).alias("p")))
-    rows = nodes.select("key", "n", "sig", F.explode(at).alias("at")).select("at.t", "at.p", "key", "n", "sig")
+    rows = nodes.select("node", F.explode(at).alias("at")).select("at.t", "at.p", "node")
     crowded = rows.groupBy("t", "p").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     return rows.join(crowded, ["t", "p"])
 
 
-def _stars(members: DataFrame, classes: DataFrame | None, threshold: float) -> DataFrame:
-    """(key, leader) of each bucket's members, and its most connected one, that are of different classes and may be linked."""
-    mass = members.groupBy("key").agg(F.sum("g").alias("mass"))
-    led = F.max_by(F.struct(F.col("key").alias("leader"), F.col("n").alias("leader_n"), F.col("sig").alias("leader_sig")), F.struct("mass", "key"))
-    leaders = members.join(mass, "key").groupBy("t", "p").agg(led.alias("l")).select("t", "p", "l.*")
-    pairs = members.join(leaders, ["t", "p"]).where((F.col("key") != F.col("leader")) & _may_link("n", "sig", "leader_n", "leader_sig", threshold)).select("key", "leader").distinct()
-    if classes is None:
-        return pairs
-    own, other = classes.select(F.col("id").alias("key"), F.col("label").alias("own")), classes.select(F.col("id").alias("leader"), F.col("label").alias("other"))
-    placed = pairs.join(own, "key", "left").join(other, "leader", "left")
-    return placed.where(F.coalesce("own", "key") != F.coalesce("other", "leader")).select("key", "leader")
+def _stars(members: DataFrame, nodes: DataFrame, classes: DataFrame | None, threshold: float) -> DataFrame:
+    """(node, leader) of each bucket's members, and its most connected one, that are of different classes and may be linked."""
+    mass = members.groupBy("node").agg(F.sum("g").alias("mass"))
+    leaders = members.join(mass, "node").groupBy("t", "p").agg(F.max(F.struct("mass", "node")).alias("l")).select("t", "p", F.col("l.node").alias("leader"))
+    pairs = members.join(leaders, ["t", "p"]).where("node <> leader").select("node", "leader").distinct()
+    if classes is not None:
+        own, other = classes.select(F.col("id").alias("node"), F.col("label").alias("own")), classes.select(F.col("id").alias("leader"), F.col("label").alias("other"))
+        pairs = pairs.join(own, "node", "left").join(other, "leader", "left").where(F.coalesce("own", "node") != F.coalesce("other", "leader"))
+    looks = nodes.select("node", "n", "sig")
+    pairs = pairs.select("node", "leader").join(looks, "node").join(looks.withColumnsRenamed({"node": "leader", "n": "leader_n", "sig": "leader_sig"}), "leader")
+    return pairs.where(_may_link("n", "sig", "leader_n", "leader_sig", threshold)).select("node", "leader")
 
 
 def _may_link(n: str, sig: str, other_n: str, other_sig: str, threshold: float) -> Column:
@@ -197,16 +197,16 @@ def _may_link(n: str, sig: str, other_n: str, other_sig: str, threshold: float)
 
 
 def _differences(members: DataFrame, node_texts: DataFrame, features: bool) -> DataFrame:
-    """Members (key, leader, ...) with n, leader_n, apart (shingles that only one of the two has), and these themselves if asked for.
+    """Members (node, leader, ...) with n, leader_n, apart (shingles that only one of the two has), and these themselves if asked for.
 
     A leader's text goes once to every SLICE of its members, not to each of them.
     """
-    more = [c for c in members.columns if c not in ("key", "leader")]
+    more = [c for c in members.columns if c not in ("node", "leader")]
     slices_of = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    dealt = members.join(slices_of, "leader").select("leader", F.pmod(F.xxhash64("key"), "slices").cast("int").alias("slice"), F.lit(1).alias("place"), "key", *more).join(node_texts, "key")
-    first = slices_of.select("leader", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).join(node_texts.withColumnRenamed("key", "leader"), "leader")
-    first = first.select("leader", "slice", F.lit(0).alias("place"), F.col("leader").alias("key"), *[F.lit(None).cast(members.schema[c].dataType).alias(c) for c in more], "text")
-    rows = dealt.select("leader", "slice", "place", "key", *more, "text").unionByName(first).repartition("leader", "slice").sortWithinPartitions("leader", "slice", "place")
+    dealt = members.join(slices_of, "leader").select("leader", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), F.lit(1).alias("place"), "node", *more).join(node_texts, "node")
+    first = slices_of.select("leader", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).join(node_texts.withColumnRenamed("node", "leader"), "leader")
+    first = first.select("leader", "slice", F.lit(0).alias("place"), F.col("leader").alias("node"), *[F.lit(None).cast(members.schema[c].dataType).alias(c) for c in more], "text")
+    rows = dealt.select("leader", "slice", "place", "node", *more, "text").unionByName(first).repartition("leader", "slice").sortWithinPartitions("leader", "slice", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         led = np.empty(0, _U)
@@ -224,27 +224,27 @@ def _differences(members: DataFrame, node_texts: DataFrame, features: bool) -> D
                 apart.append(len(only))
                 xor.append(only.tobytes() if features else None)
             part = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in ("key", "leader", *more)}, "n": pa.array(n, pa.int32()), "leader_n": pa.array(leader_n, pa.int32()), "apart": pa.array(apart, pa.int32()), "features": pa.array(xor, pa.binary())})
+            yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in ("node", "leader", *more)}, "n": pa.array(n, pa.int32()), "leader_n": pa.array(leader_n, pa.int32()), "apart": pa.array(apart, pa.int32()), "features": pa.array(xor, pa.binary())})
 
-    fields = members.select("key", "leader", *more).schema
+    fields = members.select("node", "leader", *more).schema
     for name, kind in (("n", "integer"), ("leader_n", "integer"), ("apart", "integer"), ("features", "binary")):
         fields = fields.add(name, kind)
     return rows.mapInArrow(run, fields)
 
 
 def _verified(stars: DataFrame, node_texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b, s): the stars (key, leader) of similarity ``threshold`` or more."""
+    """Links (a, b, s): the stars (node, leader) of similarity ``threshold`` or more."""
     found = _differences(stars, node_texts, features=False)
     both = (F.col("n") + F.col("leader_n") - F.col("apart")) / 2
     s = F.when(both > 0, both / (both + F.col("apart"))).otherwise(0.0)
-    return found.select(F.col("key").alias("a"), F.col("leader").alias("b"), s.alias("s")).where(F.col("s") >= threshold - 1e-12)
+    return found.select(F.col("node").alias("a"), F.col("leader").alias("b"), s.alias("s")).where(F.col("s") >= threshold - 1e-12)
 
 
 def _in_blocks(members: DataFrame, group: list[str], weight: Column) -> DataFrame:
-    """Deal each group's members (group, key, class, ...) into blocks, and every two blocks into one task as (group, i, j)."""
+    """Deal each group's members (group, node, class, ...) into blocks, and every two blocks into one task as (group, i, j)."""
     more = [c for c in members.columns if c not in group]
     totals = members.groupBy(*group).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum(weight) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(totals, group).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    dealt = members.join(totals, group).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
     dealt = dealt.select(F.explode(pairs).alias("p_"), "own", *group, *more).select(F.struct(*group, "p_.i", "p_.j").alias("at"), "own", *more)
     return dealt.repartition("at").sortWithinPartitions("at")
@@ -305,18 +305,18 @@ def _linked(columns: dict[str, list], threshold: float) -> np.ndarray:
 
 
 def _links_in_classes(members: DataFrame, threshold: float) -> DataFrame:
-    """(key, links): the exact number of links of each member (class, key, n, features) of a class."""
+    """(node, links): the exact number of links of each member (class, node, n, features) of a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, here, columns in _meetings(batches):
-            yield pa.RecordBatch.from_pydict({"key": pa.array(columns["key"], pa.binary()), "links": (_linked(columns, threshold) & here).sum(1).astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(columns["node"], pa.int64()), "links": (_linked(columns, threshold) & here).sum(1).astype(np.int64)})
 
-    dealt = _in_blocks(members.select("class", "key", "n", "features"), ["class"], F.octet_length("features") / 8)
-    return dealt.mapInArrow(run, "key binary, links bigint").groupBy("key").agg(F.sum("links").alias("links"))
+    dealt = _in_blocks(members.select("class", "node", "n", "features"), ["class"], F.octet_length("features") / 8)
+    return dealt.mapInArrow(run, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _candidates(members: DataFrame, threshold: float) -> DataFrame:
-    """The members (t, p, key, class, n, sig) of a bucket that may be linked with one of another class; the same rule as ``_may_link``."""
+    """The members (t, p, node, class, n, sig) of a bucket that may be linked with one of another class; the same rule as ``_may_link``."""
     low, n_values = _floor(threshold), TREES * DEPTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,15 +330,15 @@ def _candidates(members: DataFrame, threshold: float) -> DataFrame:
                 may = np.flatnonzero(may)
                 apart = (values[may] != values[k]).sum(1)
                 found[k] = (1 - apart / (n_values * 15 / 16) >= low).any()
-            keys = [columns["key"][k] for k in np.flatnonzero(found)]
-            yield pa.RecordBatch.from_pydict({"t": pa.array([where["t"]] * len(keys), pa.int32()), "p": pa.array([where["p"]] * len(keys), pa.int64()), "key": pa.array(keys, pa.binary())})
+            keys = [columns["node"][k] for k in np.flatnonzero(found)]
+            yield pa.RecordBatch.from_pydict({"t": pa.array([where["t"]] * len(keys), pa.int32()), "p": pa.array([where["p"]] * len(keys), pa.int64()), "node": pa.array(keys, pa.int64())})
 
-    dealt = _in_blocks(members.select("t", "p", "key", "class", "n", "sig"), ["t", "p"], F.lit(1))
-    return dealt.mapInArrow(run, "t int, p bigint, key binary").distinct()
+    dealt = _in_blocks(members.select("t", "p", "node", "class", "n", "sig"), ["t", "p"], F.lit(1))
+    return dealt.mapInArrow(run, "t int, p bigint, node bigint").distinct()
 
 
 def _links_across(members: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join the classes of members (t, p, key, class, n, features) of a bucket, enough to connect all that are linked."""
+    """Links (a, b) that join the classes of members (t, p, node, class, n, features) of a bucket, enough to connect all that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, here, columns in _meetings(batches):
@@ -354,11 +354,11 @@ def _links_across(members: DataFrame, threshold: float) -> DataFrame:
                     ends.append(c)
                 if ends[0] != ends[1]:
                     root[max(ends)] = min(ends)
-                    kept.append((columns["key"][i], columns["key"][j]))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in kept], pa.binary()), "b": pa.array([b for _, b in kept], pa.binary())})
+                    kept.append((columns["node"][i], columns["node"][j]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
 
-    dealt = _in_blocks(members.select("t", "p", "key", "class", "n", "features"), ["t", "p"], F.octet_length("features") / 8)
-    return dealt.mapInArrow(run, "a binary, b binary")
+    dealt = _in_blocks(members.select("t", "p", "node", "class", "n", "features"), ["t", "p"], F.octet_length("features") / 8)
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -370,33 +370,35 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
 def _classes(rows: DataFrame, signed: DataFrame, threshold: float, recall: float, count_links: bool) -> DataFrame:
     """(key, first, class_first, n_links) of each distinct set; ``first`` is the smallest (doc_id, h) of its texts, ``class_first`` of its class's."""
-    nodes = materialise(signed.where("doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.any_value("n").alias("n"), F.any_value("labels").alias("labels"), F.any_value("sig").alias("sig")), "nodes")
-    wordy = nodes.where("n > 0")
-    met = _buckets(wordy, prefix_length(threshold, recall)).select("key").distinct().join(nodes.select("key", "first"), "key").select("key", "first.doc_id", "first.h")
-    node_texts = materialise(rows.join(met, ["doc_id", "h"]).select("key", "text").dropDuplicates(["key"]), "node-texts")
-
-    deep = _verified(_stars(_buckets(wordy, DEPTH), None, threshold), node_texts, threshold)
-    links = materialise(deep, "links")
-    classes = components(links)
-    members = materialise(_buckets(wordy, shortened(links, threshold, recall)), "buckets")
-    links = links.select("a", "b").unionByName(materialise(_verified(_stars(members, classes, threshold), node_texts, threshold).select("a", "b"), "links"))
+    nodes = signed.where("doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.any_value("n").alias("n"), F.any_value("labels").alias("labels"), F.any_value("sig").alias("sig"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    least = prefix_length(threshold, recall)
+    widest = materialise(_buckets(nodes.where("n > 0"), least), "buckets")  # the buckets of longer prefixes are parts of these
+    met = materialise(widest.select("node").distinct().join(nodes, "node").select("node", "first", "n", "labels", "sig"), "met")
+    node_texts = materialise(rows.join(met.select("node", "first.*"), ["doc_id", "h"]).select("node", "text").dropDuplicates(["node"]), "node-texts")
+
+    found = materialise(_verified(_stars(_buckets(met, DEPTH), met, None, threshold), node_texts, threshold), "links")
+    links, classes = found.select("a", "b"), components(found)
+    depth = shortened(found, threshold, recall)
+    members = widest if depth == least else materialise(_buckets(met, depth), "buckets")
+    links = links.unionByName(materialise(_verified(_stars(members, met, classes, threshold), node_texts, threshold).select("a", "b"), "links"))
     classes = components(links)
 
-    placed = materialise(members.join(classes.withColumnRenamed("id", "key"), "key", "left").select("t", "p", "key", "n", "sig", F.coalesce("label", "key").alias("class")), "placed")
+    placed = materialise(members.join(classes.withColumnRenamed("id", "node"), "node", "left").select("t", "p", "node", F.coalesce("label", "node").alias("class")), "placed")
     mixed = placed.groupBy("t", "p").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("t", "p")
-    across = _candidates(placed.join(mixed, ["t", "p"]), threshold)
-    across = materialise(across.join(placed.select("t", "p", "key", "class"), ["t", "p", "key"]), "across")
-    leaders = across.groupBy("t", "p").agg(F.min("key").alias("leader"))
+    across = _candidates(placed.join(mixed, ["t", "p"]).join(met.select("node", "n", "sig"), "node"), threshold)
+    across = materialise(across.join(placed, ["t", "p", "node"]), "across")
+    leaders = across.groupBy("t", "p").agg(F.min("node").alias("leader"))
     across = materialise(_differences(across.join(leaders, ["t", "p"]), node_texts, features=True), "across")
     links = materialise(links.unionByName(_links_across(across, threshold)), "links")
-    classes = components(links).select(F.col("id").alias("key"), F.col("label").alias("class"))
+    classes = components(links).select(F.col("id").alias("node"), F.col("label").alias("class"))
 
-    linked = nodes.select("key", "first").join(classes, "key")
+    linked = met.select("node", "first").join(classes, "node")
     firsts = linked.groupBy("class").agg(F.min("first").alias("class_first"))
-    out = nodes.select("key", "first").join(linked.join(firsts, "class").select("key", "class_first"), "key", "left")
+    out = nodes.select("key", "node", "first").join(linked.join(firsts, "class").select("node", "class_first"), "node", "left")
     if count_links:
-        members = materialise(_differences(classes.withColumn("leader", F.col("class")), node_texts, features=True), "members")
-        out = out.join(_links_in_classes(members, threshold), "key", "left")
+        inside = materialise(_differences(classes.withColumn("leader", F.col("class")), node_texts, features=True), "members")
+        out = out.join(_links_in_classes(inside, threshold), "node", "left")
     else:
         out = out.withColumn("links", F.lit(None).cast("bigint"))
     return out.select("key", "first", F.coalesce("class_first", "first").alias("class_first"), F.coalesce("links", F.lit(0)).alias("n_links"))
