@@ -13,6 +13,7 @@ and repeated tasks; the payload of a row is the format described here.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -194,6 +195,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; a pool of threads would only hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

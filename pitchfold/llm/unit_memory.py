@@ -19,7 +19,7 @@ from .common import mix64
 END = 0xFF
 #: Longest unit that is remembered, in bytes, and most ids of one.
 KEY, IDS = 16, 8
-STEP_BYTES = 1 << 18
+STEP_BYTES = 1 << 17
 _U = np.uint64
 _BELOW = np.arange(KEY, dtype=np.int64)
 
@@ -54,7 +54,7 @@ def assembled(column: pa.Array, lead: bytes = b"") -> tuple[np.ndarray, np.ndarr
 class UnitMemory:
     """A table of ``slots`` units; a unit that was not met lately is learned anew, so memory is bounded whatever the texts hold."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], dtype: np.dtype, slots: int = 1 << 20):
+    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], dtype: np.dtype, slots: int = 1 << 19):
         self.learn, self.slots = learn, slots
         self.keys = np.zeros((slots, 2), _U)
         self.length = np.zeros(slots, np.uint8)  # 0: free, as units have a byte at least
