@@ -13,7 +13,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label of a node's neighbours and then that
     label's own label (pointer jumping), so chains shorten geometrically. Each
-    round is a written table; only the number of changes reaches the driver.
+    round is a written table; only whether anything changed reaches the driver.
+    Ids are not null; links may repeat, and one of an id with itself adds the id
+    alone. No links give no rows.
     """
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("label")), "labels")

@@ -42,7 +42,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat both id and text are one document listed again: they count in
     ``group_size`` and share ``kept``; ``kept_documents`` leaves one of them.
     A null id never stays unless its group has no other (then keep_id is null).
-    An empty table gives an empty result; other columns are ignored.
+    Texts may be of any length. An empty table gives an empty result; other
+    columns are ignored.
     """
     classes = (
         _hashed(docs, id_col, text_col, content_hash)

@@ -129,7 +129,7 @@ def _fit(rows: DataFrame | None) -> Profiles:
         return Profiles.of({})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             by: dict[str, list] = {}
             for text, lang in zip(texts(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
@@ -151,7 +151,9 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     """One row per row of ``docs``: doc_id, lang_pred, score.
 
     Null texts and those without a letter are ``und`` with score 0; so is every
-    text if nothing was learned.
+    text if nothing was learned. Languages at one distance go by name; repeated
+    rows are judged alike. A text of any length counts whole. An empty table
+    gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -192,6 +194,7 @@ def recognised(docs: DataFrame, min_score: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is recognised: not ``und``, score at least ``min_score``.
 
     Without ``min_score`` the bound comes from the fitting rows, by language and length of text.
+    Null texts and those without a letter go; repeated rows stay or go together.
     """
     if "lang" not in docs.columns:
         raise ValueError("docs needs a column lang to learn from")

@@ -184,7 +184,9 @@ def _scanner(templates: tuple[tuple[str, str], ...] | None, threshold: float):
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, matches = array of (template, dice), best first.
 
-    Null and empty texts match nothing. Ties go by the template's name.
+    Null and empty texts match nothing. Ties go by the template's name. Repeated
+    rows are scanned each for itself. A text of any length is scanned whole, in
+    steps of a window. An empty table gives an empty result; other columns are ignored.
     ``templates`` ride along with the tasks: they are a fixed list of texts, not data.
     """
     asked = tuple(templates.items()) if templates else None
