@@ -21,8 +21,9 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 def synthetic_detections(events: DataFrame) -> DataFrame:
     """A deterministic video: boxes, classes and tracker ids out of (event_id, user_id, event_type, props).
 
-    The number in ``props`` is parsed once a row: as the output of a generator,
-    the optimizer can't copy the expression into each filter and column above.
+    The number in ``props`` is parsed, and the columns are computed, once a row:
+    as the output of a generator, the optimizer can't copy their expressions into
+    each filter and column above.
     """
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     e = events.select("event_id", (F.col("user_id") % 16).alias("slot"), "event_type", F.explode(F.array(k)).alias("k"))
@@ -41,7 +42,8 @@ def synthetic_detections(events: DataFrame) -> DataFrame:
         F.when(still, 30).otherwise(20 + k % 45).alias("w"),
         F.when(still, 70).otherwise(15 + k * 13 % 140).alias("h"),
     )
-    return e.select("match_id", "frame", "ord", "tid", "cls", "conf", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"))
+    box = F.struct("match_id", "frame", "ord", "tid", "cls", "conf", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"))
+    return e.select(F.inline(F.array(box)))
 
 
 def detections(spark: SparkSession, sf_dir: str, first_frame: int | None = None) -> DataFrame:
