@@ -15,9 +15,9 @@ host's m pages:
 A host with few pages says little, so its importances are drawn towards those
 of the same branches in the tree of all hosts with the weight of PRIOR_PAGES
 pages. The cut between noise and main text is fitted to each host's own branches
-(the two classes of least variance). Names come in as a prior only: an element
-that HTML or its own class, id or role calls page furniture keeps a share of its
-importance. Pages of a host with the same longest block are copies of one
+(the two classes of least variance). What HTML or an element's own class, id or
+role calls page furniture goes too, as readers' comments and forms repeat no
+texts; the result counts what only a name removes. Pages of a host with the same longest block are copies of one
 article and count as one page, so that articles don't become noise by being copied.
 """
 
@@ -39,8 +39,6 @@ GAMMA = 0.9
 PRIOR_PAGES = 20
 #: The cut lies between these; it is the lower one if the branches don't fall in two classes this far apart.
 LOWEST_CUT, HIGHEST_CUT, APART = 0.5, 0.85, 0.1
-#: Share of its importance that a named element keeps.
-NAMED = 0.5
 #: Numbers of pages are sent to every task up to so many hosts, of 16 bytes each; beyond, they are joined.
 BROADCAST_HOSTS = 1_000_000
 #: Characters of a block that counts sentence by sentence.
@@ -246,7 +244,7 @@ def judged(page: str, importance: dict[int, float], cut: float) -> list[tuple[st
     out = []
     for path, _, text, named in parse(page)[0]:
         own = importance.get(path, 1.0)
-        out.append((text, own < cut, own >= cut and named and NAMED * own < cut))
+        out.append((text, own < cut, own >= cut and named))
     return out
 
 

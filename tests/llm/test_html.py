@@ -131,6 +131,12 @@ def test_fitted_cut(values, low, high):
     assert low <= html_extract.fitted_cut(np.array(values)) <= high
 
 
+def test_a_single_page_goes_by_names(spark):
+    page = "<body><nav>Home</nav><p>The only text.</p><div class='comment-list'>First!</div><footer>Bye</footer></body>"
+    pages = spark.createDataFrame([(1, "http://h.example/", page)], "page_id bigint, url string, html string")
+    assert [(r["text"], r["n_removed"], r["n_named"]) for r in html_extract.main_text(pages).collect()] == [("The only text.", 0, 3)]
+
+
 def test_deep_and_broken_markup():
     deep = "<div>" * 3000 + "text" + "</div>" * 3000
     assert [t for _, _, t, _ in html_extract.parse(deep)[0]] == ["text"]
