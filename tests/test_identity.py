@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pitchfold import schemas
 from pitchfold.config import Tracking
 from pitchfold.operators import ball, detections, identity, overlap, report, static
 from pitchfold.operators.identity import EXPORTED, HIDDEN, OCCLUDED, TOMBSTONED, Fold, Slot
@@ -238,3 +239,17 @@ def test_nearest_absent_track_across_cells(spark):
         d2, who = min(near, default=(None, None))
         assert got[m, t] == (frame, who, d2)
     assert sum(v[1] is not None for v in got.values()) > 20
+
+
+def test_typed_empty_tables_go_through_everything(spark):
+    empty = lambda s: spark.createDataFrame([], s)
+    rows = empty(schemas.DETECTIONS)
+    assert detections.valid_players(rows).count() == detections.frame_counts(rows).count() == 0
+    assert tables.video_meta(rows).count() == tables.video_meta_derived(empty(schemas.VIDEO_META)).count() == 0
+    assert tables.video_meta(rows).columns == empty(schemas.VIDEO_META).columns
+    assert ball.best_ball(empty(schemas.TRACKS_BALL)).count() == 0 and set(schemas.BALL_OBSERVATIONS) <= set(ball.best_ball(empty(schemas.TRACKS_BALL)).columns)
+    tracks = empty(schemas.TRACKS_PLAYER)
+    assert overlap.nearest_absent_track(tracks).count() == overlap.occlusion_candidates(tracks).count() == 0
+    log = identity.resolve(tracks)
+    assert log.schema == empty(schemas.RESOLVED).schema
+    assert identity.observations(log).columns == schemas.OBSERVATIONS and identity.observations(log).count() == 0
