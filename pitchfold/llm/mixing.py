@@ -243,8 +243,11 @@ class Mix:
         return by_shard.groupBy("uid").agg(F.sum("words").alias("taken"), first.alias("place"), F.count(F.lit(1)).alias("n_shards")).select("uid", "taken", "place.shard", "place.slot", "n_shards")
 
     def copies(self) -> DataFrame:
-        """(uid, copies): for each epoch that takes of a row, the first place of it in the mix and its word ranges in order."""
-        place = F.min(F.struct("shard", "slot"))
+        """(uid, copies): for each epoch that takes of a row, a place of it in the mix and its word ranges in order.
+
+        Of its places, a hash takes one: first places would crowd in the first shards.
+        """
+        place = F.min_by(F.struct("shard", "slot"), F.xxhash64("shard", "slot"))
         ranges = self.pieces().groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("ranges"), place.alias("place"))
         return ranges.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("epoch", "place", "ranges"))).alias("copies"))
 
@@ -322,8 +325,8 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
     """The mix as documents with the columns of ``docs``: a row for each epoch that takes of a document.
 
     ``text`` holds the words taken and ``n_chars``, if there is one, their
-    length. Rows are dealt out and sorted by the first place of their words in
-    the mix, so each written file is a random mix of the sources. Nulls, ties
+    length. Rows are dealt out and sorted by a place of their words in the mix,
+    so each written file is a random mix of the sources. Nulls, ties
     and repeated rows as in ``mix_documents``.
     """
     columns, fields = docs.columns, StructType(docs.schema.fields[:])
