@@ -58,10 +58,15 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of a few rows, so that only few texts at a time become Python objects."""
+    """The batches in slices of a few rows, so that only few texts at a time become Python objects.
+
+    Behind the last one, Arrow gives back what it holds free: workers live on
+    into later stages, beside an executor that may need the memory.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:

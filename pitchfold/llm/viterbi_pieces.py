@@ -175,8 +175,8 @@ class Pieces:
 class MergePieces(Pieces):
     """The search of BPE models; of all adjacent pairs that make a piece, the one with the largest score is merged first, ties from the left."""
 
-    #: Steps from piece to piece that are remembered.
-    STEPS = 1 << 20
+    #: Steps from piece to piece that are remembered, of about 100 bytes each.
+    STEPS = 1 << 18
 
     def __init__(self, path: str):
         super().__init__(path)
