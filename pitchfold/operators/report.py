@@ -29,6 +29,10 @@ PALETTE = {
 }
 RAW_COLOUR, BALL_COLOUR, DIMMED = (0, 220, 0), (0, 255, 255), 80
 HUD_PLACE, HUD_COLOUR = (10, 35), (0, 255, 0)
+#: The display's line, the console's line, and how they say whether there is a ball.
+HUD_LINE = "Min:%s | Dets:%s/%s | IDs:%s/%s | Activos:%s | Pelota:%s"
+PROGRESS_LINE = "  Min %s | IDs:%s/%s | Activos:%s | Estáticos:%s | Pelota:%s"
+YES, NO = "SI", "NO"
 
 
 def palette(spark: SparkSession) -> DataFrame:
@@ -104,23 +108,26 @@ def write_ball(balls: DataFrame, path: str, one_file: bool = False) -> bool:
     return False
 
 
-def _yes(flag: Column) -> Column:
-    return F.when(flag, F.lit("SI")).otherwise("NO")
+def _line(form: str, *values: Column | str) -> Column:
+    return F.format_string(form, *[F.col(v).cast("string") if isinstance(v, str) else v for v in values])
 
 
 def hud(metrics: DataFrame, config: Tracking = Tracking()) -> DataFrame:
     """(match_id, frame, x, y, label, colour): the line of figures on each frame of ``metrics.frame_metrics``."""
-    minute = F.format_string("%.1f", F.bround("minute", 1))
-    label = F.concat(
-        F.lit("Min:"), minute, F.lit(" | Dets:"), F.concat_ws("/", F.col("n_dets").cast("string"), F.col("n_dets_raw").cast("string")), F.lit(" | IDs:"), F.col("ids_assigned").cast("string"), F.lit(f"/{config.players} | Activos:"), F.col("n_active").cast("string"), F.lit(" | Pelota:"), _yes(F.col("ball_detected"))
-    )
+    label = _line(HUD_LINE, _minute(), "n_dets", "n_dets_raw", "ids_assigned", F.lit(str(config.players)), "n_active", _yes("ball_detected"))
     return metrics.select("match_id", "frame", F.lit(HUD_PLACE[0]).alias("x"), F.lit(HUD_PLACE[1]).alias("y"), label.alias("label"), F.lit(",".join(map(str, HUD_COLOUR))).alias("colour"))
 
 
 def progress_lines(progress: DataFrame, config: Tracking = Tracking()) -> DataFrame:
     """(match_id, frame, line): what the console says at each frame of ``metrics.progress``."""
-    minute = F.format_string("%.1f", F.bround("minute", 1))
-    line = F.concat(
-        F.lit("  Min "), minute, F.lit(" | IDs:"), F.col("ids_assigned").cast("string"), F.lit(f"/{config.players} | Activos:"), F.col("n_active").cast("string"), F.lit(" | Estáticos:"), F.col("n_static").cast("string"), F.lit(" | Pelota:"), _yes(F.col("ball_detected"))
-    )
+    line = _line(PROGRESS_LINE, _minute(), "ids_assigned", F.lit(str(config.players)), "n_active", "n_static", _yes("ball_detected"))
     return progress.select("match_id", "frame", line.alias("line"))
+
+
+def _minute() -> Column:
+    """One decimal, halves to even."""
+    return F.format_string("%.1f", F.bround("minute", 1))
+
+
+def _yes(flag: str) -> Column:
+    return F.when(F.col(flag), F.lit(YES)).otherwise(NO)
