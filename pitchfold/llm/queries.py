@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, imatch, jaccard_join, language_id, license_scan, mixing, secret_scan, token_codes, viterbi_pieces
+from . import exact_dedup, html_extract, imatch, jaccard_join, language_id, license_scan, mixing, periodic_runs, secret_scan, token_codes, viterbi_pieces
 from .common import table
 
 
@@ -51,5 +51,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op6_jaccard_join, op7_language_id, op8_viterbi_pieces, op9_exact_dedup, op10_imatch)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), edit=periodic_runs.repeat_from)
+    return periodic_runs.digest(found)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op6_jaccard_join, op7_language_id, op8_viterbi_pieces, op9_exact_dedup, op10_imatch, op11_periodic_runs)}
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
