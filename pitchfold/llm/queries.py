@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, imatch, jaccard_join, language_id, license_scan, mixing, periodic_runs, secret_scan, token_codes, turn_repair, viterbi_pieces
+from . import chat_format, exact_dedup, html_extract, imatch, jaccard_join, language_id, license_scan, mixing, periodic_runs, secret_scan, token_codes, turn_repair, viterbi_pieces
 from .common import table
 
 
@@ -60,5 +60,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_digest(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op6_jaccard_join, op7_language_id, op8_viterbi_pieces, op9_exact_dedup, op10_imatch, op11_periodic_runs, op12_turn_repair)}
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = chat_format.format_conversations(chat_format.with_own(table(spark, sf_dir, "conversations")))
+    return chat_format.read_back(parts)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op6_jaccard_join, op7_language_id, op8_viterbi_pieces, op9_exact_dedup, op10_imatch, op11_periodic_runs, op12_turn_repair, op13_chat_format)}
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
