@@ -212,3 +212,22 @@ def with_own(conversations: DataFrame) -> DataFrame:
     rows = [(OWN_ID, k, role, OWN_TEXT) for k, role in enumerate(("user", "assistant"))]
     plain = conversations.select("conv_id", "turn", "role", "text")
     return plain.unionByName(conversations.sparkSession.createDataFrame(rows, plain.schema))
+
+_marked = lambda c: rf"regexp_replace({c}, '<(\\*)\|', '<\\\1|', 'g')"
+_name = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
+_known = ", ".join(f"'{r}'" for r in sorted({r for _, r in TEMPLATE.steps}))
+_due = ", ".join(f"('{s}', '{r}')" for s, r in TEMPLATE.steps)
+#: The same in SQL; for the template above, whose states are named after the role that led there.
+ORACLE = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {OWN_ID}, 0, 'user', '{OWN_TEXT}' UNION ALL SELECT {OWN_ID}, 1, 'assistant', '{OWN_TEXT}'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM c),
+m AS (SELECT *, coalesce(last_value(CASE WHEN role IN ({_known}) THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '{TEMPLATE.initial}') AS state FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len(TEMPLATE.start) + 1 + len(TEMPLATE.end)} + length({_marked(_name)}) + length({_marked("text")})) AS BIGINT) AS formatted_chars,
+       count(*) FILTER ((state, role) NOT IN ({_due})) AS n_illegal,
+       coalesce(arg_max(CASE WHEN role IN ({_known}) THEN role END, n) = 'assistant', false) AS complete
+FROM m GROUP BY conv_id"""

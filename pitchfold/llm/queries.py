@@ -66,4 +66,4 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_html_extract, op4_mix_sources, op5_token_codes, op6_jaccard_join, op7_language_id, op8_viterbi_pieces, op9_exact_dedup, op10_imatch, op11_periodic_runs, op12_turn_repair, op13_chat_format)}
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE, "op12_turn_repair": turn_repair.ORACLE, "op13_chat_format": chat_format.ORACLE}

@@ -361,3 +361,43 @@ def repair_digest(conversations: DataFrame) -> DataFrame:
     all_of = all_of.join(hashes, F.col("id").eqNullSafe(F.col("conv_id")), "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", *_COUNTS, "illegal", "cost")]
     return all_of.select(F.col("id").alias("conv_id"), *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """The query in SQL: the best ways by state, from turn to turn; each way also carries what it leaves."""
+    table = "list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({key}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+    way = lambda v, cost, letter, line: f"CASE WHEN {v} IS NOT NULL THEN {{'c': {v}.c + {cost}, 'a': {v}.a || '{letter}', 't': {v}.t || {line}}} END"
+    deleted = lambda v: way(v, DELETE, "D", "''")
+    kept = lambda v, r: f"CASE WHEN may AND initial = '{r}' THEN {way(v, 'cut', 'K', 'chr(10) || role || chr(58) || text')} END"
+    rerole = lambda v, r: f"CASE WHEN may THEN {way(v, f'{REROLE} + cut', 'R', f'chr(10) || {chr(39)}{NAMES[r]}:{chr(39)} || text')} END"
+    insert = lambda v, r: way(v, INSERT, "I", f"chr(10) || '{NAMES[r]}:'")
+    least = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+    before = {r: [f"v{i}" for (i, own) in STEPS if own == r] for r in "sua"}
+    filled = lambda source: f"SELECT conv_id, n, v0, v1, u AS v2, {least('v3', insert('u', 'a'))} AS v3 FROM (SELECT *, {least('v2', *[insert(v, 'u') for v in before['u']])} AS u FROM ({source}))"
+    stepped = f"""SELECT conv_id, n, {deleted('v0')} AS v0, {least(deleted('v1'), *[kept(v, 's') for v in before['s']])} AS v1,
+        {least(deleted('v2'), *[f(v, 'u') for v in before['u'] for f in (kept, rerole)])} AS v2, {least(deleted('v3'), *[f(v, 'a') for v in before['a'] for f in (kept, rerole)])} AS v3
+        FROM (SELECT f.*, s.v0, s.v1, s.v2, s.v3 FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.n = s.n + 1)"""
+    nothing = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR))"
+    begin = f"SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, CAST({{'c': 0, 'a': '', 't': ''}} AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS v0, {nothing} AS v1, {nothing} AS v2, {nothing} AS v3 FROM conversations"
+    return f"""
+WITH RECURSIVE tab AS (SELECT {table} AS t),
+h AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS h FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM (SELECT *, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h)),
+q AS (SELECT *, substr(role, 1, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS n FROM d),
+g AS (SELECT *, CASE WHEN ended = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2 WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM q),
+f AS (SELECT conv_id, n, role, text, initial, fault IN (0, 3) AS may, CASE fault WHEN 3 THEN {TRUNCATED} ELSE 0 END AS cut FROM g),
+s AS ({filled(begin)} UNION ALL {filled(stepped)}),
+best AS (SELECT conv_id, {least('v0', 'v3')} AS w FROM s QUALIFY n = max(n) OVER (PARTITION BY conv_id)),
+counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+        count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ({', '.join(f"'{p}'" for p in LEGAL)})) AS illegal FROM g GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       w.c AS cost, w.a AS audit, sha256(substr(w.t, 2)) AS repaired_sha256
+FROM best LEFT JOIN counts ON best.conv_id IS NOT DISTINCT FROM counts.conv_id"""
+
+
+ORACLE = _sql()
