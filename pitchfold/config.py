@@ -35,3 +35,23 @@ class Tracking:
         """Sightings between two looks at a static-object window."""
         return self.window - self.window_kept
 
+
+@dataclass(frozen=True)
+class Association:
+    """How boxes become tracks: confidences, the largest cost of a match in each round, and the life of lost tracks in frames.
+
+    Boxes from ``threshold`` on are matched first, those between ``low`` and it
+    second; the former begin tracks from ``begin`` on (``threshold`` if None).
+    """
+
+    threshold: float = 0.15
+    low: float = 0.1
+    begin: float | None = None
+    match: float = 0.9
+    match_low: float = 0.5
+    match_new: float = 0.7
+    same: float = 0.15
+    buffer: int = 150
+
+
+PLAYER_TRACKS, BALL_TRACKS = Association(), Association(threshold=0.1, match=0.8, buffer=30)

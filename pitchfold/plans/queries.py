@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Tracking
 from ..functions.geometry import CORNERS
-from ..operators import ball, detections, ext, identity, metrics, overlap, report, static
+from ..operators import association, ball, detections, ext, identity, metrics, overlap, report, static
 from ..sources import tables
 
 #: The synthetic video begins at minute 20; this start cuts some of it off.
@@ -166,6 +166,25 @@ def ext_homography(spark, sf_dir):
     return ext.to_field(_observed(spark, sf_dir), HOMOGRAPHY)
 
 
+def associated_tracks(spark, sf_dir):
+    """Players' and balls' tracks made from detections alone, each with its own parameters."""
+    players, balls = association.player_tracks(_source(spark, sf_dir)), association.ball_tracks(_source(spark, sf_dir))
+    named = balls.select("match_id", "frame", "ord", "tid", *[F.col(c).cast("bigint").alias(c) for c in CORNERS]).withColumn("kind", F.lit("ball"))
+    return players.withColumn("kind", F.lit("player")).unionByName(named)
+
+
+def associated_observations(spark, sf_dir):
+    """The whole way from detections to players: tracks, identities, static removal."""
+    return identity.observations(identity.resolve(association.player_tracks(_source(spark, sf_dir))))
+
+
+def associated_ball(spark, sf_dir):
+    return ball.best_ball(association.ball_tracks(_source(spark, sf_dir)))
+
+
+#: The filter and the assignment are no SQL; tests hold these against a plain tracker.
+ASSOCIATED = (associated_tracks, associated_observations, associated_ball)
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -201,5 +220,6 @@ QUERIES = {
         ext_heatmap,
         ext_distance_speed,
         ext_homography,
+        *ASSOCIATED,
     )
 }

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from pitchfold.plans.oracles import ORACLES
-from pitchfold.plans.queries import QUERIES
+from pitchfold.plans.queries import ASSOCIATED, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +43,7 @@ def test_ten_matches_match_sql(spark, name):
 
 
 def test_every_query_of_the_reference_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - {q.__name__ for q in ASSOCIATED} == set(ORACLES)
 
 
 def test_entry(spark):
