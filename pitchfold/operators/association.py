@@ -175,7 +175,7 @@ class Tracks:
         cost = 1 - like * conf[boxes] if conf is not None else 1 - like
         return [(int(tracks[i]), int(boxes[j])) for i, j in assign(cost, limit)]
 
-    def _pass(self, frame: int) -> None:
+    def pass_to(self, frame: int) -> None:
         """Empty frames up to this one: unsure tracks go at once, lost ones at the end of their life."""
         while self.frame is not None and self.frame < frame - 1 and len(self.tid):
             self.step(self.frame + 1, np.zeros((0, 4)), np.zeros(0))
@@ -186,7 +186,7 @@ class Tracks:
         """(tid, corners, conf, box) of the tracks that are seen in the frame, by tid; ``box`` is the row of the matched box."""
         c, first = self.config, self.frame is None
         if not first and frame > self.frame + 1:
-            self._pass(frame)
+            self.pass_to(frame)
         self.frame = frame
         lost = self.last < frame - 1
         self.state = predicted(self.state, lost)
@@ -279,9 +279,9 @@ def by_match(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "match_id")
 
 
-def sound_boxes(detections: DataFrame) -> DataFrame:
-    """(match_id, frame, ord, corners, conf) of the boxes that have an area; corners and conf as doubles."""
-    rows = detections.select("match_id", "frame", F.col("ord").cast("bigint").alias("ord"), *[F.col(c).cast("double").alias(c) for c in (*CORNERS, "conf")])
+def sound_boxes(detections: DataFrame, *more: str) -> DataFrame:
+    """(match_id, frame, ord, corners, conf) of the boxes that have an area, and ``more`` columns; corners and conf as doubles."""
+    rows = detections.select(*more, "match_id", "frame", F.col("ord").cast("bigint").alias("ord"), *[F.col(c).cast("double").alias(c) for c in (*CORNERS, "conf")])
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in (*CORNERS, "conf")]
     for ok in (*finite, F.col("x2") > F.col("x1"), F.col("y2") > F.col("y1"), F.col("match_id").isNotNull() & F.col("frame").isNotNull() & F.col("ord").isNotNull()):
         rows = rows.where(ok)

@@ -1,0 +1,57 @@
+"""Association over a stream gives the batch's tracks, and dead tracks leave the state store."""
+
+from __future__ import annotations
+
+import random
+import time
+from datetime import datetime, timedelta
+
+from pitchfold.config import Association
+from pitchfold.operators.association import associate
+from pitchfold.streaming.association import associate_stream, living_tracks
+
+from .test_association import DETECTIONS, walk
+
+STAMPED = DETECTIONS + ", ts timestamp"
+START, FPS = datetime(2026, 1, 1), 24.0
+SHORT = Association(buffer=30)
+
+
+def stamped(match: int, rows: list[tuple]) -> list[tuple]:
+    return [(match, f, *r, START + timedelta(seconds=f / FPS)) for f, *r in rows]
+
+
+def write(spark, rows: list[tuple], folder: str, name: str) -> None:
+    spark.createDataFrame(rows, STAMPED).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def run(spark, folder: str, lag: int = 2):
+    source = spark.readStream.schema(STAMPED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = associate_stream(source, SHORT, FPS, lag, "1 seconds").writeStream.format("parquet").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start(f"{folder}/out")
+    assert query.awaitTermination(240)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_stream_equals_batch_and_tracks_leave_the_store(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    by_match = {m: [(f, 10 * k, *b, 0) for f, boxes in walk(m, 70).items() for k, b in enumerate(boxes)] for m in (0, 1)}
+    rows = {m: stamped(m, r) for m, r in by_match.items()}
+    rng = random.Random(3)
+    cuts = [100, 123, 147, 171]
+    for a, b in zip(cuts, cuts[1:]):
+        part = [r for own in rows.values() for r in own if a <= r[1] < b]
+        rng.shuffle(part)
+        write(spark, part, folder, str(a))
+        time.sleep(1.1)  # files of a folder are taken in order of their time
+    # match 1 goes on with one far player; match 0 is silent, and its time passes by the watermark alone
+    later = stamped(1, [(f, 1, 900.0, 400.0, 930.0, 460.0, 0.9, 0) for f in range(171, 320)])
+    for a, b in ((171, 240), (240, 300), (300, 320)):
+        write(spark, [r for r in later if a <= r[1] < b], folder, str(a))
+        time.sleep(1.1)
+    got = run(spark, folder)
+    batch = associate(spark.createDataFrame([r for own in rows.values() for r in own] + later, STAMPED), SHORT)
+    closed = batch.where("match_id = 0 OR frame <= 316")
+    assert sorted(map(tuple, got.where("match_id = 0 OR frame <= 316").collect())) == sorted(map(tuple, closed.collect()))
+    held = living_tracks(spark, f"{folder}/check").collect()
+    assert [r["match_id"] for r in held] == [1] and held[0]["last"] >= 316  # all of match 0 died by timer, those of match 1 by frames
+    assert batch.select("match_id", "tid").distinct().count() > 10
