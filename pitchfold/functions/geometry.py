@@ -38,13 +38,17 @@ def squared_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
 
 
-def valid_player_box(config: Tracking = Tracking(), corners: list[Column] | None = None) -> Column:
-    """Inside the margins and of a plausible shape; the shape is compared in single precision, bounds included."""
+def valid_player_box(config: Tracking = Tracking(), corners: list[Column] | None = None, size: tuple[Column, Column] | None = None) -> Column:
+    """Inside the margins and of a plausible shape; the shape is compared in single precision, bounds included.
+
+    ``size`` is the picture's width and height, the configuration's if not given.
+    """
+    width, height = size or (F.lit(config.width), F.lit(config.height))
     x1, y1, x2, y2 = corners or box()
     shape = (F.greatest(y2 - y1, F.lit(1)) / F.greatest(x2 - x1, F.lit(1))).cast("float")
     low, high = (F.lit(r).cast("float") for r in (config.ratio_min, config.ratio_max))
     outside = (x1 < config.margin_side) & (x2 < config.margin_side)
-    return (y1 >= config.margin_top) & ~outside & (x1 <= config.width - config.margin_side) & (y1 <= config.height - config.margin_bottom) & shape.between(low, high)
+    return (y1 >= config.margin_top) & ~outside & (x1 <= width - config.margin_side) & (y1 <= height - config.margin_bottom) & shape.between(low, high)
 
 
 def register(spark: SparkSession, config: Tracking = Tracking()) -> None:

@@ -288,9 +288,9 @@ def sound_boxes(detections: DataFrame, *more: str) -> DataFrame:
     return rows
 
 
-def player_tracks(detections: DataFrame, tracking: Tracking = Tracking(), config: Association = PLAYER_TRACKS) -> DataFrame:
+def player_tracks(detections: DataFrame, tracking: Tracking = Tracking(), config: Association = PLAYER_TRACKS, meta: DataFrame | None = None) -> DataFrame:
     """Players' tracks for the identity fold, from detections alone: corners as whole numbers."""
-    found = associate(valid_players(detections, tracking), config)
+    found = associate(valid_players(detections, tracking, meta), config)
     return found.select("match_id", "frame", "ord", "tid", *[truncated(c).alias(c) for c in CORNERS])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Tracking
+from ..sources.tables import FPS, with_meta
 
 
 def heatmap(observed: DataFrame, cell: int = 40) -> DataFrame:
@@ -14,12 +15,13 @@ def heatmap(observed: DataFrame, cell: int = 40) -> DataFrame:
     return observed.groupBy("match_id", "id", *at).agg(F.count(F.lit(1)).alias("n"))
 
 
-def distance_speed(observed: DataFrame, config: Tracking = Tracking()) -> DataFrame:
-    """(match_id, id, distance, top_speed) in pixels and pixels a second, from sighting to sighting."""
+def distance_speed(observed: DataFrame, config: Tracking = Tracking(), meta: DataFrame | None = None) -> DataFrame:
+    """(match_id, id, distance, top_speed) in pixels and pixels a second, from sighting to sighting, at each match's rate."""
+    observed = with_meta(observed, meta, config)
     order = Window.partitionBy("match_id", "id").orderBy("frame")
     dx, dy = (F.col(c) - F.lag(c).over(order) for c in ("x", "y"))
     steps = observed.withColumns({"d": F.sqrt((dx * dx + dy * dy).cast("double")), "frames": F.col("frame") - F.lag("frame").over(order)})
-    return steps.groupBy("match_id", "id").agg(F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 6).alias("distance"), F.round(F.max(F.col("d") * config.fps / F.col("frames")), 6).alias("top_speed"))
+    return steps.groupBy("match_id", "id").agg(F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 6).alias("distance"), F.round(F.max(F.col("d") * F.col(FPS) / F.col("frames")), 6).alias("top_speed"))
 
 
 def to_field(observed: DataFrame, h: tuple[tuple[float, float, float], ...]) -> DataFrame:

@@ -63,20 +63,20 @@ class Fold:
                 return True
         return False
 
-    def _choose(self, frame: int, tid: int, x: int, y: int) -> tuple[int | None, str]:
-        """Slot for a clear track: its own, else the lowest free one, else the nearest that is absent."""
+    def _choose(self, frame: int, tid: int, x: int, y: int) -> tuple[int | None, str, int | None]:
+        """Slot for a clear track: its own, else the lowest free one, else the nearest that is absent; and how far, squared, that is."""
         k = self.by_tid.get(tid)
         if k is not None:
-            return (None, "duplicate") if k in self.active else (k, "known")
+            return (None, "duplicate", None) if k in self.active else (k, "known", None)
         for k, slot in enumerate(self.slots):
             if slot.tid == 0:
-                return k, "recycled" if slot.frame >= 0 else "new"
+                return k, "recycled" if slot.frame >= 0 else "new", None
         reach = []
         for k, slot in enumerate(self.slots):
             d2 = (slot.x - x) ** 2 + (slot.y - y) ** 2
             if k not in self.active and frame - slot.frame >= self.config.min_absence and d2 <= self.config.max_distance**2:
                 reach.append((d2, k))
-        return (min(reach)[1], "reid") if reach else (None, "unresolved")
+        return (min(reach)[1], "reid", min(reach)[0]) if reach else (None, "unresolved", None)
 
     def _is_static(self, slot: Slot) -> bool:
         """Judge the window if it is full; what passes keeps its last sightings."""
@@ -88,25 +88,25 @@ class Fold:
         del slot.seen[: -self.config.window_kept]
         return False
 
-    def step(self, frame: int, tid: int, x1: int, y1: int, x2: int, y2: int) -> tuple[int, int, bool, int | None, str, str]:
-        """(cx, cy, occluded, id or None, outcome, status) of one track."""
+    def step(self, frame: int, tid: int, x1: int, y1: int, x2: int, y2: int) -> tuple[int, int, bool, int | None, str, str, int | None]:
+        """(cx, cy, occluded, id or None, outcome, status, squared distance of a re-identification) of one track."""
         if frame != self.frame:
             self.frame, self.active, self.boxes = frame, set(), []
         box, x, y = (x1, y1, x2, y2), (x1 + x2) // 2, (y1 + y2) // 2
         if self._covered(box):
             k = self.by_tid.get(tid)
             if k in self.active:
-                return x, y, True, None, "duplicate", DROPPED
+                return x, y, True, None, "duplicate", DROPPED, None
             self.boxes.append(box)
             if k is None:
-                return x, y, True, None, "unknown", DROPPED
+                return x, y, True, None, "unknown", DROPPED, None
             slot = self.slots[k]
             slot.x, slot.y, slot.frame = x, y, frame
             self.active.add(k)
-            return x, y, True, k + 1, "known", OCCLUDED
-        k, outcome = self._choose(frame, tid, x, y)
+            return x, y, True, k + 1, "known", OCCLUDED, None
+        k, outcome, d2 = self._choose(frame, tid, x, y)
         if k is None:
-            return x, y, False, None, outcome, DROPPED
+            return x, y, False, None, outcome, DROPPED, None
         slot = self.slots[k]
         if slot.tid != tid:
             self.by_tid.pop(slot.tid, None)
@@ -115,18 +115,18 @@ class Fold:
         self.active.add(k)
         self.boxes.append(box)
         if slot.dead:
-            return x, y, False, k + 1, outcome, HIDDEN
+            return x, y, False, k + 1, outcome, HIDDEN, d2
         slot.seen.append((x, y))
         if self._is_static(slot):
             slot.dead, slot.seen = True, []
             del self.by_tid[tid]
             slot.tid = 0
-            return x, y, False, k + 1, outcome, TOMBSTONED
-        return x, y, False, k + 1, outcome, EXPORTED
+            return x, y, False, k + 1, outcome, TOMBSTONED, d2
+        return x, y, False, k + 1, outcome, EXPORTED, d2
 
 
 _IN = ("match_id", "frame", "ord", "tid", "x1", "y1", "x2", "y2")
-_OUT = ("cx", "cy", "occluded", "id", "outcome", "status", "free", "static")
+_OUT = ("cx", "cy", "occluded", "id", "outcome", "status", "reid_d2", "free", "static")
 
 
 def resolve(tracks: DataFrame, config: Tracking = Tracking()) -> DataFrame:
@@ -141,7 +141,7 @@ def resolve(tracks: DataFrame, config: Tracking = Tracking()) -> DataFrame:
                     match, fold = own, Fold(config)
                 out.append((*fold.step(frame, tid, *corners), fold.free, fold.static))
             done = pd.DataFrame(out, columns=list(_OUT), index=part.index)
-            done["id"] = done["id"].astype("Int32")
+            done["id"], done["reid_d2"] = done["id"].astype("Int32"), done["reid_d2"].astype("Int64")
             yield pd.concat([part[list(_IN)], done], axis=1)
 
     ordered = tracks.select(*_IN).repartition("match_id").sortWithinPartitions("match_id", "frame", "ord")
@@ -180,7 +180,13 @@ def observations_by_join(log: DataFrame) -> DataFrame:
 
 
 def events(log: DataFrame) -> DataFrame:
-    """(match_id, frame, ord, tid, id, event): an id begins, is used again, is found again, or is static."""
+    """(match_id, frame, ord, tid, id, event, pool, distance): an id begins, is used again, is found again, or is static.
+
+    ``pool`` is how many ids are free behind an id that begins or is used again,
+    ``distance`` how far from its last place an id was found, in pixels.
+    """
     kind = F.when(F.col("status") == TOMBSTONED, F.lit("static"))
     begun = F.when(F.col("outcome").isin(*NEW_EVENTS), F.col("outcome"))
-    return log.select("match_id", "frame", "ord", "tid", "id", F.explode(F.array_compact(F.array(begun, kind))).alias("event"))
+    rows = log.select("match_id", "frame", "ord", "tid", "id", "free", "reid_d2", F.explode(F.array_compact(F.array(begun, kind))).alias("event"))
+    pool, far = F.when(F.col("event").isin("new", "recycled"), F.col("free")), F.when(F.col("event") == "reid", F.round(F.sqrt(F.col("reid_d2").cast("double")), 6))
+    return rows.select("match_id", "frame", "ord", "tid", "id", "event", pool.alias("pool"), far.alias("distance"))

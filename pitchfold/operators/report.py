@@ -28,6 +28,14 @@ PALETTE = {
     13: (238, 179, 248),
 }
 RAW_COLOUR, BALL_COLOUR, DIMMED = (0, 220, 0), (0, 255, 255), 80
+#: Fixed values of each kind of drawing: line width; label's scale, line width, offset from the box's corner and colour;
+#: how much wider and higher than its text the label's field is (none if 0); radius of the dot at the center (none if 0).
+STYLES = {
+    "raw": (1, 0.0, 0, 0, 0, "", 0, 0, 0),
+    "player": (3, 0.75, 2, 2, -3, "0,0,0", 4, 8, 5),
+    "occluded": (2, 0.65, 1, 2, -2, "255,255,255", 4, 6, 0),
+    "ball": (3, 0.65, 2, 0, -5, "0,255,255", 0, 0, 6),
+}
 HUD_PLACE, HUD_COLOUR = (10, 35), (0, 255, 0)
 #: The display's line, the console's line, and how they say whether there is a ball.
 HUD_LINE = "Min:%s | Dets:%s/%s | IDs:%s/%s | Activos:%s | Pelota:%s"
@@ -41,12 +49,43 @@ def palette(spark: SparkSession) -> DataFrame:
     return rows.select("*", *[F.greatest(F.col(f"c{k}") - DIMMED, F.lit(0)).alias(f"d{k}") for k in (1, 2, 3)])
 
 
+def colours_of(observed: DataFrame) -> DataFrame:
+    """(match_id, id, c1, c2, c3, d1, d2, d3): colours of the ids that a match shows."""
+    return observed.select("match_id", "id").distinct().join(F.broadcast(palette(observed.sparkSession)), "id")
+
+
 def _rows(frame: DataFrame, kind: str, label: Column, colour: Column) -> DataFrame:
     return frame.select("match_id", "frame", F.lit(kind).alias("kind"), "x1", "y1", "x2", "y2", label.alias("label"), colour.alias("colour"))
 
 
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Rows with how they are drawn; a point or field that a kind lacks is null."""
+    k = lambda n: F.coalesce(*[F.when(F.col("kind") == kind, F.lit(style[n])) for kind, style in STYLES.items()])
+    labelled, dotted, field = F.col("label") != "", k(8) > 0, k(6) > 0
+    middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
+    return rows.select(
+        "*",
+        k(0).alias("line_width"),
+        F.when(labelled, F.col("x1") + k(3)).alias("label_x"),
+        F.when(labelled, F.col("y1") + k(4)).alias("label_y"),
+        F.when(labelled, k(1)).alias("label_scale"),
+        F.when(labelled, k(2)).alias("label_width"),
+        F.when(labelled, k(5)).alias("label_colour"),
+        F.when(field, k(6)).alias("field_wider"),
+        F.when(field, k(7)).alias("field_higher"),
+        F.when(dotted, middle("x1", "x2")).alias("dot_x"),
+        F.when(dotted, middle("y1", "y2")).alias("dot_y"),
+        F.when(dotted, k(8)).alias("dot_radius"),
+    )
+
+
 def annotations(valid_players: DataFrame, balls: DataFrame, log: DataFrame) -> DataFrame:
-    """(match_id, frame, kind, corners, label, colour): raw, player, occluded and ball boxes."""
+    """(match_id, frame, kind, corners, label, colour) and how it is drawn: raw, player, occluded and ball boxes.
+
+    A label's text stands at (label_x, label_y), its lower left corner. Behind it
+    lies a field of the box's colour on the box's upper left corner, wider and
+    higher than the text by the given pixels. A dot marks the center.
+    """
     colours = F.broadcast(palette(log.sparkSession))  # one row an id of the pool
     named = log.where(F.col("status").isin(EXPORTED, OCCLUDED)).join(colours, "id")
     text = lambda p: F.concat_ws(",", *[F.col(f"{p}{k}") for k in (1, 2, 3)])
@@ -65,7 +104,7 @@ def annotations(valid_players: DataFrame, balls: DataFrame, log: DataFrame) -> D
     )
     raw = _rows(valid_players, "raw", F.lit(""), fixed(RAW_COLOUR))
     ball = _rows(balls, "ball", F.lit("PELOTA"), fixed(BALL_COLOUR))
-    return raw.unionByName(players).unionByName(ball)
+    return _drawn(raw.unionByName(players).unionByName(ball))
 
 
 def write_csv(rows: DataFrame, path: str, order: list[str], one_file: bool = False) -> bool:

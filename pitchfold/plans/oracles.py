@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators.report import PALETTE
-from .queries import HOMOGRAPHY
+from ..operators.report import PALETTE, STYLES
+from ..sources.tables import MIXED_VIDEOS
+from .queries import EARLIER, HOMOGRAPHY, SHORT_MATCH
 
 DETECTIONS = """
 e AS (SELECT event_id, user_id % 16 AS slot, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
@@ -46,10 +47,10 @@ fold AS (
          list_transform(range(13), lambda i: CAST(0 AS BIGINT)) AS lx, list_transform(range(13), lambda i: CAST(0 AS BIGINT)) AS ly,
          list_transform(range(13), lambda i: CAST(-1 AS BIGINT)) AS lf, list_transform(range(13), lambda i: false) AS dead,
          list_transform(range(13), lambda i: CAST([] AS STRUCT(x BIGINT, y BIGINT)[])) AS seen, CAST([] AS BIGINT[]) AS act,
-         CAST([] AS STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)[]) AS boxes, CAST(NULL AS BIGINT) AS k, false AS occ, '' AS outcome, '' AS status
+         CAST([] AS STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)[]) AS boxes, CAST(NULL AS BIGINT) AS k, false AS occ, '' AS outcome, '' AS status, CAST(NULL AS BIGINT) AS reid_d2
   FROM (SELECT DISTINCT match_id FROM q)
   UNION ALL
-  SELECT match_id, seq, frame, tids2, lx2, ly2, lf2, dead2, seen2, act2, boxes2, k, occ, outcome, status FROM (
+  SELECT match_id, seq, frame, tids2, lx2, ly2, lf2, dead2, seen2, act2, boxes2, k, occ, outcome, status, CASE WHEN outcome = 'reid' THEN near // 100 END FROM (
     SELECT *,
       CASE WHEN fires THEN {_put("tids1", "CAST(0 AS BIGINT)")} ELSE tids1 END AS tids2,
       CASE WHEN fires THEN {_put("dead", "true")} ELSE dead END AS dead2,
@@ -83,7 +84,7 @@ fold AS (
               FROM fold f JOIN q ON q.match_id = f.match_id AND q.seq = f.seq + 1)))))
   )),
 log AS (
-  SELECT q.match_id, q.frame, q.ord, q.tid, q.x1, q.y1, q.x2, q.y2, q.cx, q.cy, f.occ AS occluded, CAST(f.k AS INT) AS id, f.outcome, f.status,
+  SELECT q.match_id, q.frame, q.ord, q.tid, q.x1, q.y1, q.x2, q.y2, q.cx, q.cy, f.occ AS occluded, CAST(f.k AS INT) AS id, f.outcome, f.status, f.reid_d2,
          CAST(len(list_filter(f.tids, lambda z: z = 0)) AS INT) AS free, CAST(len(list_filter(f.dead, lambda z: z)) AS INT) AS static
   FROM fold f JOIN q USING (match_id, seq)),
 gone AS (SELECT DISTINCT match_id, id FROM log WHERE status = 'tombstoned'),
@@ -113,6 +114,7 @@ def _sql(body: str, *parts: str) -> str:
 
 _palette = ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in PALETTE.items())
 PALETTE_SQL = f"SELECT *, greatest(c1 - 80, 0) AS d1, greatest(c2 - 80, 0) AS d2, greatest(c3 - 80, 0) AS d3 FROM (VALUES {_palette}) AS p(id, c1, c2, c3)"
+_styles = ", ".join(f"('{kind}', {a}, " + (f"{b}::DOUBLE, {c}, {d}, {e}, '{colour}', " if colour else "NULL, NULL, NULL, NULL, NULL, ") + (f"{wider}, {higher}, " if wider else "NULL, NULL, ") + f"{dot or 'NULL'})" for kind, (a, b, c, d, e, colour, wider, higher, dot) in STYLES.items())
 _h = [f"(x * {a}::DOUBLE + y * {b}::DOUBLE + {c}::DOUBLE)" for a, b, c in HOMOGRAPHY]
 
 ORACLES = {
@@ -141,7 +143,7 @@ ORACLES = {
     "static_tracks": _sql("SELECT * FROM still", WINDOWS),
     "non_static_observations": _sql("SELECT * FROM t ANTI JOIN still USING (match_id, tid)", WINDOWS),
     "identity_resolved": _sql("SELECT * FROM log", FOLD),
-    "identity_events": _sql("SELECT match_id, frame, ord, tid, id, outcome AS event FROM log WHERE outcome IN ('new', 'recycled', 'reid') UNION ALL SELECT match_id, frame, ord, tid, id, 'static' FROM log WHERE status = 'tombstoned'", FOLD),
+    "identity_events": _sql("SELECT match_id, frame, ord, tid, id, outcome AS event, CASE WHEN outcome <> 'reid' THEN free END AS pool, CASE WHEN outcome = 'reid' THEN round(sqrt(CAST(reid_d2 AS DOUBLE)), 6) END AS distance FROM log WHERE outcome IN ('new', 'recycled', 'reid') UNION ALL SELECT match_id, frame, ord, tid, id, 'static', NULL, NULL FROM log WHERE status = 'tombstoned'", FOLD),
     "player_observations": _sql("SELECT * FROM obs", FOLD),
     "player_observations_with_occlusion": _sql("SELECT * FROM obs UNION ALL SELECT match_id, frame, id, cx, cy, x1, y1, x2, y2, true FROM log ANTI JOIN gone USING (match_id, id) WHERE status = 'occluded'", FOLD),
     "visible_frames_per_id": _sql("SELECT match_id, id, count(*) AS frames FROM obs GROUP BY match_id, id", FOLD),
@@ -157,13 +159,16 @@ ORACLES = {
     "frame_metrics": _sql("SELECT * FROM fm", FOLD, COUNTS, METRICS),
     "progress_every_150": _sql("SELECT match_id, frame, elapsed, minute, ids_assigned, n_active, n_static, ball_detected FROM (SELECT *, frame - min(frame) OVER (PARTITION BY match_id) AS elapsed FROM fm) WHERE elapsed > 0 AND elapsed % 150 = 0", FOLD, COUNTS, METRICS),
     "annotations": _sql(f"""
+        SELECT a.*, line_width, x1 + dx AS label_x, y1 + dy AS label_y, label_scale, label_width, label_colour, field_wider, field_higher,
+               CASE WHEN dot_radius IS NOT NULL THEN CAST(floor((x1 + x2) / 2) AS BIGINT) END AS dot_x, CASE WHEN dot_radius IS NOT NULL THEN CAST(floor((y1 + y2) / 2) AS BIGINT) END AS dot_y, dot_radius
+        FROM (VALUES {_styles}) AS p(kind, line_width, label_scale, label_width, dx, dy, label_colour, field_wider, field_higher, dot_radius) JOIN (
         SELECT match_id, frame, 'raw' AS kind, x1, y1, x2, y2, '' AS label, '0,220,0' AS colour FROM v
         UNION ALL SELECT match_id, frame, 'ball', x1, y1, x2, y2, 'PELOTA', '0,255,255' FROM bb
         UNION ALL SELECT match_id, frame, 'player', x1, y1, x2, y2, 'ID:' || id, c1 || ',' || c2 || ',' || c3 FROM log JOIN ({PALETTE_SQL}) USING (id) WHERE status = 'exported'
-        UNION ALL SELECT match_id, frame, 'occluded', x1, y1, x2, y2, 'ID:' || id || '~', d1 || ',' || d2 || ',' || d3 FROM log JOIN ({PALETTE_SQL}) USING (id) WHERE status = 'occluded'""", FOLD),
+        UNION ALL SELECT match_id, frame, 'occluded', x1, y1, x2, y2, 'ID:' || id || '~', d1 || ',' || d2 || ',' || d3 FROM log JOIN ({PALETTE_SQL}) USING (id) WHERE status = 'occluded') a USING (kind)""", FOLD),
     "hud": _sql("SELECT match_id, frame, 10 AS x, 35 AS y, printf('Min:%.1f | Dets:%d/%d | IDs:%d/13 | Activos:%d | Pelota:%s', minute, n_dets, n_dets_raw, ids_assigned, n_active, CASE WHEN ball_detected THEN 'SI' ELSE 'NO' END) AS label, '0,255,0' AS colour FROM fm", FOLD, COUNTS, METRICS),
     "progress_lines": _sql("SELECT match_id, frame, printf('  Min %.1f | IDs:%d/13 | Activos:%d | Estáticos:%d | Pelota:%s', minute, ids_assigned, n_active, n_static, CASE WHEN ball_detected THEN 'SI' ELSE 'NO' END) AS line FROM (SELECT *, frame - min(frame) OVER (PARTITION BY match_id) AS elapsed FROM fm) WHERE elapsed > 0 AND elapsed % 150 = 0", FOLD, COUNTS, METRICS),
-    "palette_colors": PALETTE_SQL,
+    "palette_colors": _sql(f"SELECT * FROM (SELECT DISTINCT match_id, id FROM obs) JOIN ({PALETTE_SQL}) USING (id)", FOLD),
     "ext_heatmap": _sql("SELECT match_id, id, CAST(floor(x / 40) AS BIGINT) AS cell_x, CAST(floor(y / 40) AS BIGINT) AS cell_y, count(*) AS n FROM obs GROUP BY ALL", FOLD),
     "ext_distance_speed": _sql("""
         SELECT match_id, id, round(coalesce(sum(d), 0), 6) AS distance, round(max(d * 23.976::DOUBLE / frames), 6) AS top_speed FROM (
@@ -171,3 +176,27 @@ ORACLES = {
           FROM obs WINDOW o AS (PARTITION BY match_id, id ORDER BY frame)) GROUP BY match_id, id""", FOLD),
     "ext_homography": _sql(f"SELECT match_id, frame, id, round(CASE WHEN {_h[2]} <> 0 THEN {_h[0]} / {_h[2]} END, 6) AS field_x, round(CASE WHEN {_h[2]} <> 0 THEN {_h[1]} / {_h[2]} END, 6) AS field_y FROM obs", FOLD),
 }
+
+
+def _mixed(sql: str) -> str:
+    """A query over short matches, each with its own rate and picture size."""
+    (fps, width, height), (other_fps, other_width, other_height) = MIXED_VIDEOS
+    of_match = lambda a, b: f"(CASE WHEN match_id % 2 = 1 THEN {b} ELSE {a} END)"
+    rate = of_match(f"{fps}::DOUBLE", f"{other_fps}::DOUBLE")
+    return (
+        sql.replace("floor(event_id / 10000)", f"floor(event_id / {SHORT_MATCH})")
+        .replace("x1 <= 1260", f"x1 <= {of_match(width, other_width)} - 20")
+        .replace("y1 <= 700", f"y1 <= {of_match(height, other_height)} - 20")
+        .replace("23.976::DOUBLE", rate)
+    )
+
+
+_start = f"CAST(trunc({EARLIER.start_minute}::DOUBLE * 60 * 23.976::DOUBLE) AS BIGINT)"
+ORACLES |= {
+    "meta_player_filter": _mixed(ORACLES["player_geometry_filter"]),
+    "meta_start_prune": _mixed(_sql(f"SELECT * FROM d WHERE frame >= {_start}")),
+    "meta_derived": _mixed(_sql(f"SELECT match_id, CAST(round_even(23.976::DOUBLE, 0) AS BIGINT) AS fps_rounded, (max(frame) + 1) / 23.976::DOUBLE / 60 AS minutes, {_start} AS start_frame FROM d GROUP BY match_id")),
+    "meta_frame_metrics": _mixed(ORACLES["frame_metrics"]),
+    "meta_run_summary": _mixed(ORACLES["run_summary"]),
+    "meta_distance_speed": _mixed(ORACLES["ext_distance_speed"]),
+}

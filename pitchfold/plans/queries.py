@@ -12,6 +12,8 @@ from ..sources import tables
 
 #: The synthetic video begins at minute 20; this start cuts some of it off.
 LATER = Tracking(start_minute=20.25)
+#: Matches of the queries with metadata, in events, and a start that cuts some of each match off.
+SHORT_MATCH, EARLIER = 1000, Tracking(start_minute=16.07)
 #: An affine map with a slight perspective, for the extension's query.
 HOMOGRAPHY = ((0.05, 0.002, -2.0), (0.001, 0.06, -1.5), (0.0, 0.0001, 1.0))
 
@@ -127,11 +129,11 @@ def static_ids(spark, sf_dir):
 
 
 def run_summary(spark, sf_dir):
-    return metrics.run_summary(_source(spark, sf_dir), _tracks(spark, sf_dir), _balls(spark, sf_dir), _log(spark, sf_dir))
+    return metrics.run_summary(_source(spark, sf_dir), _log(spark, sf_dir))
 
 
 def frame_metrics(spark, sf_dir):
-    return metrics.frame_metrics(_source(spark, sf_dir), _balls(spark, sf_dir), _log(spark, sf_dir))
+    return metrics.frame_metrics(_source(spark, sf_dir), _log(spark, sf_dir))
 
 
 def progress_every_150(spark, sf_dir):
@@ -151,7 +153,7 @@ def progress_lines(spark, sf_dir):
 
 
 def palette_colors(spark, sf_dir):
-    return report.palette(spark)
+    return report.colours_of(_observed(spark, sf_dir))
 
 
 def ext_heatmap(spark, sf_dir):
@@ -166,6 +168,41 @@ def ext_homography(spark, sf_dir):
     return ext.to_field(_observed(spark, sf_dir), HOMOGRAPHY)
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Detections of shorter matches, and their metadata: two picture sizes and two rates."""
+    rows = tables.detections(spark, sf_dir, events_per_match=SHORT_MATCH)
+    return rows, tables.mixed_video_meta(rows)
+
+
+def meta_player_filter(spark, sf_dir):
+    rows, meta = _mixed(spark, sf_dir)
+    return detections.valid_players(rows, meta=meta)
+
+
+def meta_start_prune(spark, sf_dir):
+    rows, meta = _mixed(spark, sf_dir)
+    return detections.from_start_minute(rows, meta, EARLIER)
+
+
+def meta_derived(spark, sf_dir):
+    return tables.video_meta_derived(_mixed(spark, sf_dir)[1], EARLIER)
+
+
+def meta_frame_metrics(spark, sf_dir):
+    rows, meta = _mixed(spark, sf_dir)
+    return metrics.frame_metrics(rows, identity.resolve(detections.player_tracks(rows, meta=meta)), meta=meta)
+
+
+def meta_run_summary(spark, sf_dir):
+    rows, meta = _mixed(spark, sf_dir)
+    return metrics.run_summary(rows, identity.resolve(detections.player_tracks(rows, meta=meta)), meta=meta)
+
+
+def meta_distance_speed(spark, sf_dir):
+    rows, meta = _mixed(spark, sf_dir)
+    return ext.distance_speed(identity.observations(identity.resolve(detections.player_tracks(rows, meta=meta))), meta=meta)
+
+
 def associated_tracks(spark, sf_dir):
     """Players' and balls' tracks made from detections alone, each with its own parameters."""
     players, balls = association.player_tracks(_source(spark, sf_dir)), association.ball_tracks(_source(spark, sf_dir))
@@ -220,6 +257,12 @@ QUERIES = {
         ext_heatmap,
         ext_distance_speed,
         ext_homography,
+        meta_player_filter,
+        meta_start_prune,
+        meta_derived,
+        meta_frame_metrics,
+        meta_run_summary,
+        meta_distance_speed,
         *ASSOCIATED,
     )
 }

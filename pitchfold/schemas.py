@@ -5,6 +5,6 @@ DETECTIONS = "match_id bigint, frame bigint, ord bigint, x1 float, y1 float, x2
 TRACKS_PLAYER = "match_id bigint, frame bigint, ord bigint, tid bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
 TRACKS_BALL = "match_id bigint, frame bigint, ord bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, conf float"
 ASSOCIATED = "match_id bigint, frame bigint, ord bigint, tid bigint, x1 double, y1 double, x2 double, y2 double, conf double, det_ord bigint"
-RESOLVED = TRACKS_PLAYER + ", cx bigint, cy bigint, occluded boolean, id int, outcome string, status string, free int, static int"
+RESOLVED = TRACKS_PLAYER + ", cx bigint, cy bigint, occluded boolean, id int, outcome string, status string, reid_d2 bigint, free int, static int"
 OBSERVATIONS = ["match_id", "frame", "id", "x", "y", "x1", "y1", "x2", "y2", "en_oclusion"]
 BALL_OBSERVATIONS = ["match_id", "frame", "x", "y"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BALL, PLAYER, Tracking
@@ -18,7 +18,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.option("header", True).csv(path) if path.endswith(".csv") else reader.parquet(path)
 
 
-def synthetic_detections(events: DataFrame) -> DataFrame:
+def synthetic_detections(events: DataFrame, events_per_match: int = EVENTS_PER_MATCH) -> DataFrame:
     """A deterministic video: boxes, classes and tracker ids out of (event_id, user_id, event_type, props).
 
     The number in ``props`` is parsed, and the columns are computed, once a row:
@@ -31,7 +31,7 @@ def synthetic_detections(events: DataFrame) -> DataFrame:
     still = slot % 5 == 0
     epoch = F.floor((n + slot * 90) / 1440)
     e = e.select(
-        F.floor(n / EVENTS_PER_MATCH).alias("match_id"),
+        F.floor(n / events_per_match).alias("match_id"),
         (FIRST_FRAME + F.floor(n / EVENTS_PER_FRAME)).alias("frame"),
         n.alias("ord"),
         (slot + 1 + 16 * epoch).alias("tid"),
@@ -46,12 +46,12 @@ def synthetic_detections(events: DataFrame) -> DataFrame:
     return e.select(F.inline(F.array(box)))
 
 
-def detections(spark: SparkSession, sf_dir: str, first_frame: int | None = None) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, first_frame: int | None = None, events_per_match: int = EVENTS_PER_MATCH) -> DataFrame:
     """The synthetic video, from a frame on if given: the scan then skips what lies before."""
     events = read_table(spark, f"{sf_dir}/events.parquet")
     if first_frame is not None:
         events = events.where(F.col("event_id") >= (first_frame - FIRST_FRAME) * EVENTS_PER_FRAME)
-    return synthetic_detections(events)
+    return synthetic_detections(events, events_per_match)
 
 
 def store_detections(rows: DataFrame, path: str) -> DataFrame:
@@ -60,13 +60,18 @@ def store_detections(rows: DataFrame, path: str) -> DataFrame:
     return read_table(rows.sparkSession, path)
 
 
-def finite(rows: DataFrame) -> DataFrame:
-    """Ingestion guard: boxes with a missing or non-finite corner go."""
+def is_finite() -> Column:
+    """Whether no corner of a box is missing or non-finite."""
     ok = F.lit(True)
     for c in CORNERS:
         x = F.col(c).cast("double")
         ok &= x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return rows.where(ok)
+    return ok
+
+
+def finite(rows: DataFrame) -> DataFrame:
+    """Ingestion guard: boxes with a missing or non-finite corner go."""
+    return rows.where(is_finite())
 
 
 def tracker_ids(tracks: DataFrame) -> DataFrame:
@@ -96,5 +101,39 @@ def video_meta_derived(meta: DataFrame, config: Tracking = Tracking()) -> DataFr
     )
 
 
+#: Of the query's videos: frames a second, width and height of matches with an even and with an odd number.
+MIXED_VIDEOS = ((23.976, 1280, 720), (29.97, 640, 200))
+
+
+def mixed_video_meta(rows: DataFrame) -> DataFrame:
+    """Metadata of synthetic matches that were filmed in two sizes and at two rates."""
+    odd = F.col("match_id") % 2 == 1
+    values = [F.when(odd, F.lit(b)).otherwise(F.lit(a)).alias(c) for c, a, b in zip(("fps", "width", "height"), *MIXED_VIDEOS, strict=True)]
+    totals = rows.groupBy("match_id").agg((F.max("frame") + 1).alias("total_frames"))
+    return totals.select("match_id", values[0], "total_frames", *values[1:])
+
+
+#: Names of the metadata's columns beside a match's rows.
+FPS, WIDTH, HEIGHT = "video_fps", "video_width", "video_height"
+
+
+def with_meta(rows: DataFrame, meta: DataFrame | None, config: Tracking = Tracking()) -> DataFrame:
+    """The rows with their match's rate and picture size, the configuration's where the match has none or no metadata is given.
+
+    A join by match, which the optimizer makes a broadcast as long as the
+    metadata is known to be small; a row a match, of repeated ones the largest.
+    """
+    values = {FPS: float(config.fps), WIDTH: config.width, HEIGHT: config.height}
+    if meta is None:
+        return rows.withColumns({c: F.lit(v) for c, v in values.items()})
+    one = meta.groupBy("match_id").agg(F.max(F.struct("fps", "width", "height")).alias("m"))
+    one = one.select("match_id", F.col("m.fps").cast("double").alias(FPS), F.col("m.width").alias(WIDTH), F.col("m.height").alias(HEIGHT))
+    return rows.join(one, "match_id", "left").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
+
+
+def without_meta(rows: DataFrame) -> DataFrame:
+    return rows.drop(FPS, WIDTH, HEIGHT)
+
+
 def start_frame(fps, config: Tracking = Tracking()):
     return (F.lit(float(config.start_minute)) * 60 * fps).cast("bigint")

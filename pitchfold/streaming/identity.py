@@ -28,7 +28,7 @@ from ..operators.identity import Fold, Slot
 
 LATE = "late"
 _TRACK = ["frame", "ord", "tid", "x1", "y1", "x2", "y2"]
-_OUT = ["match_id", *_TRACK, "cx", "cy", "occluded", "id", "outcome", "status", "free", "static"]
+_OUT = ["match_id", *_TRACK, "cx", "cy", "occluded", "id", "outcome", "status", "reid_d2", "free", "static"]
 #: ``newest``: largest frame that has come; ``folded``: largest frame that is folded.
 STATE = "newest bigint, folded bigint, tid array<bigint>, x array<bigint>, y array<bigint>, frame array<bigint>, dead array<boolean>, seen array<array<bigint>>"
 PENDING = ", ".join(f"{c} bigint" for c in _TRACK)
@@ -53,7 +53,7 @@ def _folded(match: int, fold: Fold, rows: list[tuple]) -> list[tuple]:
 
 def _frame(out: list[tuple]) -> pd.DataFrame:
     done = pd.DataFrame(out, columns=_OUT)
-    done["id"] = done["id"].astype("Int32")
+    done["id"], done["reid_d2"] = done["id"].astype("Int32"), done["reid_d2"].astype("Int64")
     return done
 
 
@@ -89,7 +89,7 @@ class IdentityProcessor(StatefulProcessor):
                 if row[2] < 1:
                     continue
                 if row[0] <= folded:
-                    out.append((match, *row, (row[3] + row[5]) // 2, (row[4] + row[6]) // 2, False, None, LATE, LATE, fold.free, fold.static))
+                    out.append((match, *row, (row[3] + row[5]) // 2, (row[4] + row[6]) // 2, False, None, LATE, LATE, None, fold.free, fold.static))
                 else:
                     new.append(row)
         closed = newest - self.lag - 1

@@ -213,7 +213,7 @@ def test_whole_way_from_detections(spark):
     assert rows_of(both.where("kind = 'player'").select("match_id", "frame", "ord", "tid")) == rows_of(players.select("match_id", "frame", "ord", "tid"))
     own = identity.Fold()
     log = [own.step(r.frame, r.tid, r.x1, r.y1, r.x2, r.y2) for r in players.orderBy("frame", "ord").collect()]
-    assert queries.associated_observations(spark, SF).count() == sum(status == "exported" and id not in {k for _, _, _, k, _, s in log if s == "tombstoned"} for *_, id, _, status in log)
+    assert queries.associated_observations(spark, SF).count() == sum(r[5] == "exported" and r[3] not in {t[3] for t in log if t[5] == "tombstoned"} for r in log)
     best = queries.associated_ball(spark, SF)
     assert rows_of(best.select("match_id", "frame", "x", "y")) == rows_of(ball.best_ball(association.ball_tracks(rows)).select("match_id", "frame", "x", "y"))
     plain = PlainTracker(PLAYER_TRACKS)

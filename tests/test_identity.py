@@ -72,7 +72,7 @@ def test_static_id_goes_back_to_the_pool():
             fold.step(i, tid, *_at(tid * 100, 100 + (0 if tid == 3 else 30 * i)))
     assert fold.step(47, 3, *_at(300, 100))[5] == TOMBSTONED
     assert fold.free == 13 - 5 + 1
-    assert fold.step(48, 77, *_at(900, 900))[3:] == (3, "recycled", HIDDEN)
+    assert fold.step(48, 77, *_at(900, 900))[3:6] == (3, "recycled", HIDDEN)
 
 
 def test_occlusion():
@@ -110,7 +110,7 @@ def _match(seed: int, frames: int = 150, tracks: int = 18) -> list[tuple]:
 def test_invariants(seed):
     fold, seen = Fold(), set()
     for _, frame, _, tid, *corners in _match(seed):
-        *_, k, outcome, status = fold.step(frame, tid, *corners)
+        *_, k, outcome, status, _ = fold.step(frame, tid, *corners)
         assert k is None or 1 <= k <= 13
         assert outcome != "duplicate"
         if status == EXPORTED:
@@ -211,7 +211,7 @@ def test_empty_tracks(spark):
 def test_a_smaller_pool():
     fold = Fold(Tracking(players=1))
     assert fold.step(0, 1, *_at(0, 0))[3] == 1
-    assert fold.step(0, 2, *_at(500, 0))[3:] == (None, "unresolved", "dropped")
+    assert fold.step(0, 2, *_at(500, 0))[3:6] == (None, "unresolved", "dropped")
 
 
 def test_nearest_absent_track_across_cells(spark):

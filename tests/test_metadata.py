@@ -1,0 +1,73 @@
+"""Each match has its own rate and picture size, in batch and on a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pitchfold import schemas
+from pitchfold.config import Tracking
+from pitchfold.operators import detections, ext, metrics
+from pitchfold.operators.identity import observations, resolve
+from pitchfold.sources import tables
+
+DETECTIONS = "match_id bigint, frame bigint, ord bigint, tid bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, conf double, cls int"
+META = [(1, 25.0, 1000, 1280, 720), (2, 50.0, 1000, 640, 360)]
+
+
+def boxes(spark):
+    return spark.createDataFrame([(m, f, 10 * f + k, k + 1, x, 100 + f, x + 30, 160 + f, 0.9, 0) for m in (1, 2, 3, None) for f in range(1, 4) for k, x in enumerate((100, 619, 621, 1261))], DETECTIONS)
+
+
+def kept(df) -> dict:
+    return {r["match_id"]: r["n"] for r in df.groupBy("match_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def test_margins_follow_the_match(spark):
+    meta = spark.createDataFrame(META, schemas.VIDEO_META)
+    rows = boxes(spark)
+    assert kept(detections.valid_players(rows, meta=meta)) == {1: 9, 2: 6, 3: 9, None: 9}  # 3 has no metadata: the configuration's size
+    assert detections.valid_players(rows, meta=meta).columns == rows.columns
+    assert kept(detections.valid_players(rows, meta=meta.limit(0))) == kept(detections.valid_players(rows))
+    twice = meta.unionByName(meta.withColumn("width", F.lit(1)))
+    assert kept(detections.valid_players(rows, meta=twice)) == {1: 9, 2: 6, 3: 9, None: 9}
+
+
+def test_minutes_starts_and_speeds_follow_the_match(spark):
+    meta = spark.createDataFrame(META, schemas.VIDEO_META)
+    rows = boxes(spark)
+    log = resolve(detections.player_tracks(rows, meta=meta).where("match_id < 3"))
+    minutes = {r["match_id"]: r["minute"] for r in metrics.frame_metrics(rows.where("match_id < 3"), log, meta=meta).where("frame = 3").collect()}
+    assert minutes == {1: 3 / 25 / 60, 2: 3 / 50 / 60}
+    speeds = {r["match_id"]: r["top_speed"] for r in ext.distance_speed(observations(log), meta=meta).where("id = 1").collect()}
+    assert speeds == {1: 25.0, 2: 50.0}
+    later = detections.from_start_minute(rows, meta, Tracking(start_minute=2.5 / 60 / 25))  # frame 2 at one rate, 5 at the other
+    assert kept(later) == {1: 8, 3: 8, None: 8}
+
+
+def test_a_stream_meets_the_metadata(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    meta = spark.createDataFrame(META, schemas.VIDEO_META)
+    boxes(spark).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(DETECTIONS).parquet(f"{folder}/in")
+    query = detections.valid_players(stream, meta=meta).writeStream.format("parquet").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start(f"{folder}/out")
+    assert query.awaitTermination(120)
+    assert kept(spark.read.parquet(f"{folder}/out")) == kept(detections.valid_players(boxes(spark), meta=meta))
+
+
+def test_frames_between_are_filled(spark):
+    rows = spark.createDataFrame([(1, 3, 5, "a"), (1, 6, 7, "b"), (2, 1, 1, "c")], "match_id bigint, frame bigint, n bigint, s string")
+    assert sorted(map(tuple, detections.every_frame(rows, ["n"]).collect())) == [(1, 3, 5, "a"), (1, 4, 0, "a"), (1, 5, 0, "a"), (1, 6, 7, "b"), (2, 1, 1, "c")]
+
+
+def test_the_ball_may_be_tracks(spark):
+    rows = boxes(spark).where("match_id = 1")
+    log = resolve(detections.player_tracks(rows))
+    balls = spark.createDataFrame([(1, 2)], "match_id bigint, frame bigint")
+    assert [r["ball_detected"] for r in metrics.frame_metrics(rows, log, balls=balls).orderBy("frame").collect()] == [False, True, False]
+    assert metrics.run_summary(rows, log, balls=balls).first()["ball_frames"] == 1
+
+
+def test_one_scan_serves_all_counts(spark):
+    """The plan of the run's summary reads detections once for its counts and once for the tracks."""
+    plan = metrics.run_summary(rows := tables.detections(spark, "/root/testdata/sf0.001"), resolve(detections.player_tracks(rows)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
