@@ -29,6 +29,9 @@ class Tracking:
     width: int = 1280
     height: int = 720
     fps: float = 23.976
+    #: Re-identification also asks for looks so similar; None leaves looks out. A slot keeps this much of its look at each sighting.
+    min_cosine: float | None = None
+    look_kept: float = 0.9
 
     @property
     def hop(self) -> int:

@@ -7,8 +7,9 @@ is one slot for each id, so a task needs no match as a whole in memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from math import sqrt, sumprod
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,6 +33,7 @@ class Slot:
     frame: int = -1
     dead: bool = False
     seen: list = field(default_factory=list)
+    look: list[float] | None = None
 
 
 class Fold:
@@ -63,7 +65,24 @@ class Fold:
                 return True
         return False
 
-    def _choose(self, frame: int, tid: int, x: int, y: int) -> tuple[int | None, str, int | None]:
+    def _alike(self, slot: Slot, look: Sequence[float] | None) -> bool:
+        """Whether a look may be the slot's; one that is missing or zero may be anyone's."""
+        if self.config.min_cosine is None or look is None or slot.look is None or len(look) != len(slot.look):
+            return True
+        size = sqrt(sumprod(look, look) * sumprod(slot.look, slot.look))
+        return size == 0 or sumprod(look, slot.look) >= self.config.min_cosine * size
+
+    def _remember(self, slot: Slot, look: Sequence[float] | None, begins: bool) -> None:
+        """One vector a slot: the mean of its looks, where later ones weigh more; a new owner begins anew."""
+        if self.config.min_cosine is None:
+            return
+        if begins or slot.look is None or (look is not None and len(look) != len(slot.look)):
+            slot.look = None if look is None else [float(v) for v in look]
+        elif look is not None:
+            k = self.config.look_kept
+            slot.look = [k * a + (1 - k) * float(b) for a, b in zip(slot.look, look, strict=True)]
+
+    def _choose(self, frame: int, tid: int, x: int, y: int, look: Sequence[float] | None) -> tuple[int | None, str, int | None]:
         """Slot for a clear track: its own, else the lowest free one, else the nearest that is absent; and how far, squared, that is."""
         k = self.by_tid.get(tid)
         if k is not None:
@@ -74,7 +93,7 @@ class Fold:
         reach = []
         for k, slot in enumerate(self.slots):
             d2 = (slot.x - x) ** 2 + (slot.y - y) ** 2
-            if k not in self.active and frame - slot.frame >= self.config.min_absence and d2 <= self.config.max_distance**2:
+            if k not in self.active and frame - slot.frame >= self.config.min_absence and d2 <= self.config.max_distance**2 and self._alike(slot, look):
                 reach.append((d2, k))
         return (min(reach)[1], "reid", min(reach)[0]) if reach else (None, "unresolved", None)
 
@@ -88,8 +107,11 @@ class Fold:
         del slot.seen[: -self.config.window_kept]
         return False
 
-    def step(self, frame: int, tid: int, x1: int, y1: int, x2: int, y2: int) -> tuple[int, int, bool, int | None, str, str, int | None]:
-        """(cx, cy, occluded, id or None, outcome, status, squared distance of a re-identification) of one track."""
+    def step(self, frame: int, tid: int, x1: int, y1: int, x2: int, y2: int, look: Sequence[float] | None = None) -> tuple[int, int, bool, int | None, str, str, int | None]:
+        """(cx, cy, occluded, id or None, outcome, status, squared distance of a re-identification) of one track.
+
+        ``look`` is a vector of its appearance, if there is one; that of a covered player is not used.
+        """
         if frame != self.frame:
             self.frame, self.active, self.boxes = frame, set(), []
         box, x, y = (x1, y1, x2, y2), (x1 + x2) // 2, (y1 + y2) // 2
@@ -104,7 +126,7 @@ class Fold:
             slot.x, slot.y, slot.frame = x, y, frame
             self.active.add(k)
             return x, y, True, k + 1, "known", OCCLUDED, None
-        k, outcome, d2 = self._choose(frame, tid, x, y)
+        k, outcome, d2 = self._choose(frame, tid, x, y, look)
         if k is None:
             return x, y, False, None, outcome, DROPPED, None
         slot = self.slots[k]
@@ -114,6 +136,7 @@ class Fold:
         slot.x, slot.y, slot.frame = x, y, frame
         self.active.add(k)
         self.boxes.append(box)
+        self._remember(slot, look, outcome in ("new", "recycled"))
         if slot.dead:
             return x, y, False, k + 1, outcome, HIDDEN, d2
         slot.seen.append((x, y))
@@ -130,24 +153,36 @@ _OUT = ("cx", "cy", "occluded", "id", "outcome", "status", "reid_d2", "free", "s
 
 
 def resolve(tracks: DataFrame, config: Tracking = Tracking()) -> DataFrame:
-    """The resolved log: every track with its center, id, outcome, status, and the counts of free and static ids after it."""
+    """The resolved log: every track with its center, id, outcome, status, and the counts of free and static ids after it.
+
+    With ``min_cosine`` set, a column ``look`` of the tracks (an array, null
+    where unknown) is asked beside the distance when an id is found again.
+    """
+    looks = ("look",) if config.min_cosine is not None else ()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match, fold = None, Fold(config)
         for part in frames:
             out = []
-            for own, frame, _, tid, *corners in part[list(_IN)].itertuples(index=False, name=None):
+            for own, frame, _, tid, *rest in part[[*_IN, *looks]].itertuples(index=False, name=None):
                 if own != match:
                     match, fold = own, Fold(config)
-                out.append((*fold.step(frame, tid, *corners), fold.free, fold.static))
+                out.append((*fold.step(frame, tid, *rest), fold.free, fold.static))
             done = pd.DataFrame(out, columns=list(_OUT), index=part.index)
             done["id"], done["reid_d2"] = done["id"].astype("Int32"), done["reid_d2"].astype("Int64")
             yield pd.concat([part[list(_IN)], done], axis=1)
 
-    ordered = tracks.select(*_IN).repartition("match_id").sortWithinPartitions("match_id", "frame", "ord")
+    given = [F.col("look").cast("array<double>").alias("look")] if looks else []
+    ordered = tracks.select(*_IN, *given).repartition("match_id").sortWithinPartitions("match_id", "frame", "ord")
     return ordered.mapInPandas(run, schemas.RESOLVED)
 
 
+def with_looks(tracks: DataFrame, looks: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Tracks with the appearance vector of their tracker id; null for ids without one. A join by id, of repeated ids the least vector."""
+    one = looks.groupBy(F.col(id_col).alias("tid")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("look"))
+    return tracks.join(one, "tid", "left")
+
+
 def static_ids(log: DataFrame) -> DataFrame:
     """(match_id, id) of the ids that the fold took for static objects."""
     return log.where(F.col("status") == TOMBSTONED).select("match_id", "id").distinct()

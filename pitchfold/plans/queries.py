@@ -14,6 +14,7 @@ from ..sources import tables
 LATER = Tracking(start_minute=20.25)
 #: Matches of the queries with metadata, in events, and a start that cuts some of each match off.
 SHORT_MATCH, EARLIER = 1000, Tracking(start_minute=16.07)
+LOOKS = Tracking(min_cosine=0.3)
 #: An affine map with a slight perspective, for the extension's query.
 HOMOGRAPHY = ((0.05, 0.002, -2.0), (0.001, 0.06, -1.5), (0.0, 0.0001, 1.0))
 
@@ -203,6 +204,12 @@ def meta_distance_speed(spark, sf_dir):
     return ext.distance_speed(identity.observations(identity.resolve(detections.player_tracks(rows, meta=meta))), meta=meta)
 
 
+def reid_by_look(spark, sf_dir):
+    """Re-identification that also asks for a similar look; an embedding stands for the look of the track of its number."""
+    tracks = identity.with_looks(_tracks(spark, sf_dir), tables.read_table(spark, f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return identity.resolve(tracks, LOOKS)
+
+
 def associated_tracks(spark, sf_dir):
     """Players' and balls' tracks made from detections alone, each with its own parameters."""
     players, balls = association.player_tracks(_source(spark, sf_dir)), association.ball_tracks(_source(spark, sf_dir))
@@ -219,8 +226,8 @@ def associated_ball(spark, sf_dir):
     return ball.best_ball(association.ball_tracks(_source(spark, sf_dir)))
 
 
-#: The filter and the assignment are no SQL; tests hold these against a plain tracker.
-ASSOCIATED = (associated_tracks, associated_observations, associated_ball)
+#: Filters, assignment and means of vectors are no SQL; tests hold these against plain loops.
+ASSOCIATED = (associated_tracks, associated_observations, associated_ball, reid_by_look)
 
 QUERIES = {
     f.__name__: f

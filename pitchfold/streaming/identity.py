@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas
@@ -30,25 +31,34 @@ LATE = "late"
 _TRACK = ["frame", "ord", "tid", "x1", "y1", "x2", "y2"]
 _OUT = ["match_id", *_TRACK, "cx", "cy", "occluded", "id", "outcome", "status", "reid_d2", "free", "static"]
 #: ``newest``: largest frame that has come; ``folded``: largest frame that is folded.
-STATE = "newest bigint, folded bigint, tid array<bigint>, x array<bigint>, y array<bigint>, frame array<bigint>, dead array<boolean>, seen array<array<bigint>>"
-PENDING = ", ".join(f"{c} bigint" for c in _TRACK)
+STATE = "newest bigint, folded bigint, tid array<bigint>, x array<bigint>, y array<bigint>, frame array<bigint>, dead array<boolean>, seen array<array<bigint>>, look array<array<double>>"
+PENDING = ", ".join(f"{c} bigint" for c in _TRACK) + ", look array<double>"
 
 
 def dump(fold: Fold) -> tuple:
     """Slots as plain lists; the sightings of a slot as x, y, x, y ..."""
     s = fold.slots
-    return [x.tid for x in s], [x.x for x in s], [x.y for x in s], [x.frame for x in s], [x.dead for x in s], [[v for p in x.seen for v in p] for x in s]
+    return [x.tid for x in s], [x.x for x in s], [x.y for x in s], [x.frame for x in s], [x.dead for x in s], [[v for p in x.seen for v in p] for x in s], [x.look for x in s]
 
 
-def load(config: Tracking, tid: list, x: list, y: list, frame: list, dead: list, seen: list) -> Fold:
+def load(config: Tracking, tid: list, x: list, y: list, frame: list, dead: list, seen: list, look: list) -> Fold:
     fold = Fold(config)
-    fold.slots = [Slot(int(t), int(a), int(b), int(f), bool(d), list(zip(map(int, s[::2]), map(int, s[1::2]), strict=True))) for t, a, b, f, d, s in zip(tid, x, y, frame, dead, seen, strict=True)]
+    fold.slots = [Slot(int(t), int(a), int(b), int(f), bool(d), list(zip(map(int, s[::2]), map(int, s[1::2]), strict=True)), None if v is None else [float(e) for e in v]) for t, a, b, f, d, s, v in zip(tid, x, y, frame, dead, seen, look, strict=True)]
     fold.by_tid = {s.tid: k for k, s in enumerate(fold.slots) if s.tid}
     return fold
 
 
 def _folded(match: int, fold: Fold, rows: list[tuple]) -> list[tuple]:
-    return [(match, *row, *fold.step(row[0], *row[2:]), fold.free, fold.static) for row in rows]
+    return [(match, *row[:-1], *fold.step(row[0], *row[2:]), fold.free, fold.static) for row in rows]
+
+
+def _row(row: tuple) -> tuple:
+    """A track with plain values, its look last."""
+    return (*map(int, row[:-1]), None if row[-1] is None else tuple(map(float, row[-1])))
+
+
+def _in_order(rows) -> list[tuple]:
+    return sorted(rows, key=lambda r: r[:-1])
 
 
 def _frame(out: list[tuple]) -> pd.DataFrame:
@@ -83,19 +93,19 @@ class IdentityProcessor(StatefulProcessor):
         newest, folded, fold = self._held()
         out, new = [], []
         for part in rows:
-            for row in part[_TRACK].itertuples(index=False, name=None):
-                row = tuple(map(int, row))
+            for row in part[[*_TRACK, "look"]].itertuples(index=False, name=None):
+                row = _row(row)
                 newest = max(newest, row[0])
                 if row[2] < 1:
                     continue
                 if row[0] <= folded:
-                    out.append((match, *row, (row[3] + row[5]) // 2, (row[4] + row[6]) // 2, False, None, LATE, LATE, None, fold.free, fold.static))
+                    out.append((match, *row[:-1], (row[3] + row[5]) // 2, (row[4] + row[6]) // 2, False, None, LATE, LATE, None, fold.free, fold.static))
                 else:
                     new.append(row)
         closed = newest - self.lag - 1
         if closed > folded:  # else no frame closes, and what waits is left alone
-            held = [*(tuple(map(int, r)) for r in self.pending.get()), *new]
-            out += _folded(match, fold, sorted(r for r in held if r[0] <= closed))
+            held = [*(_row(tuple(r)) for r in self.pending.get()), *new]
+            out += _folded(match, fold, _in_order(r for r in held if r[0] <= closed))
             if held := [r for r in held if r[0] > closed]:
                 self.pending.put(held)
             else:
@@ -110,7 +120,7 @@ class IdentityProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Fold what is left of a match that went silent, and forget it."""
         _, _, fold = self._held()
-        out = _folded(int(key[0]), fold, sorted(tuple(map(int, r)) for r in self.pending.get()))
+        out = _folded(int(key[0]), fold, _in_order(_row(tuple(r)) for r in self.pending.get()))
         self.pending.clear()
         self.state.clear()
         yield _frame(out)
@@ -119,9 +129,9 @@ class IdentityProcessor(StatefulProcessor):
         pass
 
 
-def read_tracks(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """Tracks as files of a folder bring them."""
-    return spark.readStream.schema(schemas.TRACKS_PLAYER).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_tracks(spark: SparkSession, path: str, files_per_batch: int = 100, looks: bool = False) -> DataFrame:
+    """Tracks as files of a folder bring them, with ``looks`` also their appearance."""
+    return spark.readStream.schema(schemas.TRACKS_PLAYER + ", look array<double>" * looks).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def resolve_stream(tracks: DataFrame, config: Tracking = Tracking(), lag: int = 0, idle_ms: int | None = None) -> DataFrame:
@@ -133,4 +143,6 @@ def resolve_stream(tracks: DataFrame, config: Tracking = Tracking(), lag: int =
     row of tracker id 0 closes a match's last frames and its state stays.
     """
     mode = "none" if idle_ms is None else "processingTime"
+    look = F.col("look").cast("array<double>") if config.min_cosine is not None else F.lit(None).cast("array<double>")
+    tracks = tracks.select("match_id", *_TRACK, look.alias("look"))
     return tracks.groupBy("match_id").transformWithStateInPandas(IdentityProcessor(config, lag, idle_ms), outputStructType=schemas.RESOLVED, outputMode="append", timeMode=mode)
