@@ -1,0 +1,134 @@
+"""A stream that is killed, stopped and gone on with leaves what the batch gives; counters come with the write."""
+
+from __future__ import annotations
+
+import random
+import time
+
+import pytest
+
+from pitchfold.operators import detections, identity, metrics
+from pitchfold.sources import tables
+from pitchfold.streaming import progress, sinks
+from pitchfold.streaming.identity import CLOSED, END, open_matches, read_tracks, resolve_stream
+
+TRACKS = "match_id bigint, frame bigint, ord bigint, tid bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
+NAMES = [c.split()[0] for c in TRACKS.split(", ")]
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Two matches in which ids turn out static."""
+    found = [tuple(r) for r in detections.player_tracks(tables.detections(spark, SF)).select(*NAMES).orderBy("frame", "ord").collect()]
+    found = [*found[:2000], *[(1, *r[1:]) for r in found[800:2600]]]
+    log = identity.resolve(spark.createDataFrame(found, TRACKS))
+    assert len({r["match_id"] for r in identity.static_ids(log).collect()}) == 2
+    return found
+
+
+def put(spark, folder: str, batch: list[tuple]) -> None:
+    random.Random(len(batch)).shuffle(batch)
+    spark.createDataFrame(batch, TRACKS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    time.sleep(1.1)  # files of a folder are taken in order of their time
+
+
+def cut(rows: list[tuple], parts: int) -> list[list[tuple]]:
+    """The rows of both matches in batches by frame; the last one ends both."""
+    first, last = min(r[1] for r in rows), max(r[1] for r in rows)
+    edges = [first + (last + 1 - first) * k // parts for k in range(parts + 1)]
+    out = [[r for r in rows if a <= r[1] < b] for a, b in zip(edges, edges[1:])]
+    out[-1] += [(m, last, 0, END, 0, 0, 0, 0) for m in (0, 1)]
+    return out
+
+
+def plain(df) -> list[tuple]:
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_killed_between_batches(spark, tmp_path, rows):
+    folder = f"file://{tmp_path}"
+    for batch in cut(rows, 4):
+        put(spark, folder, batch)
+    expected = identity.observations(identity.resolve(spark.createDataFrame(rows, TRACKS)))
+    real, died = sinks.finished_matches(f"{folder}/out"), []
+
+    def dies(batch, batch_id):
+        if batch_id in (1, 3) and batch_id not in died:
+            died.append(batch_id)
+            if batch_id == 3:
+                real(batch, batch_id)  # all is written, but the batch is not committed
+            else:
+                batch.write.mode("overwrite").partitionBy("match_id").parquet(f"{folder}/out/log/batch={batch_id}")
+            raise RuntimeError("killed")
+        real(batch, batch_id)
+
+    for _ in range(3):
+        log = resolve_stream(read_tracks(spark, f"{folder}/in", 1), lag=1, tell_end=True)
+        query = sinks.start(log, f"{folder}/out", f"{folder}/check", available_now=True, write=dies)
+        try:
+            query.awaitTermination(240)
+        except Exception as e:  # noqa: BLE001
+            assert "RuntimeError: killed" in str(e), str(e)[-1500:]
+    assert died == [1, 3]
+    assert plain(spark.read.parquet(f"{folder}/out/observations").select(*expected.columns)) == plain(expected)
+    assert open_matches(spark, f"{folder}/check").count() == 0
+
+
+def test_stop_and_go_on_in_the_middle_of_a_match(spark, tmp_path, rows):
+    folder = f"file://{tmp_path}"
+    batches = cut(rows, 4)
+    logs = []
+    for part, name in ((batches[:2], "before"), (batches[2:], "after")):
+        for batch in part:
+            put(spark, folder, batch)
+        log = resolve_stream(read_tracks(spark, f"{folder}/in", 1), lag=3, tell_end=True)
+        query = log.writeStream.format("parquet").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start(f"{folder}/log")
+        assert query.awaitTermination(240)
+        if name == "before":
+            held = {r["match_id"]: r for r in open_matches(spark, f"{folder}/check").collect()}
+            assert set(held) == {0, 1}
+            newest = {m: max(r[1] for b in batches[:2] for r in b if r[0] == m) for m in (0, 1)}
+            assert {m: (r["newest"], r["folded"]) for m, r in held.items()} == {m: (n, n - 4) for m, n in newest.items()}
+            assert all(sum(t > 0 for t in r["tid"]) > 3 for r in held.values())
+            assert {m: r["waiting"] for m, r in held.items()} == {m: sum(r[0] == m and r[1] > newest[m] - 4 for b in batches[:2] for r in b) for m in held}
+            logs.append(spark.read.parquet(f"{folder}/log").count())
+    expected = identity.resolve(spark.createDataFrame(rows, TRACKS))
+    got = spark.read.parquet(f"{folder}/log").where(f"status <> '{CLOSED}'").select(*expected.columns)
+    assert plain(got) == plain(expected) and 0 < logs[0] < len(rows)
+    assert open_matches(spark, f"{folder}/check").count() == 0
+
+
+def test_counters_come_with_the_stream(spark, tmp_path, rows):
+    folder = f"file://{tmp_path}"
+    batches = cut(rows, 3)
+    for batch in batches:
+        put(spark, folder, batch)
+    listener = progress.RunTotals()
+    spark.streams.addListener(listener)
+    try:
+        log = progress.observe_stream(resolve_stream(read_tracks(spark, f"{folder}/in", 1), tell_end=True))
+        query = log.writeStream.format("parquet").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start(f"{folder}/log")
+        assert query.awaitTermination(240)
+        whole, seen = progress.observe_log(identity.resolve(spark.createDataFrame(rows, TRACKS)))
+        whole.write.format("noop").mode("overwrite").save()
+        for _ in range(50):
+            if listener.totals["closed"] == 2:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert {k: v for k, v in listener.totals.items() if k != "closed"} == {k: v for k, v in seen.get.items() if v}
+    assert seen.get["tracks"] == len(rows)
+
+
+def test_observed_counters_equal_the_summary(spark, tmp_path):
+    sf = "/root/testdata/sf0.1"
+    rows = tables.detections(spark, sf)
+    log = identity.resolve(detections.player_tracks(rows))
+    frames, seen = progress.observe_frames(metrics.frame_table(rows, log))
+    frames.write.parquet(f"file://{tmp_path}/frames")
+    names = ("frames", "frames_without_tracks", "dets_raw", "dets_valid", "ball_frames", "player_rows")
+    summary = metrics.run_summary(rows, log).collect()
+    assert len(summary) == 10
+    assert seen.get == {c: sum(r[c] for r in summary) for c in names}
