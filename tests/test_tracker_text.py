@@ -1,0 +1,72 @@
+"""Trackers' text files as a table and as a stream."""
+
+from __future__ import annotations
+
+import time
+
+import pytest
+
+from pitchfold.operators import association, detections
+from pitchfold.sources import tables, tracker_text
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    tracker_text.register(spark)
+    for m in (3, 12):
+        (tmp_path / f"match-{m}.txt").write_text("".join(f"{f},{k},{100 + 9 * k}.5,{60 + m},30,60,0.9,{0 if k else 32},1\n" for f in range(20, 60) for k in range(4)))
+    (tmp_path / "match-7.txt").write_text("")
+    (tmp_path / "_notes.txt").write_text("x")
+    (tmp_path / "readme").write_text("x")
+    return tmp_path
+
+
+def expected(m: int, first: int = 0) -> list[tuple]:
+    return [(m, f, 4 * (f - 20) + k, k, 100.5 + 9 * k, 60.0 + m, 130.5 + 9 * k, 120.0 + m, 0.9, 0 if k else 32) for f in range(20, 60) for k in range(4) if f >= first]
+
+
+def read(spark, folder):
+    return spark.read.format("tracker_text").load(str(folder))
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_whole_folder(spark, folder):
+    assert rows_of(read(spark, folder)) == sorted(expected(3) + expected(12))
+    assert rows_of(read(spark, f"file://{folder}")) == sorted(expected(3) + expected(12))
+
+
+def test_filters_leave_files_and_lines_out(spark, folder):
+    for where, parts, rows in (("match_id = 12", 1, expected(12)), ("match_id IN (3, 99) AND frame >= 50", 1, expected(3, 50)), ("frame > 57", 3, expected(3, 58) + expected(12, 58)), ("match_id = 5", 1, []), ("frame >= 58 AND tid = 2", 3, [r for r in expected(3, 58) + expected(12, 58) if r[3] == 2])):
+        found = read(spark, folder).where(where)
+        assert rows_of(found) == sorted(rows)
+        assert found.rdd.getNumPartitions() == parts
+
+
+def test_a_broken_line_is_an_error(spark, folder):
+    (folder / "match-9.txt").write_text("1,2,3,4,5,6,0.5,0\n1,oops,3,4,5,6,0.5,0\n")
+    with pytest.raises(Exception, match="oops|conversion"):
+        read(spark, folder).where("match_id = 9").collect()
+
+
+def test_as_a_stream(spark, folder, tmp_path_factory):
+    out = tmp_path_factory.mktemp("out")
+
+    def run():
+        query = spark.readStream.format("tracker_text").load(str(folder)).writeStream.format("parquet").option("checkpointLocation", f"file://{out}/check").trigger(availableNow=True).start(f"file://{out}/rows")
+        assert query.awaitTermination(120)
+        return rows_of(spark.read.parquet(f"file://{out}/rows"))
+
+    assert run() == sorted(expected(3) + expected(12))
+    time.sleep(0.1)
+    (folder / "match-1.txt").write_text("1,2,3,4,5,6,0.5,0\n")
+    assert run() == sorted([(1, 1, 0, 2, 3.0, 4.0, 8.0, 10.0, 0.5, 0), *expected(3), *expected(12)])
+    assert run() == sorted([(1, 1, 0, 2, 3.0, 4.0, 8.0, 10.0, 0.5, 0), *expected(3), *expected(12)])
+
+
+def test_operators_take_it(spark, folder):
+    rows = read(spark, folder)
+    assert detections.player_tracks(rows).count() == 2 * 40 * 3
+    assert association.player_tracks(tables.finite(rows)).count() > 0
