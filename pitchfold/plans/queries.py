@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..config import Tracking
 from ..functions.geometry import CORNERS
-from ..operators import association, ball, detections, ext, identity, metrics, overlap, report, static
+from ..operators import association, ball, cameras, detections, ext, identity, metrics, overlap, report, static
 from ..sources import tables
 
 #: The synthetic video begins at minute 20; this start cuts some of it off.
 LATER = Tracking(start_minute=20.25)
 #: Matches of the queries with metadata, in events, and a start that cuts some of each match off.
 SHORT_MATCH, EARLIER = 1000, Tracking(start_minute=16.07)
+#: Where the right camera's picture begins and the left one's ends; how far apart two positions of one player may be.
+CAMERAS, REACH = (300, 500), 8.0
 LOOKS = Tracking(min_cosine=0.3)
 #: An affine map with a slight perspective, for the extension's query.
 HOMOGRAPHY = ((0.05, 0.002, -2.0), (0.001, 0.06, -1.5), (0.0, 0.0001, 1.0))
@@ -210,6 +212,14 @@ def reid_by_look(spark, sf_dir):
     return identity.resolve(tracks, LOOKS)
 
 
+def two_cameras(spark, sf_dir):
+    """The players as two cameras see them, one the left and one the right part of the picture, with ids of its own and a pixel off."""
+    seen = _observed(spark, sf_dir).select("match_id", "frame", "id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    left = seen.where(F.col("px") < CAMERAS[1])
+    right = seen.where(F.col("px") >= CAMERAS[0]).select("match_id", "frame", (14 - F.col("id")).alias("id"), (F.col("px") + 1).alias("px"), "py")
+    return cameras.merged(left, right, REACH, Tracking().players)
+
+
 def associated_tracks(spark, sf_dir):
     """Players' and balls' tracks made from detections alone, each with its own parameters."""
     players, balls = association.player_tracks(_source(spark, sf_dir)), association.ball_tracks(_source(spark, sf_dir))
@@ -226,8 +236,8 @@ def associated_ball(spark, sf_dir):
     return ball.best_ball(association.ball_tracks(_source(spark, sf_dir)))
 
 
-#: Filters, assignment and means of vectors are no SQL; tests hold these against plain loops.
-ASSOCIATED = (associated_tracks, associated_observations, associated_ball, reid_by_look)
+#: Filters, assignment, means of vectors and one-to-one choice are no plain SQL; tests hold these against plain loops.
+ASSOCIATED = (associated_tracks, associated_observations, associated_ball, reid_by_look, two_cameras)
 
 QUERIES = {
     f.__name__: f
