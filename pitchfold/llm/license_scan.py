@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter, deque
+from collections import Counter, OrderedDict, deque
 from pathlib import Path
 
 import pyarrow as pa
@@ -83,25 +83,44 @@ def runs(parts: list[list[str]], holders: dict[tuple[str, str], list[str]], most
     """Number of bigrams, and of those shared with each template, of each run of two or more consecutive parts, up to ``most``.
 
     ``holders`` has the templates of a bigram. Runs that begin or end with a part
-    without any of these are no better than shorter ones.
+    without any of these are no better than shorter ones, nor are those whose
+    last part adds no bigram. Starts are taken from the last part back, and
+    bigrams kept in order of the part they come next in; so a start looks at no
+    more than ``most`` distinct bigrams, however often parts repeat.
     """
-    for i, first in enumerate(parts):
-        own: set = set()
+    place: OrderedDict[tuple[str, str], int] = OrderedDict()  # the nearest last
+
+    def put(gram: tuple[str, str], at: int) -> None:
+        place[gram] = at
+        place.move_to_end(gram)
+
+    for i in range(len(parts) - 1, -1, -1):
+        first = parts[i]
+        if i + 1 < len(parts):
+            put((first[-1], parts[i + 1][0]), i + 1)
+        begins = i + 1 < len(parts) and (first[-1], parts[i + 1][0]) in holders
+        for gram in zip(first, first[1:]):
+            put(gram, i)
+            begins = begins or gram in holders
+        if not begins:
+            continue
+        size, at = 0, i
         common: Counter = Counter()
-        last: list[str] = []
-        for k, part in enumerate(parts[i:]):
-            joined = last + part
-            new = set(zip(joined, joined[1:])) - own
-            own |= new
-            if len(own) > most:
-                break
-            shared = [x for gram in new for x in holders.get(gram, ())]
-            if not k and not shared and (i + 1 == len(parts) or (first[-1], parts[i + 1][0]) not in holders):
+        shared: list[str] = []
+        for gram in reversed(place):
+            if place[gram] != at:  # a part is whole
+                common.update(shared)
+                if shared and at > i:
+                    yield size, common
+                at, shared = place[gram], []
+            size += 1
+            if size > most:
                 break
+            shared += holders.get(gram, ())
+        else:
             common.update(shared)
-            last = joined[-1:]
-            if k and shared:
-                yield len(own), common
+            if shared and at > i:
+                yield size, common
 
 
 def best_window(own: list[tuple[str, str]], template: set[tuple[str, str]], size: int) -> float:
@@ -185,8 +204,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: doc_id, matches = array of (template, dice), best first.
 
     Null and empty texts match nothing. Ties go by the template's name. Repeated
-    rows are scanned each for itself. A text of any length is scanned whole, in
-    steps of a window. An empty table gives an empty result; other columns are ignored.
+    rows are scanned each for itself. A text of any length is scanned whole, its
+    windows in steps of a word and its runs of paragraphs from each that has a
+    bigram of a template, over at most as many bigrams as a match may have. An empty table gives an empty result; other columns are ignored.
     ``templates`` ride along with the tasks: they are a fixed list of texts, not data.
     """
     asked = tuple(templates.items()) if templates else None

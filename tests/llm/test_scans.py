@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 from pitchfold.llm import license_scan, queries, secret_scan
 
-from .helpers import SF, documents
+from .helpers import SF, documents, words
 
 LARGER = SF.replace("0.001", "0.01")
 
@@ -43,35 +45,81 @@ def test_ownership(spark):
     got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.secret_scan(docs)).collect()}
     assert got[1]["spans"] == f"generic:4:{4 + len(own)}" and got[1]["n_live"] == 1
     start = rows[2][1].index("api_key")
-    assert got[10]["spans"] == f"assign:{start}:{len(rows[2][1])}" and (got[10]["n_live"], got[10]["n_example"]) == (0, 1)
+    assert got[10]["spans"] == f"generic:0:{len(wide)},assign:{start}:{len(rows[2][1])}" and got[10]["generic_examples"] == f"generic:0:{len(wide)}" and (got[10]["n_live"], got[10]["n_example"]) == (0, 2)
     counts = secret_scan.secret_scan(docs).where("doc_id = 2").first()["found"][0]
     assert (counts["n_owners"], counts["n_repos"], counts["live"]) == (1, 2, True)
 
 
+def _words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+(?:\.\d+)*", text.lower())
+
+
+def _grams(text: str) -> set:
+    w = _words(text)
+    return set(zip(w, w[1:]))
+
+
+def _best_of_all(text: str, templates: dict[str, set], lengths: dict[str, int]) -> dict[str, float]:
+    """Dice of every line, paragraph, run of paragraphs, whole text and window, each made anew."""
+    parts = [p for p in re.split(r"\n\s*\n", text) if _words(p)]
+    units = [*text.split("\n"), text, *["\n".join(parts[i : j + 1]) for i in range(len(parts)) for j in range(i, len(parts))]]
+    sets = {frozenset(_grams(u)) for u in units}
+    w = _words(text)
+    own = list(zip(w, w[1:]))
+    best: dict[str, float] = {}
+    for name, other in templates.items():
+        if not other & set(own):
+            continue
+        windows = {frozenset(own[k : k + lengths[name]]) for k in range(len(own) - lengths[name] + 1) if own[k] in other or own[k + lengths[name] - 1] in other or lengths[name] > 1}
+        dice = max((2 * len(u & other) / (len(u) + len(other)) for u in sets | windows), default=0)
+        if dice >= 0.8:
+            best[name] = dice
+    return best
+
+
 def test_licences_of_every_document(spark):
-    def words(text: str) -> list[str]:
-        return re.findall(r"[^\W_]+(?:\.\d+)*", text.lower())
-
-    def grams(text: str) -> set:
-        w = words(text)
-        return set(zip(w, w[1:]))
-
-    templates = {k: grams(v) for k, v in license_scan.TEMPLATES.items()}
-    expected = {}
-    for doc_id, text in documents()[["doc_id", "text"]].itertuples(index=False):
-        best: dict[str, float] = {}
-        for unit in {*(text or "").split("\n"), *re.split(r"\n\s*\n", text or ""), text or ""}:
-            own = grams(unit)
-            for name, other in templates.items():
-                dice = 2 * len(own & other) / (len(own) + len(other))
-                if dice >= 0.8:
-                    best[name] = max(dice, best.get(name, 0))
-        expected[doc_id] = best
+    templates = {k: _grams(v) for k, v in license_scan.TEMPLATES.items()}
+    lengths = {k: len(_words(v)) - 1 for k, v in license_scan.TEMPLATES.items()}
+    expected = {doc_id: _best_of_all(text or "", templates, lengths) for doc_id, text in documents()[["doc_id", "text"]].itertuples(index=False)}
     scanned = license_scan.license_scan(spark.read.parquet(f"{SF}/documents.parquet"))
     assert {r["doc_id"]: {m["template"]: m["dice"] for m in r["matches"]} for r in scanned.collect()} == expected
     assert sum(map(bool, expected.values())) > 1
 
 
+def test_runs_and_windows_of_made_up_texts():
+    """Licences cut into paragraphs, mixed with others and repeated, against every run and window."""
+    rng = random.Random(8)
+    chosen = {k: license_scan.TEMPLATES[k] for k in ("MIT", "ISC", "BSD-3-Clause") if k in license_scan.TEMPLATES}
+    assert len(chosen) > 1
+    templates, lengths = {k: _grams(v) for k, v in chosen.items()}, {k: len(_words(v)) - 1 for k, v in chosen.items()}
+    scan = license_scan.scanner(chosen, 0.8)
+    hits = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            text = _words(rng.choice(list(chosen.values())))
+            cut = sorted(rng.sample(range(1, len(text)), min(len(text) - 1, rng.randrange(1, 4))))
+            own = [" ".join(text[a:b]) for a, b in zip([0, *cut], [*cut, len(text)])]
+            if rng.random() < 0.4:
+                own.insert(rng.randrange(len(own) + 1), words(rng.randrange(99), rng.randrange(1, 30)))
+            if rng.random() < 0.3:
+                own[rng.randrange(len(own))] = rng.choice(own)
+            parts += own
+        text = "\n\n".join(parts)
+        expected = _best_of_all(text, templates, lengths)
+        assert dict(scan(text)) == expected
+        hits += len(expected)
+    assert hits > 20
+
+
+def test_repeated_notices_take_no_square_time():
+    scan = license_scan.scanner(license_scan.TEMPLATES, 0.8)
+    for unit in ("Licensed under the MIT License.\n\n", "Licensed under the MIT License.\n\nAll other rights are reserved.\n\n"):
+        began = time.process_time()
+        assert scan(unit * 3200)
+        assert time.process_time() - began < 1.5
+
+
 def test_whole_licence_with_other_line_breaks(spark):
     mit = license_scan.TEMPLATES["MIT"].replace(" to ", "\nto ").replace("THE SOFTWARE", "\n\nTHE SOFTWARE")
     docs = spark.createDataFrame([(1, "Copyright (c) 1999 A. Person\n" + mit), (2, "no licence here at all"), (3, None)], "doc_id bigint, text string")
