@@ -101,8 +101,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = map_arrow(rows, _scan, f"doc_id {id_type}, owner string, repo string, cands array<struct<kind:int,start:bigint,end:bigint,h:binary>>")
     found = materialise(found.withColumn("uid", F.monotonically_increasing_id()), "secrets")
     spans = found.select("uid", "owner", "repo", F.explode("cands").alias("c")).select("uid", "owner", "repo", "c.*")
+    owned = materialise(ownership(spans, max_owners), "ownership")  # written, so that a join with a value of most documents can be split
     classed = (
-        spans.join(ownership(spans, max_owners), "h")
+        spans.join(owned, "h")
         .groupBy("uid")
         .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repos", "live"))).alias("found"))
     )
@@ -115,17 +116,16 @@ def _joined(spans):
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """The columns of the query from those of ``secret_scan``; generic spans that are examples have a column of their own."""
+    """The columns of the query from those of ``secret_scan``; generic spans that are examples are also in a column of their own."""
     base = F.filter("found", lambda x: x["kind"] < 3)
-    named = F.filter("found", lambda x: (x["kind"] < 3) | x["live"])
-    count = lambda test: F.size(F.filter(named, test)).cast("bigint")
+    count = lambda test: F.size(F.filter("found", test)).cast("bigint")
     return scanned.select(
         "doc_id",
         count(lambda x: x["kind"] == 0).alias("n_assign"),
         count(lambda x: x["kind"] == 1).alias("n_access"),
         count(lambda x: x["kind"] == 2).alias("n_hex"),
         F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined(named).alias("spans"),
+        _joined(F.col("found")).alias("spans"),
         count(lambda x: x["live"]).alias("n_live"),
         count(lambda x: ~x["live"]).alias("n_example"),
         _joined(F.filter("found", lambda x: (x["kind"] == 3) & ~x["live"])).alias("generic_examples"),

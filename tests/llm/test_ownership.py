@@ -22,7 +22,7 @@ def test_copies_of_one_owner_stay_live(spark):
     assert all(got[k]["spans"] == f"generic:4:{4 + len(OWN)}" and got[k]["n_live"] == 1 for k in range(40))
     first = scanned.where("doc_id = 0").first()["found"][0]
     assert (first["n_owners"], first["n_repos"], first["live"]) == (1, 6, True)
-    assert got[200]["generic_examples"] == f"generic:0:{len(WIDE)}" and got[200]["spans"] == ""
+    assert got[200]["generic_examples"] == got[200]["spans"] == f"generic:0:{len(WIDE)}" and (got[200]["n_live"], got[200]["n_example"]) == (0, 1)
     assert got[300]["spans"] == f"generic:4:{4 + len(TWO)}"
 
 
@@ -55,3 +55,18 @@ def test_many_tokens_and_spans_in_one_text():
     found = secret_scan.candidates(text)
     assert time.process_time() - began < 20
     assert sum(c["kind"] == 0 for c in found) == 40_000 and sum(c["kind"] == 3 for c in found) == 20_000
+
+
+def test_a_value_of_most_documents_is_split(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.shuffle.partitions": "6", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    rows = [(k, f"key {WIDE}" if k % 10 else f"token: value{k}abc", f"s{k % 50}") for k in range(20_000)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(16))
+        assert all(len(r["found"]) == 1 for r in found.collect())
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
