@@ -16,8 +16,9 @@ What makes a path the best depends on how the model was trained:
   merges.
 
 Where no piece of the vocabulary reaches across a boundary, all paths meet.
-Texts are cut there, and what the search gave for a short unit before is looked
-up again; everything else streams.
+Texts are cut there. What the search gave for a short unit before is looked up
+again, new short units of a BPE model are searched side by side in array steps,
+and everything else streams.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import fresh, map_arrow, slices, texts
-from .unit_memory import END, UnitMemory, assembled, steps
+from .common import fresh, map_arrow, mix64, slices, texts
+from .unit_memory import END, KEY, UnitMemory, assembled, steps
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10
@@ -185,6 +186,7 @@ class MergePieces(Pieces):
         #: By the id of the piece before: what characters that follow are, an id or one of the codes below.
         self.after: dict[int, dict[str, int]] = {}
         self.held = 0
+        self.steps = ArraySteps(self)
 
     def merged(self, text: str) -> list[str]:
         """The parts of a short text after all merges."""
@@ -242,6 +244,118 @@ class MergePieces(Pieces):
                         break
 
 
+    def _learn(self, units: list[bytes]) -> list[np.ndarray]:
+        """Short units are searched together, in array steps; the others, and those with a character that is no piece, one by one."""
+        found = self.steps.search([u if len(u) <= KEY else b"" for u in units])
+        slow = [k for k, (u, own) in enumerate(zip(units, found, strict=True)) if own is None or len(u) > KEY]
+        for k, own in zip(slow, super()._learn([units[k] for k in slow]), strict=True):
+            found[k] = own
+        return found
+
+
+class ArraySteps:
+    """The search of a BPE model for many short units at once: a step in all of them is an array operation.
+
+    At each place of all units at once, pieces that begin there are found by
+    their bytes, and those that may follow the piece before are kept, as in
+    ``MergePieces._grow``. Whether two pieces may stand side by side is worked
+    out once and remembered in a table of fixed size.
+    """
+
+    SLOTS, PAIRS = 1 << 20, 1 << 20
+    _LOW, _HIGH = (np.array([(1 << 8 * min(max(n - at, 0), 8)) - 1 for n in range(KEY + 1)], np.uint64) for at in (0, 8))
+
+    def __init__(self, model: MergePieces):
+        self.model = model
+        self.texts = {i: p for p, (s, i) in model.table.items() if s > NOWHERE}
+        self.start = len(model.bytes)
+        whole = [(i, model.bytes[i]) for i in self.texts if 0 < len(model.bytes[i]) <= KEY]
+        ids = np.array([i for i, _ in whole], np.int32)
+        low, high = np.frombuffer(b"".join(b.ljust(KEY, b"\0") for _, b in whole), "<u8").reshape(-1, 2).T
+        size = np.array([len(b) for _, b in whole], np.int64)
+        self.low, self.high = (np.zeros(self.start + 1, np.uint64) for _ in range(2))
+        self.size = np.zeros(self.start + 1, np.int64)  # 0 of the last, which stands for no piece
+        self.low[ids], self.high[ids], self.size[ids] = low, high, size
+        self.single = np.zeros(self.start + 1, bool)
+        self.single[[i for i, t in self.texts.items() if len(t) == 1]] = True
+        self.longest = int(size.max(initial=1))
+        #: Two tables of ids by hash; what meets another piece in the first is in the second.
+        self.places = [np.full(self.SLOTS, self.start, np.int32) for _ in range(2)]
+        first, second = (self._slot(low, high, size, k) for k in (0, 1))
+        _, one = np.unique(first, return_index=True)
+        self.places[0][first[one]] = ids[one]
+        rest = np.setdiff1d(np.arange(len(ids)), one)
+        if len(np.unique(second[rest])) < len(rest):
+            raise ValueError("pieces meet in both tables")
+        self.places[1][second[rest]] = ids[rest]
+        self.pairs, self.open = np.full(self.PAIRS, ~np.uint64(0)), np.zeros(self.PAIRS, bool)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
+        mixed = mix64(low ^ mix64(high + size.astype(np.uint64)))
+        return ((mixed >> np.uint64(32 * which)) & np.uint64(self.SLOTS - 1)).astype(np.int64)
+
+    def _pieces(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these bytes, ``start`` where there is none."""
+        out = np.full(low.shape, self.start, np.int32)
+        for k in (0, 1):
+            held = self.places[k][self._slot(low, high, size, k)]
+            same = (self.low[held] == low) & (self.high[held] == high) & (self.size[held] == size)
+            out[same] = held[same]
+        return out
+
+    def _may_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        key = before.astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64)
+        slot = (mix64(key) & np.uint64(self.PAIRS - 1)).astype(np.int64)
+        out = self.open[slot]
+        missed = np.flatnonzero(self.pairs[slot] != key)
+        if len(missed):
+            asked, which = np.unique(key[missed], return_inverse=True)
+            told = np.zeros(len(asked), bool)
+            for k, (a, b) in enumerate(zip((asked >> np.uint64(32)).tolist(), (asked & np.uint64(0xFFFFFFFF)).tolist(), strict=True)):
+                first, second = self.texts.get(a, ""), self.texts[b]
+                told[k] = self.model.merged(first + second) == ([first, second] if first else [second])
+            out[missed] = told[which]
+            self.pairs[slot[missed]] = key[missed]
+            self.open[slot[missed]] = out[missed]
+        return out
+
+    def search(self, units: list[bytes]) -> list[np.ndarray | None]:
+        """Ids of each unit of at most KEY bytes; None where a character is no piece, or there is no unit."""
+        n = len(units)
+        raw = np.frombuffer(b"".join(u.ljust(KEY, b"\0") for u in units), np.uint8).reshape(n, KEY)
+        length = np.array([len(u) for u in units], np.int64)
+        ids, back = np.full((n, KEY + 1), -1, np.int32), np.zeros((n, KEY + 1), np.int8)
+        ids[:, 0] = self.start
+        plain = length > 0
+        for p in range(int(length.max(initial=0))):
+            rows = np.flatnonzero(plain & (length > p) & (ids[:, p] >= 0))
+            rest = np.zeros((len(rows), KEY), np.uint8)
+            rest[:, : KEY - p] = raw[rows, p:]
+            low, high = rest.view("<u8").T
+            sizes = np.arange(1, min(KEY - p, self.longest) + 1)
+            fits = sizes <= (length[rows] - p)[:, None]
+            at, k = np.nonzero(fits)
+            size = sizes[k]
+            piece = self._pieces(low[at] & self._LOW[size], high[at] & self._HIGH[size], size)
+            known = piece != self.start
+            at, size, piece = at[known], size[known], piece[known]
+            lone = np.zeros(len(rows), bool)
+            lone[at[self.single[piece]]] = True
+            plain[rows[~lone]] = False
+            follows = self._may_follow(ids[rows[at], p], piece)
+            where, end = rows[at[follows]], p + size[follows]
+            ids[where, end], back[where, end] = piece[follows], p
+        every = np.arange(n)
+        plain &= ids[every, length] >= 0
+        out, count = np.zeros((n, KEY), self.model.dtype), np.zeros(n, np.int64)
+        end = np.where(plain, length, 0)
+        while (live := np.flatnonzero(end > 0)).size:
+            count[live] += 1
+            out[live, KEY - count[live]] = ids[live, end[live]]
+            end[live] = back[live, end[live]]
+        return [out[k, KEY - c :] if c else None for k, c in enumerate(count.tolist())]
+
+
 UNIGRAM_MODEL, BPE_MODEL = 1, 2  # TrainerSpec.model_type
 _MODELS: dict[str, Pieces] = {}
 
@@ -264,8 +378,12 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", k
     """One row per row of ``docs``: the columns of ``keep``, then ids. Null and empty texts have no ids.
 
     Repeated rows are each encoded; equal texts have equal ids, as no two paths tie:
-    a unigram model takes the earlier one, a BPE model has one path only.
+    a unigram model takes the earlier one, a BPE model has one path only. A text
+    of any length is taken in steps, whole. An empty table gives an empty
+    result. Columns that are not kept are ignored; a kept one may not be called ids.
     """
+    if "ids" in (c.lower() for c in keep):
+        raise ValueError("a column that is kept can't be called ids, as the result's is")
     (whole,) = fresh(docs, "whole_text")
     rows = docs.select(*keep, F.col(text_col).cast("string").alias(whole))
     schema = rows.drop(whole).schema.add("ids", ArrayType(IntegerType()))
@@ -297,7 +415,10 @@ def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """Encode and decode: doc_id, n_ids, n_bytes (byte pieces), ids_crc32 (little-endian 32-bit ids), round_trip.
 
     ``round_trip`` tells whether the decoded ids give the text again; a text
-    that itself holds the mark comes back with blanks, and is false.
+    that itself holds the mark comes back with blanks, and is false. Null text
+    counts as empty, without ids. Repeated rows are each encoded. A text of any
+    length is taken in steps, whole. An empty table gives an empty result; other
+    columns are ignored.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
 

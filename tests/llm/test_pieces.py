@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,3 +74,18 @@ def test_each_prefix_has_one_open_path():
             fits = [word[k:end] for k in range(max(0, end - model.longest), end) if word[k:end] in model.order and model.merged(last[k] + word[k:end]) == [x for x in (last[k], word[k:end]) if x]]
             assert len(fits) == 1
             last += fits
+
+
+def test_array_steps_equal_the_one_by_one_search():
+    """Short units of a whole table, and made-up ones with odd characters, side by side and each for itself."""
+    model = viterbi_pieces.pieces(PIECES)
+    rng = random.Random(1)
+    units = {(" " + w).encode() for t in documents()["text"].dropna() for w in t.split(" ")}
+    units |= {"".join(rng.choice(" abcdeéß中𝄞\x00\n<x") for _ in range(rng.randrange(1, 8))).encode() for _ in range(3000)}
+    units = sorted(u for u in units if 0 < len(u) <= 16)
+    together = model.steps.search(units)
+    alone = [model.search(u.decode().replace(" ", viterbi_pieces.MARK)) for u in units]
+    assert all(a is None or a.tolist() == b for a, b in zip(together, alone))
+    assert sum(a is not None for a in together) > 0.5 * len(units)
+    assert [a.tolist() for a in model._learn(units)] == alone
+    assert model.steps.search([]) == []
