@@ -21,10 +21,12 @@ texts; the result counts what only a name removes. Pages of a host with the same
 longest block are copies of one article and count as one page, so that articles
 don't become noise by being copied.
 
-Pages are parsed to a narrow table of hashes. The tree is counted from it, and
-the branches below their host's cut are joined to pages by (host, path), so no
-page or task carries the tree of its host; joins read written tables, so Spark
-can split a host of most pages. A second parse writes out what stays.
+Pages are parsed to hashes, from which the tree is counted; a second parse
+writes out what stays. The branches below their host's cut go to every task as
+16 bytes each, up to a counted number of them. Beyond, they are joined to the
+pages' branches by (host, path) and these to pages by their hash, so no page
+carries the tree of its host. Joins read written tables, so Spark can split a
+host of most pages.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ import html as html_lib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -49,6 +53,8 @@ LOWEST_CUT, HIGHEST_CUT, APART = 0.5, 0.85, 0.1
 STEP = 0.001
 #: Numbers of pages are sent to every task up to so many hosts, of 16 bytes each; beyond, they are joined.
 BROADCAST_HOSTS = 1_000_000
+#: Noise branches are sent to every task up to so many, of 16 bytes each; beyond, they are joined.
+BROADCAST_NOISE = 1_000_000
 #: Characters of a block that counts sentence by sentence.
 SHORT = 300
 
@@ -316,25 +322,58 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     differs from others nothing is shared and only names remove blocks; an empty
     table gives an empty result. Other columns are ignored.
     """
+    return extracted(pages, id_col, url_col, html_col, BROADCAST_NOISE)
+
+
+def extracted(pages: DataFrame, id_col: str, url_col: str, html_col: str, broadcast_noise: int) -> DataFrame:
+    """``main_text``; up to ``broadcast_noise`` noise branches go to every task, more are joined. Both give the same rows."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.select("*", F.xxhash64(host_of(F.col("url"))).alias("host"), F.unhex(F.md5("html")).alias("page"))
-    parsed = materialise(_parsed(rows), "parsed-pages")
-    branches = materialise(_importances(parsed), "importances")
-    noise = branches.join(cuts(branches), "host").where("importance < cut").select("host", "path")
-    removed = page_noise(parsed, materialise(noise, "noise")).groupBy("host", "page").agg(F.collect_list("path").alias("noise"))  # at most the page's own branches
+    branches = materialise(_importances(_parsed(rows)), "importances")
+    noise = materialise(branches.join(cuts(branches), "host").where("importance < cut").select("host", "path"), "noise")
     id_type = rows.schema["page_id"].dataType.simpleString()
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = f"page_id {id_type}, url string, text string, n_chars bigint, n_removed bigint, n_named bigint"
+
+    def written(batch: pa.RecordBatch, gone_of: list[frozenset[int] | set[int]]) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]
+        for page, gone in zip(batch.column("html").to_pylist(), gone_of, strict=True):
+            blocks = [(text, path in gone, named) for path, _, text, named in parse(page)[0]]
+            text = "\n".join(t for t, tree, named in blocks if not tree and not named)
+            for column, value in zip(out, (text, len(text), sum(x[1] for x in blocks), sum(x[2] and not x[1] for x in blocks)), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["page_id", "url", "text", "n_chars", "n_removed", "n_named"])
+
+    if noise.count() <= broadcast_noise:
+        found = noise.toArrow()
+        hosts, paths = (found.column(c).to_numpy() for c in ("host", "path"))
+        order = np.argsort(hosts, kind="stable")
+        sent = pages.sparkSession.sparkContext.broadcast((hosts[order], paths[order]))
+
+        def with_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, noise_of = sent.value
+            for batch in slices(batches):
+                host = batch.column("host").to_numpy()
+                ends = zip(np.searchsorted(own, host).tolist(), np.searchsorted(own, host, "right").tolist(), strict=True)
+                yield written(batch, [_noise_set(noise_of, a, b) for a, b in ends])
+
+        return rows.select("page_id", "url", "host", "html").mapInArrow(with_sent, schema)
+
+    removed = page_noise(_parsed(rows), noise).groupBy("host", "page").agg(F.collect_list("path").alias("noise"))  # at most the page's own branches
+
+    def with_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: list[list] = [[], [], [], []]
-            for page, noise in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist(), strict=True):
-                gone = set(noise or ())
-                blocks = [(text, path in gone, named) for path, _, text, named in parse(page)[0]]
-                text = "\n".join(t for t, tree, named in blocks if not tree and not named)
-                for column, value in zip(out, (text, len(text), sum(x[1] for x in blocks), sum(x[2] and not x[1] for x in blocks)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["page_id", "url", "text", "n_chars", "n_removed", "n_named"])
+            yield written(batch, [set(x or ()) for x in batch.column("noise").to_pylist()])
 
     joined = rows.join(materialise(removed, "page-noise"), ["host", "page"], "left").select("page_id", "url", "html", "noise")
-    return joined.mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars bigint, n_removed bigint, n_named bigint")
+    return joined.mapInArrow(with_joined, schema)
+
+
+@lru_cache(4)
+def _set_of(raw: bytes) -> frozenset[int]:
+    return frozenset(np.frombuffer(raw, np.int64).tolist())
+
+
+def _noise_set(paths: np.ndarray, a: int, b: int) -> frozenset[int]:
+    """Paths a to b as a set; pages of one host often stand together."""
+    return _set_of(paths[a:b].tobytes())

@@ -260,7 +260,7 @@ def test_a_host_of_most_pages_is_split(spark):
         for k, v in conf.items():
             spark.conf.set(k, v)
         pages = spark.createDataFrame(made, "page_id bigint, url string, html string").repartition(16)
-        assert {r["page_id"]: r["text"] for r in html_extract.main_text(pages).collect()} == {k: words(k, 60) for k in range(3000)}
+        assert {r["page_id"]: r["text"] for r in html_extract.extracted(pages, "page_id", "url", "html", 0).collect()} == {k: words(k, 60) for k in range(3000)}
         named = pages.select(F.xxhash64(html_extract.host_of(F.col("url"))).alias("host"), F.unhex(F.md5("html")).alias("page"), "html")
         parsed = materialise(html_extract._parsed(named), "parsed")
         tree = materialise(html_extract.importances(pages.select(F.xxhash64(html_extract.host_of(F.col("url"))).alias("host"), "html")), "tree")
@@ -273,3 +273,12 @@ def test_a_host_of_most_pages_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_joined_noise_gives_the_rows_of_sent_noise(spark):
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
+    awkward = spark.createDataFrame([(-1, None, None), (-1, None, None), (None, "x", ""), (-2, "http://a.b", "<p>x")], pages.select("page_id", "url", "html").schema)
+    pages = pages.select("page_id", "url", "html").unionByName(awkward).unionByName(pages.limit(5).select("page_id", "url", "html"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    sent = rows(html_extract.main_text(pages))
+    assert rows(html_extract.extracted(pages, "page_id", "url", "html", 0)) == sent and len(sent) == 259
