@@ -41,8 +41,10 @@ GROUP_SHARDS = 32
 #: Rows of a source's bucket at least; the root of its rows if that is more.
 BUCKET_ROWS = 500
 MOST_REPEATS = 3
-#: A row for each source reaches the driver and every task; a table with more sources is refused.
+#: A row for each source reaches the driver and every task up to so many; more are planned as a table.
 MOST_SOURCES = 100_000
+#: Slots of a source that one row deals out, where sources are a table.
+CHUNK_SLOTS = 1 << 16
 _U = np.uint64
 #: Added to the key in the six rounds of the permutation.
 _STEPS = np.arange(6, dtype=_U) * _U(0x9E3779B97F4A7C15)
@@ -252,12 +254,93 @@ class Mix:
         return ranges.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("epoch", "place", "ranges"))).alias("copies"))
 
 
-def plan_mix(rows: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> Mix:
-    """Plan the mix of rows (uid, doc_id, source, size), a table that is cheap to read again."""
+def source_table(sizes: DataFrame, weights: dict[str | None, float] | None, seed: int, block_words: int) -> DataFrame:
+    """Sources (source, size, n) as ``plan_sources`` plans them: (s, name, source_size, target, blocks, quota, last, before, buckets).
+
+    ``before`` counts the slots of the sources before it. The targets fill up to
+    one level of words a weight, the largest at which no source that is not cut
+    off by its limit lies above it. Windows run over a row a source.
+    """
+    spark = sizes.sparkSession
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
+    rows = sizes.withColumn("s", place.cast("bigint"))
+    if weights is None:
+        rows = rows.withColumn("w", (1 + F.col("s") % 3).cast("double"))
+    else:
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, w double")
+        rows = rows.join(given, F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
+        rows = rows.withColumn("w", F.coalesce("w", F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("null")))).cast("double")))
+    rows = materialise(rows.withColumn("limit", F.lit(MOST_REPEATS) * F.col("size")), "sources")
+    order = Window.orderBy(F.col("limit") / F.col("w"), "s")
+    below, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    level = (F.lit(total).cast("double") - F.coalesce(F.sum("limit").over(below), F.lit(0))) / F.sum("w").over(on)
+    least = rows.select((F.col("limit") / F.col("w")).alias("own"), level.alias("level")).where("own >= level").agg(F.max("level")).first()[0]
+    target = F.col("limit").cast("double") if least is None else F.least(F.col("limit").cast("double"), F.col("w") * least)
+    count = sizes.count()
+
+    def quotas(batch: pa.RecordBatch) -> dict:
+        out: list[tuple[int, int, int]] = []
+        for s, size, aim in zip(*(batch.column(c).to_pylist() for c in ("s", "size", "target")), strict=True):
+            blocks = -(-size // block_words)
+            short_at = lambda epoch: place_in_permutation(blocks - 1, blocks, int(epoch_key(seed, np.array([epoch]), count, np.array([s]))[0]))  # noqa: B023, E731
+            out.append((blocks, *(_slots_for(min(round(aim), MOST_REPEATS * size), size, blocks, block_words, short_at) if size else (0, block_words))))
+        same = {c: batch.column(c) for c in ("s", "source", "size", "target", "n")}
+        return same | {c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("blocks", "quota", "last"))}
+
+    planned = map_arrow(rows.select("s", "source", "size", target.alias("target"), "n"), quotas, "s bigint, source string, size bigint, target double, n bigint, blocks bigint, quota bigint, last bigint")
+    before = F.coalesce(F.sum("quota").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = F.ceil(F.col("n") / F.greatest(F.lit(BUCKET_ROWS), F.floor(F.sqrt(F.col("n").cast("double")))))
+    return planned.select("s", F.col("source").alias("name"), F.col("size").alias("source_size"), "target", "blocks", "quota", "last", before.alias("before"), buckets.cast("bigint").alias("buckets"))
+
+
+def slots_of_table(sources: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """``slots`` for sources that are a table.
+
+    All slots stand in one order that a permutation cuts into shards; how many
+    each source has in a shard is then the same multinomial draw, conditioned on
+    the quotas, as ``shard_counts`` makes. A source's slots are dealt out in chunks.
+    """
+    sums = sources.agg(F.sum("quota").alias("slots"), F.count(F.lit(1)).alias("n")).first()
+    total, count = sums["slots"] or 0, sums["n"]
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for s, blocks, quota, last, before, chunk in zip(*(batch.column(c).to_pylist() for c in ("s", "blocks", "quota", "last", "before", "chunk")), strict=True):
+            ordinal = np.arange(chunk * CHUNK_SLOTS, min(quota, (chunk + 1) * CHUNK_SLOTS), dtype=np.int64)
+            own, domain = np.full(len(ordinal), s, np.int64), np.full(len(ordinal), blocks, np.int64)
+            epoch = ordinal // blocks
+            block = permuted(ordinal % blocks, domain, epoch_key(seed, epoch, count, own))
+            place = permuted(before + ordinal, np.full(len(ordinal), total, np.int64), np.full(len(ordinal), mix64(np.array([seed], _U))[0], _U))
+            most = np.where(ordinal == quota - 1, last, block_words)
+            for column, value in zip(out, (place // shard_slots, place % shard_slots, own, epoch, block, most), strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return {c: pa.array(np.concatenate(v) if v else np.empty(0, np.int64)).cast(k) for c, v, k in zip(("shard", "slot", "s", "epoch", "block", "most"), out, kinds, strict=True)}
+
+    chunks = F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / CHUNK_SLOTS))).alias("chunk")
+    dealt = sources.where("quota > 0").select("s", "blocks", "quota", "last", "before", chunks)
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 16):
+            yield pa.RecordBatch.from_pydict(run(batch))
+
+    return dealt.repartition("s", "chunk").mapInArrow(few, "shard bigint, slot bigint, s bigint, epoch int, block bigint, most bigint")
+
+
+def plan_mix(rows: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most_sources: int = MOST_SOURCES) -> Mix:
+    """Plan the mix of rows (uid, doc_id, source, size), a table that is cheap to read again.
+
+    More than ``most_sources`` sources are planned as a table and joined; up to
+    that many, their draws are made shard by shard.
+    """
     spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources to mix")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    found = sizes.limit(most_sources + 1).collect()
+    if len(found) > most_sources:
+        table = materialise(source_table(materialise(sizes, "source-sizes"), weights, seed, block_words), "source-plan")
+        named = rows.join(table.select("s", "name", "source_size", "target", "buckets"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+        return Mix([], named, segments(named.select("uid", "doc_id", "s", "buckets", "size"), block_words), slots_of_table(table, seed, block_words, shard_slots))
     sources = plan_sources({r["source"]: r["size"] for r in found}, weights, block_words, seed)
     rows_of = {r["source"]: r["n"] for r in found}
     buckets = [-(-rows_of[s.name] // max(BUCKET_ROWS, math.isqrt(rows_of[s.name]))) for s in sources]
@@ -266,17 +349,18 @@ def plan_mix(rows: DataFrame, weights: dict[str | None, float] | None = None, se
     return Mix(sources, named, segments(named.select("uid", "doc_id", "s", "buckets", "size"), block_words), slots(spark, sources, seed, block_words, shard_slots))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most_sources: int = MOST_SOURCES) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, source, shard, slot, n_shards.
 
     Shard and slot are the first place of the document's words in the mix, null
     if none is taken. Null and empty texts have size 0 and are never taken. A
     null source is one source, the last. Repeated rows are each a document. A
     text of any length spreads over as many blocks as it fills. If no text has a
-    word, all targets are 0; an empty table gives an empty result.
+    word, all targets are 0; an empty table gives an empty result; other columns
+    are ignored. Sources may be any number.
     """
     rows = materialise(sized(docs, id_col, text_col, source_col).withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
-    mix = plan_mix(rows, weights, seed, block_words, shard_slots)
+    mix = plan_mix(rows, weights, seed, block_words, shard_slots, most_sources)
     joined = mix.rows.join(mix.taken().hint("merge"), "uid", "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "shard", "slot", F.coalesce("n_shards", F.lit(0)).alias("n_shards"))
 
@@ -327,7 +411,8 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
     ``text`` holds the words taken and ``n_chars``, if there is one, their
     length. Rows are dealt out and sorted by a place of their words in the mix,
     so each written file is a random mix of the sources. Nulls, ties
-    and repeated rows as in ``mix_documents``.
+    and repeated rows as in ``mix_documents``. A text of any length is cut in one
+    pass. An empty table gives an empty result.
     """
     columns, fields = docs.columns, StructType(docs.schema.fields[:])
     row_id, wanted_copies, shard, slot = fresh(docs, "row_id", "wanted_copies", "shard", "slot")

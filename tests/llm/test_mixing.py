@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from pitchfold.llm import mixing, queries
 
@@ -203,3 +204,47 @@ def test_small_sources_meet_their_targets(spark):
         target[r["source"]] = r["target"]
         assert r["taken"] <= 3 * r["size"]
     assert all(got[s] == round(t) for s, t in target.items()) and abs(sum(target.values()) - 14) < 1e-9
+
+
+def test_sources_as_a_table_are_planned_alike(spark):
+    rng = np.random.default_rng(3)
+    sizes = {f"s{k}": int(rng.integers(0, 4000) if k % 5 else rng.integers(0, 40)) for k in range(70)} | {None: 77, "Ä": 500, "": 9}
+    for weights in (None, {n: float(rng.integers(1, 9)) for n in sizes}):
+        expected = mixing.plan_sources(sizes, weights, 16, seed=5)
+        table = mixing.source_table(spark.createDataFrame([(n, v, 3 * v % 11 + 1) for n, v in sizes.items()], "source string, size bigint, n bigint"), weights, 5, 16)
+        rows = {r["s"]: r for r in table.collect()}
+        before = 0
+        for i, s in enumerate(expected):
+            r = rows[i]
+            assert (r["name"], r["source_size"], r["blocks"], r["quota"], r["last"], r["before"]) == (s.name, s.size, s.blocks, s.quota, s.last, before)
+            assert abs(r["target"] - s.target) < 1e-6 * max(1.0, s.target)
+            before += s.quota
+
+
+def test_more_sources_than_the_driver_takes(spark):
+    """Beyond the bound sources are a table: the same targets to the word, each block evenly often, no slot twice."""
+    made = [(k, words(k, (k * 37) % 300), None if k % 50 == 7 else f"s{(k * k) % 23}", 0) for k in range(400)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, source string, n_chars int").repartition(3)
+    few = {r["doc_id"]: r for r in mixing.mix_documents(docs, block_words=16).collect()}
+    rows = mixing.mix_documents(docs, block_words=16, most_sources=5).collect()
+    taken, source = Counter(), {d: s for d, _, s, _ in made}
+    for r in rows:
+        one = few[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (one["size"], one["source_size"]) and abs(r["target"] - one["target"]) < 1e-6 * max(1, one["target"])
+        assert 0 <= r["taken"] <= 3 * r["size"] and (r["shard"] is None) == (r["taken"] == 0)
+        taken[source[r["doc_id"]]] += r["taken"]
+    targets = {source[r["doc_id"]]: r["target"] for r in rows}
+    assert len(rows) == 400 and all(taken[s] == round(t) for s, t in targets.items())
+    assert {r["doc_id"]: r["taken"] for r in rows} == {d: r["taken"] for d, r in few.items()}  # which words are taken doesn't depend on where they go
+    again = mixing.mix_documents(docs.repartition(9), block_words=16, most_sources=5)
+    assert rows_of(again.select("doc_id", "taken", "shard", "slot")) == sorted(((r["doc_id"], r["taken"], r["shard"], r["slot"]) for r in rows), key=repr)
+    sizes = mixing.sized(docs).selectExpr("*", "doc_id AS uid")
+    slots = mixing.plan_mix(sizes, block_words=16, shard_slots=64, most_sources=5).slots.collect()
+    assert len({(r["shard"], r["slot"]) for r in slots}) == len(slots) and max(Counter(r["shard"] for r in slots).values()) <= 64
+
+
+def test_a_missing_weight_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "c", "y")], "doc_id bigint, text string, source string")
+    with pytest.raises(Exception, match="no weight"):
+        mixing.mix_documents(docs, weights={"x": 1.0}, most_sources=0).collect()
+    assert mixing.mix_documents(docs.limit(0), most_sources=0).count() == 0
