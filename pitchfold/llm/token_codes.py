@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import delete_at_end, shared_dir, slices
 from .unit_memory import END, UnitMemory, assembled, steps
@@ -271,14 +272,16 @@ _ENCODERS: dict[str, Encoder] = {}
 def write_codes(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode whole texts in ascending id order and write segments to the table ``out``.
 
-    Null text counts as empty, so it is the end id alone. Ids are whole numbers;
-    null ids come first, and so do ids that are none. Rows that repeat an id
+    Null text counts as empty, so it is the end id alone. Ids are whole numbers of
+    at most 64 bits; columns of another type are refused. Null ids come first. Rows that repeat an id
     stand next to each other, in order of a hash of their text, so that an id of
     many rows is no single task. A document is never cut, so a segment holds at
     least one and closes once it has ``segment_ids`` ids. An empty table gives
     an empty one; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).try_cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col}: documents are written in order of a whole number, not of {docs.schema[id_col].dataType.simpleString()}")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     end = np.array([end_id], np.uint32)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -185,3 +186,11 @@ def test_every_document_comes_back(spark):
         assert decoded[doc_id] == text.replace(viterbi_pieces.MARK, " ")
     for r in encoded.collect():
         assert zlib.crc32(np.array(r["ids"], "<u4")) == digest[r["doc_id"]]["ids_crc32"]
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole number"):
+        token_codes.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError, match="ids"):
+        viterbi_pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "IDs"))
