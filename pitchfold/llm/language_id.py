@@ -22,12 +22,15 @@ from .common import map_arrow, slices, texts
 PROFILE = 300
 #: Labelled rows that the profiles of one language are fitted on, in expectation; all if it has fewer.
 FIT_ROWS = 4000
+#: Languages that can be learned; a profile of each goes to every task, PROFILE codes and ranks. More labels are an error.
+MOST_LANGUAGES = 10_000
 UNDETERMINED = "und"
 #: A language is recognised from this share of the score that all but QUANTILE of its fitting rows of like length reach.
 QUANTILE, MARGIN = 0.001, 0.85
 #: Lengths with fewer fitting rows of a language go by the language's rows of any length.
 LEAST_ROWS = 100
-_BLANK = 32
+#: Between words, and behind a text among others.
+_BLANK, _END = 32, 0
 
 
 @functools.cache
@@ -51,15 +54,17 @@ def symbols(text: str) -> np.ndarray:
     return x if len(x) > 1 else x[:0]
 
 
-def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the distinct n-grams, ascending, and their counts."""
-    x = symbols(text)
+def ngrams(*these: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the distinct n-grams of some texts, ascending, and their counts; none reaches from one text into another."""
+    x = np.concatenate([part for text in these for part in (symbols(text), [_END])]).astype(np.uint64) if len(these) > 1 else symbols(*these)
     if not len(x):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    inside = x != _END
     pairs = x[:-1] << np.uint64(21) | x[1:]
-    codes = np.concatenate([x[x != _BLANK], pairs, pairs[:-1] << np.uint64(21) | x[2:]])
+    two = inside[:-1] & inside[1:]
+    codes = np.concatenate([x[inside & (x != _BLANK)], pairs[two], (pairs[:-1] << np.uint64(21) | x[2:])[two[:-1] & inside[2:]]])
     codes.sort()
-    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
     return codes[first], np.diff(np.append(first, len(codes)))
 
 
@@ -116,12 +121,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 def fitting_rows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame | None:
     """(lang, text) of the rows to fit on; None if no row has a label and a text."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values, so it does not name languages")
     if not sizes:
         return None
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, fit_rows / n))]), F.col("lang"))
-    return rows.where(draw < share).select("lang", "text")
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, fit_rows / r["n"])) for r in sizes], "lang string, share double")
+    return rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")  # a row a language
 
 
 def _fit(rows: DataFrame | None) -> Profiles:
@@ -134,7 +141,7 @@ def _fit(rows: DataFrame | None) -> Profiles:
             for text, lang in zip(texts(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, own in by.items():
-                codes, n = ngrams(" ".join(own))
+                codes, n = ngrams(*own)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "code": codes.astype(np.int64), "n": n.astype(np.int64)})
 
     counted = rows.mapInArrow(count, "lang string, code bigint, n bigint")
@@ -195,6 +202,8 @@ def recognised(docs: DataFrame, min_score: float | None = None) -> DataFrame:
 
     Without ``min_score`` the bound comes from the fitting rows, by language and length of text.
     Null texts and those without a letter go; repeated rows stay or go together.
+    A text of any length counts whole. Languages at one distance go by name. An
+    empty table gives an empty result; all columns are kept as they are.
     """
     if "lang" not in docs.columns:
         raise ValueError("docs needs a column lang to learn from")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from pitchfold.llm import language_id, queries
@@ -76,3 +77,51 @@ def test_rejection_keeps_documents(spark):
     kept = language_id.recognised(docs)
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} >= {d for d, t in documents()[["doc_id", "text"]].itertuples(index=False) if len((t or "").split()) > 30}
     assert kept.where("doc_id = 1000000000").count() == 0
+
+
+def _learned(rows) -> dict[str, list[str]]:
+    """Profiles of all rows (doc_id, text, lang) that are not held out, without Spark; no language here has more than FIT_ROWS."""
+    counted: dict[str, Counter] = {}
+    for doc_id, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(doc_id).encode()) % 5:
+            counted.setdefault(lang, Counter()).update(_grams(text))
+    return {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], _code(x[0])))[:PROFILE]] for lang, c in counted.items()}
+
+
+def _predicted(text: str, profiles: dict[str, list[str]]) -> tuple[str, float]:
+    own = [g for g, _ in sorted(_grams(text or "").items(), key=lambda x: (-x[1], _code(x[0])))[:PROFILE]]
+    if not own or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    far = {lang: sum(abs(place[g] - i) if g in place else PROFILE for i, g in enumerate(own)) for lang, p in profiles.items() for place in [{g: i for i, g in enumerate(p)}]}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (PROFILE * len(own))
+
+
+def test_predictions_of_a_whole_table_by_their_definition(spark):
+    rows = list(documents()[["doc_id", "text", "lang"]].itertuples(index=False, name=None))
+    profiles = _learned(rows)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op7_language_id(spark, SF).collect()}
+    assert got == {d: _predicted(t, profiles) for d, t, _ in rows}
+
+
+def test_the_first_stage_by_its_own_rule(spark):
+    """Rows stay that reach the bound of their language and length, worked out again from the fitting rows."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rows = list(documents(SF.replace("0.001", "0.01"))[["doc_id", "text", "lang"]].itertuples(index=False, name=None))
+    profiles = _learned(rows)
+    found = {d: _predicted(t, profiles) for d, t, _ in rows}
+    scores: dict = {}
+    for d, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(d).encode()) % 5 and found[d][0] == lang:
+            for key in ((lang, len(text).bit_length()), (lang, None)):
+                scores.setdefault(key, []).append(found[d][1])
+    low = {k: language_id.MARGIN * sorted(v)[max(0, -int(-language_id.QUANTILE * len(v) // 1) - 1)] for k, v in scores.items() if k[1] is None or len(v) >= language_id.LEAST_ROWS}
+    kept = {d for d, text, _ in rows if found[d][0] != "und" and found[d][1] >= low.get((found[d][0], len(text).bit_length()), low.get((found[d][0], None), 0.0))}
+    assert {r["doc_id"] for r in language_id.recognised(docs).select("doc_id").collect()} == kept and len(kept) > 900
+
+
+def test_labels_that_name_no_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(1, 30)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="does not name languages"):
+        language_id.language_id(docs)
