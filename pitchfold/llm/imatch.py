@@ -101,6 +101,10 @@ class Fingerprinter:
         return "".join(out)
 
 
+#: Text of a range of ids that one task fingerprints, and ranges at most, of 40 bytes each on the driver.
+RANGE_BYTES, MOST_RANGES = 1 << 25, 200_000
+
+
 def likeness(a: str, b: str) -> float:
     """Share of equal hashes among the subsets where either text has a term, 0 to 1.
 
@@ -134,11 +138,13 @@ def _in_order(docs: DataFrame) -> DataFrame:
 
     Each range also gets, as an extra row, the first document of the next range,
     so every task has the follower of each of its documents; the last range gets
-    the first of all. Only the ranges' ends and first ids reach the driver, one
-    each for a shuffle partition.
+    the first of all. There is a range for each RANGE_BYTES of text, one for a
+    shuffle partition at least. Only the ranges' ends and first ids reach the
+    driver; a task streams its range, so its memory doesn't depend on their number.
     """
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     down = docs.withColumn("x", -F.col("doc_id").cast("double"))
     bounds = sorted(set(down.select("x").where("x IS NOT NULL").approxQuantile("x", [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
     ranges = Bucketizer(splits=[-math.inf, *(bounds or [0.0]), math.inf], inputCol="x", outputCol="bucket", handleInvalid="keep")  # null ids come last, as NaN
