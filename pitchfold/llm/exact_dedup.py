@@ -62,7 +62,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each distinct text, with all their columns."""
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns.
+
+    Nulls and repeated rows as in ``exact_dedup``: a null text is an empty one, of
+    rows that repeat id and text one stays. Texts may be of any length. An empty
+    table gives an empty result; names of other columns don't matter.
+    """
     keep_id, keep_sha, sha = fresh(docs, "keep_id", "keep_sha", "sha")
     keys = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(keep_id), F.unhex("text_sha256").alias(keep_sha))
     named = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
