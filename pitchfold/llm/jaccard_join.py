@@ -31,7 +31,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, map_arrow, materialise, mix64, slices, texts
@@ -306,6 +306,16 @@ def _linked(columns: dict[str, list], threshold: float) -> np.ndarray:
 
 def _links_in_classes(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links): the exact number of links of each member (class, node, n, features) of a class."""
+    large = members.groupBy("class").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK_MEMBERS)
+    if large.isEmpty():
+        return _links_in_blocks(members, threshold)
+    large = materialise(large, "large-classes")
+    rest = _links_in_blocks(members.join(large, "class", "left_anti"), threshold)
+    return rest.unionByName(_links_in_large_classes(members.join(large, "class"), threshold))
+
+
+def _links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """By comparing every two members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, here, columns in _meetings(batches):
@@ -315,6 +325,78 @@ def _links_in_classes(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _excess(apart: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many differing shingles of a set, in shares of its size, are more than a link to an equal one allows.
+
+    Two sets are linked if their excesses less twice what their differences have
+    in common are not above 0; so surely if the sum of the excesses isn't.
+    """
+    return apart - (1 - threshold) / (1 + threshold) * n
+
+
+def _links_in_large_classes(members: DataFrame, threshold: float) -> DataFrame:
+    """Links of classes (class, m, node, n, features) too large to compare every two members.
+
+    Differences are taken to the set that most members agree on. Two members
+    whose excesses add up to 0 or less are linked whatever they have in common:
+    these are counted from the excesses alone. What is left are the pairs with a
+    member of positive excess, which meet in blocks.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each shingle comes in a few members of a class."""
+        for batch in slices(batches):
+            held: dict[tuple, list[bytes]] = {}
+            for own, m, features in zip(*(batch.column(c).to_pylist() for c in ("class", "m", "features")), strict=True):
+                held.setdefault((own, m), []).append(features)
+            for (own, m), features in held.items():
+                values, k = np.unique(np.frombuffer(b"".join(features), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"class": pa.array([own] * len(values), pa.int64()), "m": pa.array([m] * len(values), pa.int64()), "shingle": values, "k": k.astype(np.int64)})
+
+    counted = members.select("class", "m", "features").mapInArrow(spread, "class bigint, m bigint, shingle bigint, k bigint").groupBy("class", "m", "shingle").agg(F.sum("k").alias("k"))
+    agreed = materialise(counted.where(2 * F.col("k") > F.col("m")).groupBy("class").agg(F.collect_list("shingle").alias("agreed")), "agreed")  # at most twice a member's differences
+
+    def turned(batch: pa.RecordBatch) -> dict:
+        features, apart = [], []
+        for own, most in zip(batch.column("features").to_pylist(), batch.column("agreed").to_pylist(), strict=True):
+            only = np.setxor1d(np.frombuffer(own, np.int64), np.array(most or [], np.int64), assume_unique=True)
+            features.append(only.tobytes())
+            apart.append(len(only))
+        excess = _excess(np.array(apart, np.int64), batch.column("n").to_numpy(), threshold)
+        return {c: batch.column(c) for c in ("class", "node", "n")} | {"features": pa.array(features, pa.binary()), "excess": pa.array(np.round(excess, 9), pa.float64())}
+
+    near = materialise(map_arrow(members.join(agreed, "class", "left").select("class", "node", "n", "features", "agreed"), turned, "class bigint, node bigint, n int, features binary, excess double"), "near")
+    levels = near.groupBy("class", "excess").agg(F.count(F.lit(1)).alias("k"))
+    steps = levels.select("class", F.col("excess").alias("at"), F.lit(0).alias("asks"), "k", "excess").unionByName(levels.select("class", (F.lit(0.0) - F.col("excess")).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("bigint").alias("k"), "excess"))
+    below = Window.partitionBy("class").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    sure = steps.withColumn("sure", F.sum("k").over(below)).where("asks = 1").select("class", "excess", (F.col("sure") - F.when(F.col("excess") <= 0, 1).otherwise(0)).alias("sure"))  # less itself
+    found = near.select("class", "node", "excess").join(materialise(sure, "sure"), ["class", "excess"]).select("node", F.col("sure").alias("links"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, here, columns in _meetings(batches):
+            excess = np.array(columns["excess"])
+            links = _linked(columns, threshold) & here & (excess[:, None] + excess[None, :] > 0)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(columns["node"], pa.int64()), "links": links.sum(1).astype(np.int64)})
+
+    more = _far_in_blocks(near).mapInArrow(run, "node bigint, links bigint")
+    return found.unionByName(more).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _far_in_blocks(near: DataFrame) -> DataFrame:
+    """Members of positive excess in blocks that meet each other, and that all others meet; (at: class, i, j), own, ..."""
+    far = F.col("excess") > 0
+    totals = near.groupBy("class").agg(F.count_if(far).alias("far"), F.count_if(~far).alias("rest"), F.sum(F.when(far, F.octet_length("features") / 8)).alias("far_size"), F.sum(F.when(~far, F.octet_length("features") / 8)).alias("size")).where("far > 0")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_MEMBERS), F.ceil(F.coalesce(size, F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    totals = materialise(totals.select("class", blocks("far", "far_size").alias("blocks"), blocks("rest", "size").alias("others")), "far")
+    dealt = near.join(totals, "class")
+    own = F.when(far, F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.col("blocks") + F.pmod(F.xxhash64("node"), "others")).cast("int")
+    dealt = dealt.withColumn("own", own)
+    meets = F.sequence(F.lit(0), F.col("blocks") + F.when(far, F.col("others")).otherwise(0) - 1)  # the others meet the far ones only
+    pairs = F.transform(meets, lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    dealt = dealt.select(F.explode(pairs).alias("p_"), "own", "class", "node", "n", "features", "excess").select(F.struct("class", "p_.i", "p_.j").alias("at"), "own", "node", "n", "features", "excess")
+    return dealt.repartition("at").sortWithinPartitions("at")
+
+
 def _candidates(members: DataFrame, threshold: float) -> DataFrame:
     """The members (t, p, node, class, n, sig) of a bucket that may be linked with one of another class; the same rule as ``_may_link``."""
     low, n_values = _floor(threshold), TREES * DEPTH

@@ -278,3 +278,31 @@ def test_ids_and_one_document(spark):
     r = imatch.fingerprints(one).first()
     assert (r["doc_id"], r["n_chars"]) == (7, 13) and r["edited_sha256"] == hashlib.sha256(b"alone in alon").hexdigest()
     assert rows_of(imatch.fingerprints(one.limit(0))) == []
+
+
+@pytest.mark.parametrize("kind", ["near", "two", "wide"])
+def test_links_of_a_class_of_thousands(spark, monkeypatch, kind):
+    """Members near one text, around two texts, and of very uneven sizes: every count as by comparing all."""
+    rng = np.random.default_rng({"near": 1, "two": 2, "wide": 3}[kind])
+    base = np.arange(1, 400, dtype=np.uint64)
+    led = np.concatenate([base[:-30], np.arange(10_000, 10_030, dtype=np.uint64)])  # the leader is none of the typical ones
+    sets = [led]
+    for k in range(2999):
+        core = base if kind != "two" or k % 2 else np.concatenate([base[:-45], np.arange(5000, 5045, dtype=np.uint64)])
+        cut = int(rng.integers(0, 30 if kind != "wide" else 90))
+        kept = rng.choice(core, len(core) - cut, replace=False)
+        sets.append(np.sort(np.concatenate([kept, rng.integers(20_000, 20_400, int(rng.integers(0, 20))).astype(np.uint64)])))
+    sets = [np.unique(x) for x in sets]
+    sizes = np.array([len(x) for x in sets])
+    features = [np.setxor1d(x, led) for x in sets]
+    expected = jaccard_join.link_matrix(sizes, features, 0.8).sum(1)
+    rows = [(7, k, int(sizes[k]), features[k].tobytes()) for k in range(3000)] + [(8, 9000 + k, int(sizes[k]), features[k].tobytes()) for k in range(3)]
+    members = spark.createDataFrame(rows, "class bigint, node bigint, n int, features binary").repartition(5)
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 500)
+    got = {r["node"]: r["links"] for r in jaccard_join._links_in_classes(members, 0.8).collect()}
+    assert [got[k] for k in range(3000)] == expected.tolist() and expected.max() > 300 and len(got) == 3003
+    if kind == "near":
+        large = jaccard_join._links_in_large_classes(members.where("class = 7").withColumn("m", F.lit(3000).cast("bigint")), 0.8)
+        assert large.count() == 3000
+        near = [x for x in sets if len(np.setxor1d(x, base)) * 9 <= len(x)]
+        assert len(near) > 2500  # most are counted without being compared
