@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from pitchfold.llm import exact_dedup, html_extract, imatch, jaccard_join, language_id, license_scan, mixing, secret_scan, token_codes, viterbi_pieces
+from pitchfold.llm import exact_dedup, html_extract, imatch, jaccard_join, language_id, license_scan, mixing, periodic_runs, secret_scan, token_codes, viterbi_pieces
 
 from .helpers import awkward, awkward_rows, empty
 
@@ -20,6 +20,7 @@ OPERATORS = {
     "op8": lambda d: viterbi_pieces.digest_documents(d, public_tokenizers.path("piece_bpe_32k.model")),
     "op9": exact_dedup.exact_dedup,
     "op10": imatch.fingerprints,
+    "op11": lambda d: periodic_runs.digest(periodic_runs.periodic_runs(d, edit=periodic_runs.repeat_from)),
 }
 
 
