@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import BALL_TRACKS, PLAYER_TRACKS, Association, Tracking
 from ..functions.geometry import CORNERS, truncated
+from ..sources.tables import by_match
 from .detections import source_filter, split, valid_players
 
 #: Noise of positions and velocities in heights of the box; the shape has noise of its own.
@@ -274,11 +275,6 @@ def associate(detections: DataFrame, config: Association = PLAYER_TRACKS) -> Dat
     return ordered.mapInPandas(run, schemas.ASSOCIATED)
 
 
-def by_match(rows: DataFrame) -> DataFrame:
-    """Dealt out by match to as many tasks as a shuffle has: a fold costs far more than its bytes, by which tasks would be put together."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "match_id")
-
-
 def sound_boxes(detections: DataFrame, *more: str) -> DataFrame:
     """(match_id, frame, ord, corners, conf) of the boxes that have an area, and ``more`` columns; corners and conf as doubles."""
     rows = detections.select(*more, "match_id", "frame", F.col("ord").cast("bigint").alias("ord"), *[F.col(c).cast("double").alias(c) for c in (*CORNERS, "conf")])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Tracking
+from ..sources.tables import by_match
 from .static import without_static
 
 EXPORTED, OCCLUDED, TOMBSTONED, HIDDEN, DROPPED = "exported", "occluded", "tombstoned", "hidden", "dropped"
@@ -173,7 +174,7 @@ def resolve(tracks: DataFrame, config: Tracking = Tracking()) -> DataFrame:
             yield pd.concat([part[list(_IN)], done], axis=1)
 
     given = [F.col("look").cast("array<double>").alias("look")] if looks else []
-    ordered = tracks.select(*_IN, *given).repartition("match_id").sortWithinPartitions("match_id", "frame", "ord")
+    ordered = by_match(tracks.select(*_IN, *given)).sortWithinPartitions("match_id", "frame", "ord")
     return ordered.mapInPandas(run, schemas.RESOLVED)
 
 
