@@ -41,6 +41,20 @@ HUD_PLACE, HUD_COLOUR = (10, 35), (0, 255, 0)
 HUD_LINE = "Min:%s | Dets:%s/%s | IDs:%s/%s | Activos:%s | Pelota:%s"
 PROGRESS_LINE = "  Min %s | IDs:%s/%s | Activos:%s | Estáticos:%s | Pelota:%s"
 YES, NO = "SI", "NO"
+#: The console's lines on ids that begin, are found again, and are static.
+NEW_LINE = "  [NUEVO] ByteID:%s → ID:%s (pool restante:%s)"
+REID_LINE = "  [REID] ByteID:%s → ID:%s (dist=%spx)"
+STATIC_LINE = "  [ESTÁTICO] ID:%s descartado, slot devuelto"
+#: The lines of the final summary, with the column of the run's summary that each tells.
+SUMMARY_LINES = (
+    ("Frames procesados:         %s", "frames"),
+    ("Detecciones totales:       %s", "dets_raw"),
+    ("Frames sin tracks:         %s", "frames_without_tracks"),
+    ("IDs estáticos descartados: %s", "static"),
+    ("IDs únicos jugadores: %s", "player_ids"),
+    ("Registros jugadores:  %s", "player_rows"),
+    ("Frames con pelota detectada: %s", "ball_frames"),
+)
 
 
 def palette(spark: SparkSession) -> DataFrame:
@@ -163,6 +177,23 @@ def progress_lines(progress: DataFrame, config: Tracking = Tracking()) -> DataFr
     return progress.select("match_id", "frame", line.alias("line"))
 
 
+def event_lines(events: DataFrame) -> DataFrame:
+    """(match_id, frame, ord, line): what the console says at each of ``identity.events``."""
+    new = _line(NEW_LINE, "tid", "id", "pool")
+    found = _line(REID_LINE, "tid", "id", F.format_string("%.0f", "distance"))
+    line = F.when(F.col("event") == "static", _line(STATIC_LINE, "id")).when(F.col("event") == "reid", found).otherwise(new)
+    return events.select("match_id", "frame", "ord", line.alias("line"))
+
+
+def summary_lines(summary: DataFrame) -> DataFrame:
+    """(match_id, nth, line): the final summary of each match, from ``metrics.run_summary``; players and ball only if there are any."""
+    told = summary.withColumn("static", F.concat(F.col("static_ids").cast("string"), F.lit(" → ["), F.replace("static_list", F.lit(","), F.lit(", ")), F.lit("]")))
+    lines = [_line(form, column) for form, column in SUMMARY_LINES]
+    lines[4:6] = [F.when(F.col("player_rows") > 0, line) for line in lines[4:6]]
+    lines[6] = F.when(F.col("ball_frames") > 0, lines[6])
+    return told.select("match_id", F.posexplode(F.array(*lines)).alias("nth", "line")).where("line IS NOT NULL")
+
+
 def _minute() -> Column:
     """One decimal, halves to even."""
     return F.format_string("%.1f", F.bround("minute", 1))

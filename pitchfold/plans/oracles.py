@@ -191,6 +191,16 @@ def _mixed(sql: str) -> str:
     )
 
 
+ORACLES |= {
+    "event_lines": f"""SELECT match_id, frame, ord, CASE event WHEN 'static' THEN printf('  [ESTÁTICO] ID:%d descartado, slot devuelto', id)
+        WHEN 'reid' THEN printf('  [REID] ByteID:%d → ID:%d (dist=%.0fpx)', tid, id, distance) ELSE printf('  [NUEVO] ByteID:%d → ID:%d (pool restante:%d)', tid, id, pool) END AS line
+        FROM ({ORACLES["identity_events"]})""",
+    "summary_lines": f"""SELECT match_id, CAST(nth AS INT) AS nth, line FROM (SELECT match_id, unnest([
+          'Frames procesados:         ' || frames, 'Detecciones totales:       ' || dets_raw, 'Frames sin tracks:         ' || frames_without_tracks,
+          'IDs estáticos descartados: ' || static_ids || ' → [' || replace(static_list, ',', ', ') || ']',
+          CASE WHEN player_rows > 0 THEN 'IDs únicos jugadores: ' || player_ids END, CASE WHEN player_rows > 0 THEN 'Registros jugadores:  ' || player_rows END,
+          CASE WHEN ball_frames > 0 THEN 'Frames con pelota detectada: ' || ball_frames END]) AS line, unnest(range(7)) AS nth FROM ({ORACLES["run_summary"]})) WHERE line IS NOT NULL""",
+}
 _start = f"CAST(trunc({EARLIER.start_minute}::DOUBLE * 60 * 23.976::DOUBLE) AS BIGINT)"
 ORACLES |= {
     "meta_player_filter": _mixed(ORACLES["player_geometry_filter"]),

@@ -155,6 +155,14 @@ def progress_lines(spark, sf_dir):
     return report.progress_lines(progress_every_150(spark, sf_dir))
 
 
+def event_lines(spark, sf_dir):
+    return report.event_lines(identity_events(spark, sf_dir))
+
+
+def summary_lines(spark, sf_dir):
+    return report.summary_lines(run_summary(spark, sf_dir))
+
+
 def palette_colors(spark, sf_dir):
     return report.colours_of(_observed(spark, sf_dir))
 
@@ -270,6 +278,8 @@ QUERIES = {
         annotations,
         hud,
         progress_lines,
+        event_lines,
+        summary_lines,
         palette_colors,
         ext_heatmap,
         ext_distance_speed,
