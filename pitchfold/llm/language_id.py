@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, texts
+from .common import map_arrow, materialise, slices, texts
 
 PROFILE = 300
-#: Labelled rows that the profiles of one language are fitted on, in expectation; all if it has fewer.
-FIT_ROWS = 4000
+#: Characters that are counted at once, and n-grams that a task keeps before it hands on their counts.
+COUNT_CHARS, KEPT_NGRAMS = 1 << 18, 1 << 19
 #: Languages that can be learned; a profile of each goes to every task, PROFILE codes and ranks. More labels are an error.
 MOST_LANGUAGES = 10_000
 UNDETERMINED = "und"
@@ -109,40 +109,79 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Profiles:
-    """Profiles from the labelled rows; null labels and texts are left out.
-
-    A language with more than ``fit_rows`` rows is fitted on about that many of
-    them, chosen by a hash of the id. Only PROFILE rows a language reach the driver.
-    """
-    return _fit(fitting_rows(labelled, text_col, lang_col, id_col, fit_rows))
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Profiles from all labelled rows; null labels and texts are left out. Only PROFILE rows a language reach the driver."""
+    return _fit(fitting_rows(labelled, text_col, lang_col))
 
 
-def fitting_rows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame | None:
-    """(lang, text) of the rows to fit on; None if no row has a label and a text."""
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
+def fitting_rows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, text) of the rows to fit on: all that have a label and a text."""
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values, so it does not name languages")
-    if not sizes:
-        return None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, fit_rows / r["n"])) for r in sizes], "lang string, share double")
-    return rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")  # a row a language
-
+    return rows
+
+
+class Counts:
+    """Counts of n-grams by language, of many texts in bounded memory."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def add(self, lang: str, these: list[str]) -> None:
+        found = ngrams(*these)
+        self.parts.setdefault(lang, []).append(found)
+        self.size += len(found[0])
+
+    def full(self) -> bool:
+        """Whether more than KEPT_NGRAMS are kept even with equal ones put together, which is tried at twice as many."""
+        if self.size <= 2 * KEPT_NGRAMS:
+            return False
+        self.parts = {lang: [merged(own)] for lang, own in self.parts.items()}
+        self.size = sum(len(codes) for ((codes, _),) in self.parts.values())
+        return self.size > KEPT_NGRAMS
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        for lang, own in self.parts.items():
+            codes, n = merged(own)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "code": codes.astype(np.int64), "n": n.astype(np.int64)})
+        self.parts, self.size = {}, 0
+
+
+def merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One pair of ascending codes and their counts from several."""
+    if len(counts) == 1:
+        return counts[0]
+    codes, n = (np.concatenate(x) for x in zip(*counts, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
 
-def _fit(rows: DataFrame | None) -> Profiles:
-    if rows is None:
-        return Profiles.of({})
 
+def _fit(rows: DataFrame) -> Profiles:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            by: dict[str, list] = {}
+        counts = Counts()
+        waiting: dict[str, list[str]] = {}
+        chars = 0
+
+        def settle() -> None:
+            for lang, own in waiting.items():
+                counts.add(lang, own)
+            waiting.clear()
+
+        for batch in slices(batches, 64):
             for text, lang in zip(texts(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, own in by.items():
-                codes, n = ngrams(*own)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "code": codes.astype(np.int64), "n": n.astype(np.int64)})
+                waiting.setdefault(lang, []).append(text)
+                chars += len(text)
+                if chars > COUNT_CHARS:
+                    settle()
+                    chars = 0
+                    if counts.full():
+                        yield from counts.take()
+        settle()
+        yield from counts.take()
 
     counted = rows.mapInArrow(count, "lang string, code bigint, n bigint")
     totals = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -173,7 +212,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fit on the rows that are not held out, predict all: doc_id, held_out, lang_pred, score."""
-    profiles = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col, id_col)
+    profiles = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
     return identify(docs, profiles, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -182,18 +221,24 @@ def length_class(text: str) -> int:
     return len(text).bit_length()
 
 
-def score_bounds(rows: DataFrame | None, profiles: Profiles) -> dict[tuple[str, int | None], float]:
-    """Least score by (language, length class), and by (language, None) for any length, from the fitting rows that get their own label."""
-    if rows is None:
-        return {}
+def score_bounds(rows: DataFrame, profiles: Profiles) -> dict[tuple[str, int | None], float]:
+    """Least score by (language, length class), and by (language, None) for any length, from all fitting rows that get their own label.
+
+    It is MARGIN of the exact QUANTILE, the n * QUANTILE-th least score of n, rounded
+    up. An approximate one of twice the share only leaves out scores far above.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         own = texts(batch.column("text"))
         found = [profiles.predict(t) for t in own]
         return {"lang": batch.column("lang"), "pred": pa.array([x for x, _ in found], pa.string()), "length": pa.array([length_class(t) for t in own], pa.int32()), "score": pa.array([x for _, x in found], pa.float64())}
 
-    scored = map_arrow(rows, run, "lang string, pred string, length int, score double").where("lang = pred")
-    low = scored.rollup("lang", "length").agg(F.percentile_approx("score", QUANTILE, 10_000).alias("low"), F.count(F.lit(1)).alias("n")).where("lang IS NOT NULL")
+    scored = materialise(map_arrow(rows, run, "lang string, pred string, length int, score double").where("lang = pred").select("lang", "length", "score"), "scores")
+    groups = scored.rollup("lang", "length").agg(F.percentile_approx("score", 2 * QUANTILE, 10_000).alias("roof"), F.count(F.lit(1)).alias("n")).where("lang IS NOT NULL")
+    either = scored.withColumn("length", F.explode(F.array("length", F.lit(None).cast("int"))))
+    counted = either.alias("s").join(F.broadcast(groups.alias("g")), F.expr("s.lang = g.lang AND s.length <=> g.length AND s.score <= g.roof")).groupBy("g.lang", "g.length", "g.n", "s.score").agg(F.count(F.lit(1)).alias("times"))
+    upto = F.sum("times").over(Window.partitionBy("lang", "length").orderBy("score"))
+    low = counted.withColumn("upto", upto).where(F.col("upto") >= F.ceil(QUANTILE * F.col("n"))).groupBy("lang", "length", "n").agg(F.min("score").alias("low"))
     return {(r["lang"], r["length"]): MARGIN * r["low"] for r in low.collect() if r["length"] is None or r["n"] >= LEAST_ROWS}
 
 

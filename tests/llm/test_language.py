@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pitchfold.llm import language_id, queries
 from pitchfold.llm.language_id import PROFILE, Profiles, ngrams
 
-from .helpers import SF, documents, rows_of
+from .helpers import SF, documents, rows_of, words
 
 
 def _grams(text: str) -> Counter:
@@ -125,3 +125,25 @@ def test_labels_that_name_no_languages(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(1, 30)], "doc_id bigint, text string, lang string")
     with pytest.raises(ValueError, match="does not name languages"):
         language_id.language_id(docs)
+
+
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """Profiles and bounds of languages with thousands of rows are those of all their rows, also if tasks hand counts on early."""
+    monkeypatch.setattr(language_id, "COUNT_CHARS", 2000, raising=False)
+    monkeypatch.setattr(language_id, "KEPT_NGRAMS", 500, raising=False)
+    rows = [(k, words(k, 3 + k % 3) + (" the" if k % 2 else " les"), "fr" if k % 2 == 0 else "en") for k in range(1, 12_001)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    labelled = docs.where(~language_id.held_out(F.col("doc_id")))
+    profiles = _learned(rows)
+    assert all(sum(lang == r[2] and zlib.crc32(str(r[0]).encode()) % 5 > 0 for r in rows) > 4000 for lang in profiles)
+    plain = Profiles.of({lang: [_code(g) for g in grams] for lang, grams in profiles.items()})
+    got = language_id.fit(labelled)
+    assert got.langs == plain.langs and (got.codes == plain.codes).all() and (got.ranks == plain.ranks).all()
+    scores: dict = {}
+    for d, text, lang in rows:
+        own, score = plain.predict(text)
+        if zlib.crc32(str(d).encode()) % 5 and own == lang:
+            for key in ((lang, len(text).bit_length()), (lang, None)):
+                scores.setdefault(key, []).append(score)
+    low = {k: language_id.MARGIN * sorted(v)[-int(-language_id.QUANTILE * len(v) // 1) - 1] for k, v in scores.items() if k[1] is None or len(v) >= language_id.LEAST_ROWS}
+    assert language_id.score_bounds(language_id.fitting_rows(labelled), plain) == low
