@@ -31,6 +31,8 @@ from .common import delete_at_end, shared_dir, slices
 from .unit_memory import END, UnitMemory, assembled, steps
 
 SEGMENT_IDS = 1 << 17
+#: Units a Python worker remembers: 71 MB with ids of 16 bits.
+SLOTS = 1 << 21
 RANK_BITS = 512
 MAGIC = b"DAC1"
 _HEADER = struct.Struct("<4sIQI")  # magic, levels, ids, documents
@@ -211,7 +213,7 @@ class Encoder:
         )
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
-        self.memory = UnitMemory(self._learn, self.dtype)
+        self.memory = UnitMemory(self._learn, self.dtype, SLOTS)
 
     def _whole(self, these: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(these, add_special_tokens=False)]
@@ -219,15 +221,21 @@ class Encoder:
     def _learn(self, units: list[bytes]) -> list[np.ndarray]:
         """Ids of new units. A run of letters, with or without a blank, is one word of the pattern and goes to the library's model at once."""
         out: list = [None] * len(units)
-        tokenize, rest = self.tokenizer.model.tokenize, []
-        for k, unit in enumerate(units):
-            own = unit.decode("utf-8")
-            if own.removeprefix(" ").isalpha() and max(own) < SETTLED:
-                out[k] = np.array([t.id for t in tokenize(unit.decode("latin-1").translate(_SIGNS))], self.dtype)
+        tokenize, rest, ids, ends = self.tokenizer.model.tokenize, [], [], []
+        latin = b"\xff".join(units).decode("latin-1")  # no unit has this byte
+        for k, (plain, signs) in enumerate(zip(latin.split("\xff"), latin.translate(_SIGNS).split(_SIGNS[END]), strict=True)):
+            own = plain if plain.isascii() else units[k].decode("utf-8")
+            if own.removeprefix(" ").isalpha() and (own is plain or max(own) < SETTLED):
+                ids += [t.id for t in tokenize(signs)]
+                ends.append((k, len(ids)))
             else:
                 rest.append((k, own))
-        for (k, _), ids in zip(rest, self._whole([u for _, u in rest]), strict=True):
-            out[k] = ids
+        flat, start = np.array(ids, self.dtype), 0
+        for k, end in ends:
+            out[k], start = flat[start:end], end
+        if rest:
+            for (k, _), ids in zip(rest, self._whole([u for _, u in rest]), strict=True):
+                out[k] = ids
         return out
 
     def _odd(self, data: np.ndarray, starts: np.ndarray) -> set[int]:

@@ -106,6 +106,18 @@ def test_small_memory_of_units():
         assert [x.tolist() for x in small.encode(pa.array(these))] == [PLAIN.encode(t, add_special_tokens=False).ids for t in these]
 
 
+def test_a_large_vocabulary_is_remembered():
+    """Of 400,000 different units few push each other out of the table."""
+    encoder, asked = Encoder(BPE), []
+    encoder.memory.learn = lambda units: asked.append(len(units)) or [np.array([int(u) % 50_000], encoder.dtype) for u in units]
+    data = np.frombuffer(b"".join(b"%08d" % k for k in range(400_000)), np.uint8)
+    starts = np.arange(0, len(data), 8)
+    for _ in range(2):
+        flat, counts = encoder.memory.lookup(data, starts, np.full(len(starts), 8))
+        assert (flat == np.arange(400_000) % 50_000).all() and (counts == 1).all()
+    assert asked[0] == 400_000 and asked[1] < 0.2 * 400_000
+
+
 def test_another_kind_of_tokenizer_gets_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     own, plain = Encoder(path), Tokenizer.from_file(path)
